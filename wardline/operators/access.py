@@ -11,6 +11,7 @@ from wardline.functions import levels as L
 from wardline.operators.skew import salted_join
 
 ALLOWED = "ALLOWED"
+MAX_AGENTS = 1000
 
 _USER_COLUMNS = ("user_id", "clearance_rank", "brand_scope")
 _AGENT_COLUMNS = ("agent_id", "ceiling_rank", "allowed_rights", "allowed_sources")
@@ -167,13 +168,10 @@ def decision_counts(users: DataFrame, agents: DataFrame, assets: DataFrame, cons
     profiles = (users.select("clearance_rank", F.array_sort(F.array_distinct(
         empty_if_null(F.col("brand_scope")))).alias("scope"))
         .groupBy("clearance_rank", "scope").agg(F.count(F.lit(1)).alias("n")))
-    ranks = F.create_map(*[x for r in range(5) for x in (
-        F.lit(r), F.coalesce(F.sum(F.when(F.col("clearance_rank") >= r, F.col("n"))), F.lit(0)))])
-    unscoped = F.create_map(*[x for r in range(5) for x in (
-        F.lit(r), F.coalesce(F.sum(F.when((F.col("clearance_rank") >= r) & (F.size("scope") == 0),
-                                          F.col("n"))), F.lit(0)))])
-    totals = profiles.agg(F.struct(F.sum("n").alias("n_users"), ranks.alias("cleared"),
-                                   unscoped.alias("unscoped")).alias("totals"))
+    cleared_by, unscoped_by, n_total = _cumulate(profiles.groupBy(
+        F.least("clearance_rank", F.lit(L.SECRET)).alias("clearance_rank")).agg(
+        F.sum("n").alias("n"), F.sum(F.when(F.size("scope") == 0, F.col("n")).otherwise(0))
+        .alias("unscoped")).collect())
 
     tagged = assets.where(F.size(empty_if_null(F.col("brand_tags"))) > 0).select(
         "asset_id", "sensitivity_rank", F.explode(F.array_distinct("brand_tags")).alias("brand"))
@@ -196,12 +194,13 @@ def decision_counts(users: DataFrame, agents: DataFrame, assets: DataFrame, cons
     cells = (assets.select("asset_id", "source", "sensitivity_rank", "brand_tags",
                            "consent_required")
              .join(overlap, "asset_id", "left").join(consents, "asset_id", "left")
-             .withColumn("totals", totals.scalar())
              .withColumn("agent", F.explode(agent_list(agents)))
              .withColumn("access_right", F.explode(F.array(*[F.lit(r) for r in rights]))))
-    n_users = F.col("totals.n_users")
-    cleared = F.element_at("totals.cleared", F.col("sensitivity_rank"))
-    unscoped_n = F.element_at("totals.unscoped", F.col("sensitivity_rank"))
+    n_users = F.lit(n_total)
+    cleared = F.coalesce(F.get(F.array(*map(F.lit, cleared_by)), F.col("sensitivity_rank")),
+                         F.lit(0))
+    unscoped_n = F.coalesce(F.get(F.array(*map(F.lit, unscoped_by)), F.col("sensitivity_rank")),
+                            F.lit(0))
     is_tagged = F.size(tags) > 0
     below_ceiling = F.coalesce(
         F.col("sensitivity_rank") <= F.col("agent.ceiling_rank"), F.lit(False))
@@ -231,13 +230,33 @@ def decision_counts(users: DataFrame, agents: DataFrame, assets: DataFrame, cons
             .where("n > 0"))
 
 
+def _cumulate(by_rank: Sequence) -> tuple[list[int], list[int], int]:
+    """Users cleared for each level, those of them without a scope, and all users."""
+    def at_least(rank: int, field: str) -> int:
+        return sum(r[field] for r in by_rank
+                   if r["clearance_rank"] is not None and r["clearance_rank"] >= rank)
+
+    levels = range(len(L.SENSITIVITY_LEVELS))
+    return ([at_least(x, "n") for x in levels], [at_least(x, "unscoped") for x in levels],
+            sum(r["n"] for r in by_rank))
+
+
 def decision_report(counts: DataFrame) -> DataFrame:
     """Roll up of decision counts by agent and reason."""
     return counts.rollup("agent_id", "reason_code").agg(F.sum("n").alias("n_decisions"))
 
 
 def agent_list(agents: DataFrame) -> Column:
-    """The configured agents as one array value; the list is fixed by configuration."""
-    return agents.agg(F.collect_list(F.struct(
-        "agent_id", "ceiling_rank", empty_if_null(F.col("allowed_rights")).alias("allowed_rights"),
-        empty_if_null(F.col("allowed_sources")).alias("allowed_sources"))).alias("a")).scalar()
+    """The configured agents as one array value; a longer list than MAX_AGENTS is refused."""
+    rows = agents.select("agent_id", "ceiling_rank", "allowed_rights", "allowed_sources"
+                         ).limit(MAX_AGENTS + 1).collect()
+    if len(rows) > MAX_AGENTS:
+        raise ValueError(f"more than {MAX_AGENTS} agents are registered")
+
+    def strings(values: Sequence[str] | None) -> Column:
+        return F.array(*[F.lit(v) for v in values or ()]).cast("array<string>")
+
+    return F.array(*[F.struct(
+        F.lit(r["agent_id"]).alias("agent_id"), F.lit(r["ceiling_rank"]).alias("ceiling_rank"),
+        strings(r["allowed_rights"]).alias("allowed_rights"),
+        strings(r["allowed_sources"]).alias("allowed_sources")) for r in rows])

@@ -8,7 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wardline.operators.skew import MIN_ROWS, PARTS, add_salt, hot_counts, repeat_per_salt
+from wardline.operators.skew import (
+    MIN_ROWS, PARTS, add_salt, count_rows, hot_keys, repeat_per_salt)
 
 
 def asof_join(facts: DataFrame, changes: DataFrame, keys: Sequence[str], *, ts: str,
@@ -40,18 +41,17 @@ def asof_join(facts: DataFrame, changes: DataFrame, keys: Sequence[str], *, ts:
         _start(F.col(change_ts), bucket_seconds).alias("_bucket"))
 
     group = [*keys, "_bucket"]
-    total = base.select(F.count(F.lit(1))).scalar()
     reads = base.select(*keys, F.col(ts).alias("_ts"),
                         _start(F.col(ts), bucket_seconds).alias("_bucket"))
-    counts = (reads.select(*group).unionByName(change_rows.select(*group))
-              .groupBy(*group).agg(F.count(F.lit(1)).alias("_n")))
-    crowded = hot_counts(counts, group, total, parts, min_rows)
-    fact_rows = _refine(fact_rows, crowded, group)
-    change_rows = _refine(change_rows, crowded, group)
+    both_counted = count_rows(reads.select(*group).unionByName(change_rows.select(*group)), group)
+    crowded = hot_keys(both_counted, group, parts, min_rows)
+    if crowded is not None:
+        fact_rows, change_rows, reads = (
+            _refine(d, crowded, group) for d in (fact_rows, change_rows, reads))
 
     closing = (change_rows.groupBy(*group)
                .agg(F.max_by("_state", F.struct("_ts", "_seq")).alias("_closing")))
-    wanted = _refine(reads, crowded, group).groupBy(*group).agg(F.count(F.lit(1)).alias("_n"))
+    wanted = count_rows(reads, group)
     earlier = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(
         Window.unboundedPreceding, -1)
     opening = (wanted.unionByName(closing, allowMissingColumns=True)
@@ -61,11 +61,15 @@ def asof_join(facts: DataFrame, changes: DataFrame, keys: Sequence[str], *, ts:
                .where(F.col("_n").isNotNull() & F.col("_state").isNotNull())
                .select(*group, "_state"))
 
-    hot = hot_counts(wanted, group, total, parts, min_rows)
-    salted = add_salt(fact_rows, hot, group, ["_hash"], parts).drop("_hash")
-    states = repeat_per_salt(
-        change_rows.unionByName(opening, allowMissingColumns=True), hot, group)
-    both = salted.unionByName(states, allowMissingColumns=True)
+    states = change_rows.unionByName(opening, allowMissingColumns=True)
+    hot = hot_keys(wanted, group, parts, min_rows) if crowded is not None else None
+    if hot is None:
+        salted = fact_rows.withColumn("_salt", F.lit(0))
+        states = states.withColumn("_salt", F.lit(0))
+    else:
+        salted = add_salt(fact_rows, hot, group, ["_hash"], parts)
+        states = repeat_per_salt(states, hot, group)
+    both = salted.drop("_hash").unionByName(states, allowMissingColumns=True)
     so_far = (Window.partitionBy(*group, "_salt")
               .orderBy(F.col("_ts").asc_nulls_first(), F.col("_row").isNotNull(),
                        F.col("_seq").asc_nulls_first())

@@ -66,7 +66,7 @@ def with_revocations(ledger: DataFrame, revocations: DataFrame) -> DataFrame:
     sessions = first.where("kind = 'session'").select(
         F.col("id").alias("session_id"), F.col("at").alias("session_revoked_at"))
     return salted_join(ledger.join(tokens, "token_id", "left"), sessions, ["session_id"],
-                       ["token_id"])
+                       ["token_id"], base=ledger)
 
 
 def check_code(require_token: bool = True) -> F.Column:

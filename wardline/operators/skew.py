@@ -9,34 +9,40 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # A key is hot when it holds more than 1/PARTS of the rows and more than MIN_ROWS rows.
-# So fewer than PARTS keys are hot, which bounds what is broadcast, and all salts
-# together number fewer than 2 * PARTS.
+# So fewer than PARTS keys are hot, which bounds what is collected and broadcast, and all
+# salts together number fewer than 2 * PARTS.
 PARTS = 1000
 MIN_ROWS = 100_000
 
 
-def hot_keys(facts: DataFrame, keys: Sequence[str], parts: int = PARTS,
-             min_rows: int = MIN_ROWS) -> DataFrame:
-    """Hot keys of a table with `_salts`, the number of groups to split each into."""
-    counts = facts.where(_present(keys)).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    return hot_counts(counts, keys, facts.select(F.count(F.lit(1))).scalar(), parts, min_rows)
+def hot_keys(counts: DataFrame, keys: Sequence[str], parts: int = PARTS,
+             min_rows: int = MIN_ROWS) -> DataFrame | None:
+    """Hot keys of a table of row counts `_n` per key, or None when no key is hot.
+
+    `_salts` is the number of groups to split each key into. Counting is a job of its own,
+    combined map-side, so that the plan of a join without hot keys stays a plain one.
+    """
+    size = counts.agg(F.sum("_n").alias("total"), F.max("_n").alias("largest")).first()
+    share = max((size["total"] or 0) / parts, min_rows)
+    if (size["largest"] or 0) <= share:
+        return None
+    hot = counts.where(F.col("_n") > share).select(
+        *keys, F.ceil(F.col("_n") / F.lit(float(share))).cast("int").alias("_salts"))
+    return counts.sparkSession.createDataFrame(hot.collect(), hot.schema)
 
 
-def hot_counts(counts: DataFrame, keys: Sequence[str], total: Column, parts: int = PARTS,
-               min_rows: int = MIN_ROWS) -> DataFrame:
-    """Hot keys from a table of row counts `_n` per key and the total of all rows."""
-    share = F.greatest(total / F.lit(parts), F.lit(float(min_rows)))
-    return counts.where(F.col("_n") > share).select(
-        *keys, F.ceil(F.col("_n") / share).cast("int").alias("_salts"))
+def count_rows(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows per key, for rows that have one."""
+    return rows.where(_present(keys)).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
 
 
-def add_salt(facts: DataFrame, hot: DataFrame, keys: Sequence[str], spread: Sequence[str],
+def add_salt(rows: DataFrame, hot: DataFrame, keys: Sequence[str], spread: Sequence[str],
              parts: int = PARTS) -> DataFrame:
     """Add `_salt`: spread rows of hot keys, and rows without a key, by their own hash."""
     row_hash = F.xxhash64(*spread)
     salt = F.when(~_present(keys), F.pmod(row_hash, F.lit(parts))).when(
         F.col("_salts").isNotNull(), F.pmod(row_hash, F.col("_salts"))).otherwise(F.lit(0))
-    return (facts.join(F.broadcast(hot), list(keys), "left")
+    return (rows.join(F.broadcast(hot), list(keys), "left")
             .withColumn("_salt", salt.cast("int")).drop("_salts"))
 
 
@@ -61,11 +67,19 @@ def salted_join(facts: DataFrame, side: DataFrame, keys: Sequence[str], spread:
     how rows are spread, so they need not be exact.
     """
     keys = list(keys)
-    hot = hot_keys(facts if base is None else base, keys, parts, min_rows)
+    base = facts if base is None else base
+    hot = hot_keys(_with_nulls(base, keys), keys, parts, min_rows)
+    if hot is None:
+        return facts.join(side, keys, how)
     left = add_salt(facts, hot, keys, spread, parts)
     right = repeat_per_salt(side, hot, keys)
     return left.join(right, [*keys, "_salt"], how).drop("_salt")
 
 
+def _with_nulls(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows per key, where rows without a key count too: they also need to be spread."""
+    return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+
+
 def _present(keys: Sequence[str]) -> Column:
     return reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])

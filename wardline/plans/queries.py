@@ -12,6 +12,7 @@ from wardline.functions.tokens import canonical_query, query_hash
 from wardline.operators import (
     access, eligibility, identity, ledger, policy, results, screening, state, transfer, views)
 from wardline.plans import roles
+from wardline.session import stored
 from wardline.streaming.denials import denial_sessions, denial_windows
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -273,8 +274,9 @@ def _issued(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 
 def _checked(spark: SparkSession, sf_dir: str, require_token: bool = True) -> DataFrame:
-    return ledger.check_calls(roles.tool_calls(spark, sf_dir), _issued(spark, sf_dir)[0],
-                              roles.revocations(spark, sf_dir), require_token)
+    return ledger.check_calls(
+        roles.tool_calls(spark, sf_dir), stored(_issued(spark, sf_dir)[0]),
+        roles.revocations(spark, sf_dir), require_token)
 
 
 @query

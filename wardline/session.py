@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: int | str = "*", app: str = "wardline") -> SparkSession:
@@ -30,3 +30,10 @@ def with_checkpoints(spark: SparkSession) -> SparkSession:
     if folder is not None:
         spark.sparkContext.setCheckpointDir(folder)
     return spark
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """Table written to the shared checkpoint folder, for a result that many steps read."""
+    if df.sparkSession.sparkContext.getCheckpointDir() is None:
+        with_checkpoints(df.sparkSession)
+    return df.checkpoint()

@@ -63,8 +63,8 @@ def judge_batches(used_path: str, out_path: str,
         first = first_uses(checked).join(expiry, "call_id").select(
             "token_id", "call_id", "expires_on")
         used = spark.read.schema("token_id string, batch long, expires_on date").parquet(used_path)
-        oldest = checked.select(F.to_date(F.min("ts"))).scalar()
-        earlier = used.where((F.col("batch") < batch_id) & (F.col("expires_on") >= oldest))
+        oldest = batch.select(F.to_date(F.min("ts")).alias("day")).first()["day"]
+        earlier = used.where((F.col("batch") < batch_id) & (F.col("expires_on") >= F.lit(oldest)))
         fresh = first.join(earlier, "token_id", "left_anti")
         mark = fresh.select("call_id", F.lit(True).alias("_fresh"))
         judged = checked.join(mark, "call_id", "left").withColumn("verdict", F.when(
