@@ -22,7 +22,7 @@ def text(value: str) -> str:
 
 
 def texts(values) -> str:
-    return "[" + ", ".join(text(v) for v in values) + "]::VARCHAR[]"
+    return "([" + ", ".join(text(v) for v in values) + "]::VARCHAR[])"
 
 
 def levels(names) -> str:
@@ -339,8 +339,8 @@ HASH = f"'sha256:' || sha256({CANONICAL})"
 oracle("query_hashes", f"""
 SELECT call_id, {CANONICAL} AS canonical, {HASH} AS query_hash FROM calls""", "calls")
 cte("token_decisions", f"""
-  SELECT r.*, {REASON} AS c, {FILTER_ERROR} AS e, {ROW_FILTER} AS f, {MASK} AS m,
-    CASE WHEN c = 'ALLOWED' AND e IS NOT NULL THEN e ELSE c END AS code,
+  SELECT r.*, {REASON} AS decided, {FILTER_ERROR} AS e, {ROW_FILTER} AS f, {MASK} AS m,
+    CASE WHEN decided = 'ALLOWED' AND e IS NOT NULL THEN e ELSE decided END AS code,
     coalesce((SELECT arg_max(version_id, (t.ts, t.seq)) FROM timeline t WHERE t.ts <= r.ts),
       'v:0') AS policy_version
   FROM (SELECT *, asset_ids[1] AS asset_id FROM token_ids) r {JOINS}""",
