@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from wardline.functions import levels as L
 from wardline.functions.patterns import INJECTION_PATTERNS, Pattern
-from wardline.functions.text import _forms, let, matches
+from wardline.functions.text import let, matches, text_forms
 
 # Rank and confidence of one hit and of two or more hits per layer.
 LAYER_SCORES = {
@@ -27,9 +27,9 @@ def triggered_patterns(text: Column,
     """Names `layer:pattern` of the patterns in a text, in report order."""
     def body(forms: Column) -> Column:
         return F.array_compact(F.array(*[
-            F.when(matches(p, forms["text"], forms["fold"]), F.lit(f"{layer}:{p.name}"))
+            F.when(matches(p, forms), F.lit(f"{layer}:{p.name}"))
             for layer, patterns in layers.items() for p in patterns]))
-    return let(_forms(F.coalesce(text, F.lit(""))), body)
+    return let(text_forms(F.coalesce(text, F.lit(""))), body)
 
 
 def score(triggered: Column, block_on: int = L.HIGH) -> Column:

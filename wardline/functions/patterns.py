@@ -13,6 +13,13 @@ from dataclasses import dataclass
 BLANK = r"[\s\x1c-\x1f]"
 NOT_BLANK = r"[^\s\x1c-\x1f]"
 
+# Fixed value: characters on which the built-in word edge differs from the one below. Text
+# without them, nearly all of it, takes the built-in one, which is several times faster.
+ODD_EDGES = (r"[\p{M}\p{No}\x{200c}\x{200d}[\p{Pc}&&[^_]][\p{So}&&\p{IsAlphabetic}]]")
+
+# Fixed value: edge of a word of letters, numbers and underscores; marks are no part of it.
+WORD_EDGE = (r"(?:(?<![\p{L}\p{N}_])(?=[\p{L}\p{N}_])|(?<=[\p{L}\p{N}_])(?![\p{L}\p{N}_]))")
+
 
 @dataclass(frozen=True)
 class Pattern:
@@ -22,15 +29,20 @@ class Pattern:
     hints: tuple[tuple[str, ...], ...] = ()
     detect_regex: str | None = None
 
-    def flagged(self, regex: str | None = None) -> str:
+    def flagged(self, regex: str | None = None, exact_edges: bool = False) -> str:
         """The expression with Unicode classes and line rules as the results need them."""
         body = (regex or self.regex).replace(r"\s", BLANK).replace(r"\S", NOT_BLANK)
+        if exact_edges:
+            body = body.replace(r"\b", WORD_EDGE)
         return ("(?iUd)" if self.ignore_case else "(?Ud)") + body
 
-    @property
-    def detector(self) -> str:
+    def detector(self, exact_edges: bool = False) -> str:
         """Expression for finding, which may be narrower than the one for replacing."""
-        return self.flagged(self.detect_regex)
+        return self.flagged(self.detect_regex, exact_edges)
+
+    @property
+    def has_edges(self) -> bool:
+        return r"\b" in self.regex
 
 
 # Personal data patterns, in the order in which they are applied.

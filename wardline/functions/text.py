@@ -37,24 +37,30 @@ def fold_case(lowered: Column) -> Column:
     return lowered
 
 
-def matches(pattern: Pattern, text: Column, folded: Column) -> Column:
+def matches(pattern: Pattern, forms: Column) -> Column:
     """Whether a pattern occurs; cheap literal tests go before the expression."""
+    text, folded = forms["text"], forms["fold"]
     hints = [any_of([F.contains(folded, F.lit(w)) for w in words]) for words in pattern.hints]
-    return all_of([*hints, text.rlike(pattern.detector)])
+    found = text.rlike(pattern.detector())
+    if pattern.has_edges:
+        found = F.when(forms["odd"], text.rlike(pattern.detector(True))).otherwise(found)
+    return all_of([*hints, found])
 
 
-def _forms(text: Column) -> Column:
+def text_forms(text: Column) -> Column:
+    """A text with what all its tests share."""
     lowered = F.lower(text)
-    return F.struct(text.alias("text"), lowered.alias("low"), fold_case(lowered).alias("fold"))
+    return F.struct(text.alias("text"), lowered.alias("low"), fold_case(lowered).alias("fold"),
+                    text.rlike(P.ODD_EDGES).alias("odd"))
 
 
 def _kinds(forms: Column, patterns: Sequence[Pattern]) -> Column:
-    text, folded = forms["text"], forms["fold"]
+    def found(some: Sequence[Pattern]) -> Column:
+        names = [F.when(matches(p, forms), F.lit(p.name)) for p in some]
+        return F.array_compact(F.array(*names).cast("array<string>"))
+
     no_digit = [p for p in patterns if p.name not in P.DIGIT_PII]
-    names = [F.when(matches(p, text, folded), F.lit(p.name)) for p in patterns]
-    plain = [F.when(matches(p, text, folded), F.lit(p.name)) for p in no_digit]
-    return F.when(text.rlike(r"(?U)\d"), F.array_compact(F.array(*names))).otherwise(
-        F.array_compact(F.array(*plain)) if plain else F.array().cast("array<string>"))
+    return F.when(forms["text"].rlike(r"(?U)\d"), found(patterns)).otherwise(found(no_digit))
 
 
 def _classified(forms: Column, kinds: Column) -> Column:
@@ -63,7 +69,7 @@ def _classified(forms: Column, kinds: Column) -> Column:
                         + [F.contains(low, F.lit(w)) for w in P.RESTRICTED_KEYWORDS])
     confidential = any_of([F.size(kinds) > 0]
                           + [F.contains(low, F.lit(w)) for w in P.CONFIDENTIAL_KEYWORDS]
-                          + [matches(P.CURRENCY, forms["text"], forms["fold"])])
+                          + [matches(P.CURRENCY, forms)])
     return (F.when(restricted, F.lit(L.RESTRICTED)).when(confidential, F.lit(L.CONFIDENTIAL))
             .otherwise(F.lit(L.INTERNAL)))
 
@@ -73,7 +79,7 @@ def classify(text: Column, patterns: Sequence[Pattern] = P.PII_PATTERNS) -> Colu
     def body(forms: Column) -> Column:
         return let(_kinds(forms, patterns), lambda kinds: F.struct(
             _classified(forms, kinds).alias("rank"), kinds.alias("kinds")))
-    return F.when(text.isNotNull(), let(_forms(text), body))
+    return F.when(text.isNotNull(), let(text_forms(text), body))
 
 
 def classify_rank(text: Column, patterns: Sequence[Pattern] = P.PII_PATTERNS) -> Column:
@@ -83,7 +89,7 @@ def classify_rank(text: Column, patterns: Sequence[Pattern] = P.PII_PATTERNS) ->
 
 def pii_kinds(text: Column, patterns: Sequence[Pattern] = P.PII_PATTERNS) -> Column:
     """Names of the kinds of personal data in a text, in pattern order."""
-    return F.when(text.isNotNull(), let(_forms(text), lambda forms: _kinds(forms, patterns)))
+    return F.when(text.isNotNull(), let(text_forms(text), lambda forms: _kinds(forms, patterns)))
 
 
 def detect_pii(text: Column, patterns: Sequence[Pattern] = P.PII_PATTERNS) -> Column:
@@ -101,9 +107,28 @@ def brand_tags(text: Column, brands: Sequence[str] = P.KNOWN_BRANDS) -> Column:
 
 def redact_pii(text: Column, patterns: Sequence[Pattern] = P.PII_PATTERNS) -> Column:
     """Replace each kind of personal data in turn by its placeholder."""
-    for p in patterns:
-        text = F.regexp_replace(text, p.flagged(), f"[REDACTED:{p.name.upper()}]")
-    return text
+    def replaced(some: Sequence[Pattern], exact_edges: bool) -> Column:
+        out = text
+        for p in some:
+            out = _replace_kind(out, p, exact_edges)
+        return out
+
+    # A narrower detector may need a digit where the replacement does not.
+    no_digit = [p for p in patterns if p.name not in P.DIGIT_PII or p.detect_regex]
+    return (F.when(text.rlike(P.ODD_EDGES), replaced(patterns, True))
+            .when(text.rlike(r"(?U)\d"), replaced(patterns, False))
+            .otherwise(replaced(no_digit, False)))
+
+
+def _replace_kind(text: Column, pattern: Pattern, exact_edges: bool) -> Column:
+    def body(now: Column) -> Column:
+        letters = any(c.isalpha() for words in pattern.hints for w in words for c in w)
+        folded = fold_case(F.lower(now)) if letters else now
+        hints = [any_of([F.contains(folded, F.lit(w)) for w in ws]) for ws in pattern.hints]
+        done = F.regexp_replace(now, pattern.flagged(exact_edges=exact_edges),
+                                f"[REDACTED:{pattern.name.upper()}]")
+        return F.when(all_of(hints), done).otherwise(now) if hints else done
+    return let(text, body)
 
 
 def split_chunks(text: Column, size: int = P.CHUNK_SIZE, overlap: int = P.CHUNK_OVERLAP) -> Column:

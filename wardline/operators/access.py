@@ -43,13 +43,13 @@ def reason_code() -> Column:
         .when(~F.col("user_known"), "USER_UNKNOWN")
         .when(~at_most("sensitivity_rank", "ceiling_rank"), "AGENT_CEILING")
         .when(~at_most("sensitivity_rank", "clearance_rank"), "USER_CLEARANCE")
-        .when(~F.array_contains(empty_if_null(F.col("allowed_rights")), F.col("access_right")),
-              "RIGHT_NOT_ALLOWED")
+        .when(~F.coalesce(F.array_contains(F.col("allowed_rights"), F.col("access_right")),
+                          F.lit(False)), "RIGHT_NOT_ALLOWED")
         .when((F.size(tags) > 0) & (F.size(scope) == 0), "BRAND_SCOPE_EMPTY")
         .when((F.size(tags) > 0) & ~F.arrays_overlap(tags, scope), "BRAND_SCOPE_MISMATCH")
         .when(~open_source, "SOURCE_NOT_ALLOWED")
         .when(~consent, "CONSENT_BLOCKED")
-        .when(F.col("access_right").isNotNull() & open_source & consent, ALLOWED)
+        .when(open_source & consent, ALLOWED)
         .otherwise("POLICY_INCOMPLETE"))
 
 
@@ -169,7 +169,8 @@ def decision_counts(users: DataFrame, agents: DataFrame, assets: DataFrame, cons
         empty_if_null(F.col("brand_scope")))).alias("scope"))
         .groupBy("clearance_rank", "scope").agg(F.count(F.lit(1)).alias("n")))
     cleared_by, unscoped_by, n_total = _cumulate(profiles.groupBy(
-        F.least("clearance_rank", F.lit(L.SECRET)).alias("clearance_rank")).agg(
+        F.when(F.col("clearance_rank") > L.SECRET, L.SECRET).otherwise(F.col("clearance_rank"))
+        .alias("clearance_rank")).agg(
         F.sum("n").alias("n"), F.sum(F.when(F.size("scope") == 0, F.col("n")).otherwise(0))
         .alias("unscoped")).collect())
 

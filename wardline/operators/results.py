@@ -75,9 +75,7 @@ def cache_lookups(reads: DataFrame, writes: DataFrame, invalidations: DataFrame
                .groupBy("write_id").agg(F.min(F.struct("ts", "read_id")).alias("evicted_by")))
     found = salted_join(found, evicted, ["write_id"], ["read_id"])
     gone = F.coalesce(F.col("evicted_by") < F.struct("ts", "read_id"), F.lit(False))
-    still_fresh = F.col("lookup") != "MISS_EXPIRED"
-    return (found.withColumn("lookup", F.when(gone & still_fresh, "MISS_KEY")
-                             .otherwise(F.col("lookup")))
+    return (found.withColumn("lookup", F.when(gone, "MISS_KEY").otherwise(F.col("lookup")))
             .select(*reads.columns, "cache_key", "lookup",
                     F.when(F.col("lookup") == "HIT", F.col("write_id")).alias("write_id")))
 

@@ -34,13 +34,16 @@ def check_stream(calls: DataFrame, ledger: DataFrame, revocations: DataFrame, tt
     sessions = first.where("kind = 'session'").select(
         F.col("id").alias("session_id"), F.col("at").alias("session_revoked_at"))
     return (joined.join(tokens, "token_id", "left").join(sessions, "session_id", "left")
-            .select(*calls.columns, "issued_at", "expires_at", check_code().alias("check")))
+            .select(*calls.columns, "expires_at", check_code().alias("check")))
 
 
-def keep_first(checked: DataFrame, lateness: str) -> DataFrame:
-    """The first passing call per token of a stream; `lateness` covers the token lifetime."""
-    return (checked.where(F.col("check") == PASSED).withWatermark("ts", lateness)
-            .dropDuplicatesWithinWatermark(["token_id"]))
+def keep_first(checked: DataFrame) -> DataFrame:
+    """The first passing call per token of a stream with a watermark on `ts`.
+
+    The lateness of the watermark is how long a token is remembered, so it must be no
+    shorter than the lifetime of a token.
+    """
+    return checked.where(F.col("check") == PASSED).dropDuplicatesWithinWatermark(["token_id"])
 
 
 def judge_batches(used_path: str, out_path: str,
