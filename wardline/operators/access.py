@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wardline.functions import levels as L
-from wardline.operators.skew import salted_join
+from wardline.operators.skew import find_hot, salted_join, split_join
 
 ALLOWED = "ALLOWED"
 MAX_AGENTS = 1000
@@ -75,8 +75,11 @@ def join_assets(requests: DataFrame, assets: DataFrame, consent: DataFrame,
         "source", "asset_source").withColumn("asset_known", F.lit(True))
     granted = consent.where("granted").select(
         F.col("subject_id").alias("user_id"), "asset_id", F.lit(True).alias("consented"))
-    joined = salted_join(requests, asset_side, ["asset_id"], spread, base=base)
-    joined = salted_join(joined, granted, ["user_id", "asset_id"], spread, base=base)
+    hot = find_hot(base, ["asset_id"])
+    joined = split_join(requests, asset_side, ["asset_id"], spread, "left", hot)
+    # A pair can only be hot where its asset is.
+    hot_pairs = None if hot is None else find_hot(base, ["user_id", "asset_id"])
+    joined = split_join(joined, granted, ["user_id", "asset_id"], spread, "left", hot_pairs)
     return joined.fillna(False, ["asset_known", "consented"])
 
 
@@ -162,8 +165,9 @@ def decision_counts(users: DataFrame, agents: DataFrame, assets: DataFrame, cons
     """Number of decisions per agent, right and reason over all users and assets.
 
     Gives what deciding every user x agent x asset x right would, by counting: only
-    clearance, brand scope and consent depend on the user. Users are reduced to profiles
-    (clearance, scope) and meet assets on shared brands and on recorded consents alone.
+    clearance, brand scope and consent depend on the user. Users are reduced to profiles of
+    clearance and scope, and assets to profiles of level and tags; the two meet on shared
+    brands alone, and users meet assets on recorded consents alone.
     """
     profiles = (users.select("clearance_rank", F.array_sort(F.array_distinct(
         empty_if_null(F.col("brand_scope")))).alias("scope"))
@@ -174,13 +178,16 @@ def decision_counts(users: DataFrame, agents: DataFrame, assets: DataFrame, cons
         F.sum("n").alias("n"), F.sum(F.when(F.size("scope") == 0, F.col("n")).otherwise(0))
         .alias("unscoped")).collect())
 
-    tagged = assets.where(F.size(empty_if_null(F.col("brand_tags"))) > 0).select(
-        "asset_id", "sensitivity_rank", F.explode(F.array_distinct("brand_tags")).alias("brand"))
+    assets = assets.withColumn("tag_set", F.array_sort(F.array_distinct(
+        empty_if_null(F.col("brand_tags")))))
+    tagged = (assets.where(F.size("tag_set") > 0).select("sensitivity_rank", "tag_set").distinct()
+              .select("*", F.explode("tag_set").alias("brand")))
     by_brand = profiles.select("clearance_rank", "scope", "n", F.explode("scope").alias("brand"))
     overlap = (by_brand.join(tagged, "brand")
                .where(F.col("clearance_rank") >= F.col("sensitivity_rank"))
-               .groupBy("asset_id", "clearance_rank", "scope").agg(F.max("n").alias("n"))
-               .groupBy("asset_id").agg(F.sum("n").alias("n_overlap")))
+               .groupBy("sensitivity_rank", "tag_set", "clearance_rank", "scope")
+               .agg(F.max("n").alias("n"))
+               .groupBy("sensitivity_rank", "tag_set").agg(F.sum("n").alias("n_overlap")))
 
     granted = (consent.where("granted").select(F.col("subject_id").alias("user_id"), "asset_id"))
     need = assets.where("consent_required").select("asset_id", "sensitivity_rank", "brand_tags")
@@ -192,9 +199,10 @@ def decision_counts(users: DataFrame, agents: DataFrame, assets: DataFrame, cons
         (F.size(tags) == 0) | F.arrays_overlap(tags, empty_if_null(F.col("brand_scope")))))
         .groupBy("asset_id").agg(F.count(F.lit(1)).alias("n_consent")))
 
-    cells = (assets.select("asset_id", "source", "sensitivity_rank", "brand_tags",
+    cells = (assets.select("asset_id", "source", "sensitivity_rank", "tag_set", "brand_tags",
                            "consent_required")
-             .join(overlap, "asset_id", "left").join(consents, "asset_id", "left")
+             .join(overlap, ["sensitivity_rank", "tag_set"], "left")
+             .join(consents, "asset_id", "left")
              .withColumn("agent", F.explode(agent_list(agents)))
              .withColumn("access_right", F.explode(F.array(*[F.lit(r) for r in rights]))))
     n_users = F.lit(n_total)

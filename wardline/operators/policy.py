@@ -62,7 +62,10 @@ def consent_as_of(requests: DataFrame, consent_events: DataFrame, spread: Sequen
 
 
 def consented_rows(rows: DataFrame, consent_events: DataFrame, spread: Sequence[str]) -> DataFrame:
-    """Rows whose own subject consents to the use of their asset."""
+    """Rows whose own subject consents to the use of their asset.
+
+    For jobs of our own: a view under a user's query takes a literal filter instead.
+    """
     granted = latest_consent(consent_events).where("granted").select("subject_id", "asset_id")
     return salted_join(rows, granted, ["subject_id", "asset_id"], spread, "left_semi")
 

@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 from wardline.functions.tokens import cache_key
 from wardline.operators.asof import asof_join
 from wardline.operators.policy import latest_by
-from wardline.operators.skew import salted_join
+from wardline.operators.skew import find_hot, split_join
 
 # Seconds a result may be kept, by rank; 0 is never stored.
 TTL_SECONDS = (3600, 1800, 300, 60, 0)
@@ -71,9 +71,15 @@ def cache_lookups(reads: DataFrame, writes: DataFrame, invalidations: DataFrame
             F.col("removed_at") >= F.col("stored_at"), F.lit(False)), "MISS_KEY")
         .when(F.col("ts") > F.col("expires_at"), "MISS_EXPIRED")
         .when(foreign, "MISS_IDENTITY").when(stale, "MISS_VERSION").otherwise("HIT"))
+    # Reads that found no write get a value of their own, so that they are spread as well.
+    found = found.withColumn("_entry", F.coalesce(
+        F.col("write_id").cast("string"), F.concat(F.lit("read "), F.col("read_id"))))
     evicted = (found.where(F.col("lookup").isin("MISS_IDENTITY", "MISS_VERSION"))
-               .groupBy("write_id").agg(F.min(F.struct("ts", "read_id")).alias("evicted_by")))
-    found = salted_join(found, evicted, ["write_id"], ["read_id"])
+               .groupBy("_entry").agg(F.min(F.struct("ts", "read_id")).alias("evicted_by")))
+    # Reads of one entry share its key, so an entry can only be hot where its key is.
+    hot = find_hot(base, ["cache_key"])
+    hot_entries = None if hot is None else find_hot(found, ["_entry"])
+    found = split_join(found, evicted, ["_entry"], ["read_id"], "left", hot_entries)
     gone = F.coalesce(F.col("evicted_by") < F.struct("ts", "read_id"), F.lit(False))
     return (found.withColumn("lookup", F.when(gone, "MISS_KEY").otherwise(F.col("lookup")))
             .select(*reads.columns, "cache_key", "lookup",

@@ -54,6 +54,13 @@ def repeat_per_salt(side: DataFrame, hot: DataFrame, keys: Sequence[str]) -> Dat
             .drop("_salts"))
 
 
+def find_hot(base: DataFrame, keys: Sequence[str], parts: int = PARTS,
+             min_rows: int = MIN_ROWS) -> DataFrame | None:
+    """Hot keys of a table, where rows without a key count as one: they too need spreading."""
+    counts = base.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    return hot_keys(counts, keys, parts, min_rows)
+
+
 def salted_join(facts: DataFrame, side: DataFrame, keys: Sequence[str], spread: Sequence[str],
                 how: str = "left", base: DataFrame | None = None, parts: int = PARTS,
                 min_rows: int = MIN_ROWS) -> DataFrame:
@@ -66,9 +73,14 @@ def salted_join(facts: DataFrame, side: DataFrame, keys: Sequence[str], spread:
     so that counting reads one column of it and runs no joins twice. Counts only decide
     how rows are spread, so they need not be exact.
     """
+    hot = find_hot(facts if base is None else base, keys, parts, min_rows)
+    return split_join(facts, side, keys, spread, how, hot, parts)
+
+
+def split_join(facts: DataFrame, side: DataFrame, keys: Sequence[str], spread: Sequence[str],
+               how: str, hot: DataFrame | None, parts: int = PARTS) -> DataFrame:
+    """`salted_join` for hot keys that are known, or None for a plain join."""
     keys = list(keys)
-    base = facts if base is None else base
-    hot = hot_keys(_with_nulls(base, keys), keys, parts, min_rows)
     if hot is None:
         return facts.join(side, keys, how)
     left = add_salt(facts, hot, keys, spread, parts)
@@ -76,10 +88,5 @@ def salted_join(facts: DataFrame, side: DataFrame, keys: Sequence[str], spread:
     return left.join(right, [*keys, "_salt"], how).drop("_salt")
 
 
-def _with_nulls(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Rows per key, where rows without a key count too: they also need to be spread."""
-    return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-
-
 def _present(keys: Sequence[str]) -> Column:
     return reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])

@@ -11,8 +11,10 @@ from wardline.functions import text as X
 from wardline.functions.tokens import canonical_query, query_hash
 from wardline.operators import (
     access, eligibility, identity, ledger, policy, results, screening, state, transfer, views)
+from wardline.operators.skew import salted_join
 from wardline.plans import roles
 from wardline.session import stored
+from wardline.sources.tables import spread_few_files
 from wardline.streaming.denials import denial_sessions, denial_windows
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -83,7 +85,8 @@ def multi_user_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.replace("p_brand", F.lit("#"), F.lit("_")).alias("brand"))
     items = roles.table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice")
-    rows = items.join(parts, "l_partkey").drop("l_partkey")
+    rows = salted_join(items, parts, ["l_partkey"], ["l_orderkey", "l_linenumber"], "inner"
+                       ).drop("l_partkey")
     key = F.col("n_nationkey")
     auditors = roles.table(spark, sf_dir, "nation").select(
         F.concat(F.lit("auditor_"), key.cast("string")).alias("user_id"),
@@ -139,7 +142,7 @@ def consent_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Consent in force when each line item was shipped."""
     out = policy.consent_as_of(
         roles.shipped_rows(spark, sf_dir), roles.consent_events(spark, sf_dir),
-        ["l_orderkey", "l_linenumber"], ts="l_shipdate", bucket_seconds=30 * 86400)
+        ["l_orderkey", "l_linenumber"], ts="l_shipdate")
     return out.groupBy("subject_id", "consented").agg(
         F.count(F.lit(1)).alias("n_rows"), F.sum("l_quantity").cast("long").alias("quantity"))
 
@@ -402,7 +405,7 @@ def govern_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 def govern_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Structured event content as text, then governed."""
     content = F.struct("event_type", "user_id", "props")
-    rows = roles.table(spark, sf_dir, "events").select(
+    rows = spread_few_files(roles.table(spark, sf_dir, "events"), "event_id").select(
         "event_id", X.as_text(content, True).alias("text"), F.lit(1).alias("ceiling_rank"))
     return transfer.govern(rows, "text", "ceiling_rank").select(
         "event_id", "redaction_count", "max_rank_seen", "safe_text")
@@ -413,10 +416,11 @@ def govern_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders of customers for a receiver cleared for confidential data."""
     customers = roles.table(spark, sf_dir, "customer").select(
         F.col("c_custkey").alias("o_custkey"), "c_name", "c_mktsegment")
-    rows = roles.table(spark, sf_dir, "orders").select(
+    orders = roles.table(spark, sf_dir, "orders").select(
         "o_orderkey", "o_custkey", "o_orderstatus",
-        F.date_format("o_orderdate", "yyyy-MM-dd").alias("ordered_on")).join(
-        customers, "o_custkey")
+        F.date_format("o_orderdate", "yyyy-MM-dd").alias("ordered_on"))
+    rows = salted_join(spread_few_files(orders, "o_orderkey"), customers, ["o_custkey"],
+                       ["o_orderkey"], "inner", base=orders)
     return transfer.govern_rows(rows, 2, masked=["c_name"], keep=["o_orderkey"])
 
 
@@ -456,7 +460,7 @@ def injection_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 def injection_scan_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = F.col("assessment")
     return screening.screen_rows(
-        roles.table(spark, sf_dir, "pages"), ["page_id"]).select(
+        roles.pages(spark, sf_dir), ["page_id"]).select(
         "page_id", "field", a["risk"].alias("risk"), _list(a["triggered"]).alias("triggered"))
 
 

@@ -9,7 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wardline.operators.skew import salted_join
 from wardline.plans.seeds import SEEDS
+from wardline.sources.tables import spread_few_files
 
 # The registered agents.
 AGENTS = (
@@ -120,7 +122,7 @@ def shipped_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
         _name("Brand_", 1 + F.col("o_orderkey") % 25).alias("asset_id"))
     items = table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_shipdate")
-    return items.join(orders, "l_orderkey")
+    return salted_join(items, orders, ["l_orderkey"], ["l_orderkey", "l_linenumber"], "inner")
 
 
 def _user(column: str = "user_id") -> Column:
@@ -229,12 +231,17 @@ def seeded(rows: DataFrame, text: str, number: Column) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return seeded(table(spark, sf_dir, "documents"), "text", F.col("doc_id"))
+    rows = spread_few_files(table(spark, sf_dir, "documents"), "doc_id")
+    return seeded(rows, "text", F.col("doc_id"))
 
 
 def conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return seeded(table(spark, sf_dir, "conversations"), "text",
-                  F.col("conv_id") + F.col("turn"))
+    rows = spread_few_files(table(spark, sf_dir, "conversations"), "conv_id", "turn")
+    return seeded(rows, "text", F.col("conv_id") + F.col("turn"))
+
+
+def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread_few_files(table(spark, sf_dir, "pages"), "page_id")
 
 
 def transfers(spark: SparkSession, sf_dir: str) -> DataFrame:

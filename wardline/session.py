@@ -15,6 +15,8 @@ def local_session(cores: int | str = "*", app: str = "wardline") -> SparkSession
              .config("spark.sql.adaptive.enabled", "true")
              .config("spark.sql.session.timeZone", "UTC")
              .config("spark.driver.memory", "12g")
+             # No call sites per column expression: they dominate the making of large plans.
+             .config("spark.python.sql.dataFrameDebugging.enabled", "false")
              .config("spark.ui.enabled", "false")
              .config("spark.ui.showConsoleProgress", "false")
              .getOrCreate())

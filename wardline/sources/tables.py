@@ -16,6 +16,18 @@ def read_table(spark: SparkSession, path: str, schema: T.StructType | None = Non
     return (reader.schema(schema) if schema is not None else reader).load(path)
 
 
+def spread_few_files(df: DataFrame, *keys: str) -> DataFrame:
+    """Spread rows over all cores where a table has too few files to keep them busy.
+
+    For work that is heavy per row, such as the text operators. A table with at least one
+    split per core is left as it is, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores, *keys)
+
+
 def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
     """Cast to a declared schema; absent columns become null, others are dropped."""
     present = set(df.columns)

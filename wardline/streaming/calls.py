@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wardline.functions.tokens import query_hash
@@ -12,20 +12,28 @@ from wardline.operators.ledger import PASSED, check_code, first_uses, with_revoc
 from wardline.operators.skew import salted_join
 
 
+# Groups that the calls of a token are spread over; every ledger row is kept once per group.
+SALTS = 8
+
+
 def check_stream(calls: DataFrame, ledger: DataFrame, revocations: DataFrame, ttl_seconds: int,
-                 lateness: str = "10 minutes") -> DataFrame:
+                 lateness: str = "10 minutes", salts: int = SALTS) -> DataFrame:
     """Calls on a live token, checked against a stream of ledger rows.
 
     Both sides are watermarked and a call only meets the ledger row of its token while the
     token lives, so state is dropped once it has expired. `revocations` is a static table;
-    read it anew per micro-batch with `judge_batches` where it grows.
+    read it anew per micro-batch with `judge_batches` where it grows. Calls are spread over
+    `salts` groups per token, for tokens that are called very often.
     """
-    left = calls.withWatermark("ts", lateness).withColumn("call_hash", query_hash(F.col("query")))
+    left = (calls.withWatermark("ts", lateness)
+            .withColumn("call_hash", query_hash(F.col("query"))).withColumn("_salt", _salt(salts)))
     right = ledger.withWatermark("issued_at", lateness).select(
         F.col("token_id").alias("ledger_token"), F.col("agent_id").alias("token_agent_id"),
-        "query_hash", "session_id", "issued_at", "expires_at")
+        "query_hash", "session_id", "issued_at", "expires_at",
+        F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("ledger_salt"))
     lifetime = F.expr(f"INTERVAL {int(ttl_seconds)} SECONDS")
     joined = left.join(right, (F.col("token_id") == F.col("ledger_token"))
+                       & (F.col("_salt") == F.col("ledger_salt"))
                        & (F.col("ts") >= F.col("issued_at"))
                        & (F.col("ts") <= F.col("issued_at") + lifetime), "inner")
     first = revocations.groupBy("kind", "id").agg(F.min("ts").alias("at"))
@@ -37,13 +45,21 @@ def check_stream(calls: DataFrame, ledger: DataFrame, revocations: DataFrame, tt
             .select(*calls.columns, "expires_at", check_code().alias("check")))
 
 
-def keep_first(checked: DataFrame) -> DataFrame:
-    """The first passing call per token of a stream with a watermark on `ts`.
+def keep_first(checked: DataFrame, salts: int = SALTS) -> DataFrame:
+    """One passing call per token of a stream with a watermark on `ts`.
 
-    The lateness of the watermark is how long a token is remembered, so it must be no
-    shorter than the lifetime of a token.
+    Later calls on the token are dropped. Of several calls in the micro-batch that uses the
+    token up, any may be kept; where the earliest must win, use `judge_batches`. The lateness of the watermark is how long a token is remembered, so it must be no
+    shorter than the lifetime of a token. Calls are reduced to one per token and group
+    before the calls of a token meet, so a token called very often fills no one task.
     """
-    return checked.where(F.col("check") == PASSED).dropDuplicatesWithinWatermark(["token_id"])
+    passed = checked.where(F.col("check") == PASSED).withColumn("_salt", _salt(salts))
+    return (passed.dropDuplicatesWithinWatermark(["token_id", "_salt"]).drop("_salt")
+            .dropDuplicatesWithinWatermark(["token_id"]))
+
+
+def _salt(salts: int) -> Column:
+    return F.pmod(F.xxhash64("call_id"), F.lit(salts)).cast("int")
 
 
 def judge_batches(used_path: str, out_path: str,

@@ -18,7 +18,11 @@ def denial_windows(denials: DataFrame, length: str = "1 hour", slide: str = "15
 
 def denial_session_stream(denials: DataFrame, gap: str = "5 minutes",
                           lateness: str = "10 minutes", ts: str = "ts") -> DataFrame:
-    """Bursts of denials per user of a stream, separated by a pause of `gap`."""
+    """Bursts of denials per user of a stream, separated by a pause of `gap`.
+
+    Set spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition to combine
+    the denials of a user before the shuffle.
+    """
     timed = denials.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, lateness)
     return (timed.groupBy("user_id", F.session_window(ts, gap).alias("w"))
             .agg(F.count(F.lit(1)).alias("n_denials"))
@@ -30,8 +34,7 @@ def denial_sessions(denials: DataFrame, gap_seconds: int = 300, ts: str = "ts")
     """Bursts of denials per user of a table, separated by a pause of the gap.
 
     Denials of one user within one second are combined before the shuffle, with a gap that
-    covers them, so a user with most of the denials is still a short list. A denial exactly
-    one gap after another one starts a new burst.
+    covers them, so a user with most of the denials is still a short list.
     """
     micros = F.unix_micros(F.col(ts).cast("timestamp"))
     seconds = (denials.groupBy("user_id", F.floor(micros / 1_000_000).alias("second"))
