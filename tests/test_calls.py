@@ -323,3 +323,29 @@ def test_delegation_loses_entitlements_and_says_so(spark):
     assert got["metadata"] == {"upn": "x", "obo_degraded": "true",
                                "original_clearance": "restricted",
                                "original_brand_scope": "brand_b"}
+
+
+def test_delegated_sessions_name_their_original(spark):
+    users = spark.createDataFrame([(1, "u")], "claim_id int, user_id string")
+    originals = spark.createDataFrame([("s0", "u", ["brand_b"], 3)], "session_id string, "
+                                      "user_id string, brand_scope array<string>, "
+                                      "clearance_rank int")
+    requests = spark.createDataFrame(
+        [(1, 1, at(0), "x", "s0"), (2, 1, at(1), "x", None), (3, 1, at(2), "x", "gone")],
+        "request_id int, claim_id int, ts timestamp, request_intent string, "
+        "original_session_id string")
+    got = {r["request_id"]: r for r in identity.on_behalf_sessions(
+        requests, users, originals).collect()}
+    assert got[1]["metadata"]["original_session_id"] == "s0"
+    assert got[1]["metadata"]["original_clearance"] == "restricted"
+    assert got[1]["brand_scope"] == [] and got[1]["clearance_rank"] == 1
+    assert set(got[2]["metadata"]) == set(got[3]["metadata"]) == {"auth_source", "obo_degraded"}
+
+
+def test_a_step_reads_before_it_writes(spark, shared):
+    requests, outputs = shared
+    produced = spark.createDataFrame([
+        ("s", "writer", "summary", 6, 0, {"t": "late"}, 1, at(6))], schemas.AGENT_OUTPUTS)
+    seen, after = state.step(requests, outputs, produced)
+    assert seen.count() == 2 and after.count() == outputs.count() + 1
+    assert state.read_state(requests, after).count() == 3

@@ -51,7 +51,12 @@ def text_forms(text: Column) -> Column:
     """A text with what all its tests share."""
     lowered = F.lower(text)
     return F.struct(text.alias("text"), lowered.alias("low"), fold_case(lowered).alias("fold"),
-                    text.rlike(P.ODD_EDGES).alias("odd"))
+                    has_odd_edges(text).alias("odd"))
+
+
+def has_odd_edges(text: Column) -> Column:
+    """Whether word edges need the exact rule; never in text of one byte per character."""
+    return (F.octet_length(text) != F.length(text)) & text.rlike(P.ODD_EDGES)
 
 
 def _kinds(forms: Column, patterns: Sequence[Pattern]) -> Column:
@@ -115,7 +120,7 @@ def redact_pii(text: Column, patterns: Sequence[Pattern] = P.PII_PATTERNS) -> Co
 
     # A narrower detector may need a digit where the replacement does not.
     no_digit = [p for p in patterns if p.name not in P.DIGIT_PII or p.detect_regex]
-    return (F.when(text.rlike(P.ODD_EDGES), replaced(patterns, True))
+    return (F.when(has_odd_edges(text), replaced(patterns, True))
             .when(text.rlike(r"(?U)\d"), replaced(patterns, False))
             .otherwise(replaced(no_digit, False)))
 

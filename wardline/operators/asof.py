@@ -37,11 +37,11 @@ def asof_join(facts: DataFrame, changes: DataFrame, keys: Sequence[str], *, ts:
     # Facts without a key match nothing; they are spread, so that they fill no one task.
     keyless = reduce(lambda a, b: a | b, [F.col(c).isNull() for c in keys])
     spread_out = F.when(keyless, F.pmod(F.xxhash64(*spread), F.lit(parts))).otherwise(F.lit(0))
-    fact_rows = facts.select(*keys, spread_out.cast("long").alias("_bucket"),
-                             F.col(ts).alias("_ts"), F.struct(*columns).alias("_row"))
+    fact_rows = facts.select("*", spread_out.cast("long").alias("_bucket"),
+                             F.col(ts).alias("_ts"), F.lit(True).alias("_is_fact"))
     change_rows = changes.where(reduce(lambda a, b: a & b, known)).select(
         *keys, bucket, F.col(change_ts).alias("_ts"), F.col(seq).alias("_seq"),
-        F.struct(*payload).alias("_state"))
+        F.struct(*payload).alias("_state"), F.lit(False).alias("_is_fact"))
     reads = base.select(*keys, bucket, F.col(ts).alias("_ts"))
 
     hot = hot_keys(count_rows(reads.select(*keys).unionByName(change_rows.select(*keys)), keys),
@@ -50,21 +50,19 @@ def asof_join(facts: DataFrame, changes: DataFrame, keys: Sequence[str], *, ts:
         both, within = fact_rows.unionByName(change_rows, allowMissingColumns=True), group
     else:
         both, within = _cut_hot_keys(
-            fact_rows.withColumn("_hash", F.xxhash64(*[F.col("_row")[c] for c in spread])),
-            change_rows, reads, hot, keys, bucket_seconds, parts, min_rows)
+            fact_rows, change_rows, reads, hot, keys, spread, bucket_seconds, parts, min_rows)
     so_far = (Window.partitionBy(*within)
-              .orderBy(F.col("_ts").asc_nulls_first(), F.col("_row").isNotNull(),
+              .orderBy(F.col("_ts").asc_nulls_first(), "_is_fact",
                        F.col("_seq").asc_nulls_first())
               .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     return (both.withColumn("_found", F.last("_state", ignorenulls=True).over(so_far))
-            .where(F.col("_row").isNotNull())
-            .select(*[F.col("_row")[c].alias(c) for c in columns],
-                    *[F.col("_found")[c].alias(c) for c in payload]))
+            .where("_is_fact")
+            .select(*columns, *[F.col("_found")[c].alias(c) for c in payload]))
 
 
 def _cut_hot_keys(fact_rows: DataFrame, change_rows: DataFrame, reads: DataFrame,
-                  hot: DataFrame, keys: Sequence[str], width: int, parts: int, min_rows: int
-                  ) -> tuple[DataFrame, list[str]]:
+                  hot: DataFrame, keys: Sequence[str], spread: Sequence[str], width: int,
+                  parts: int, min_rows: int) -> tuple[DataFrame, list[str]]:
     """Facts and states of the buckets of hot keys, and the columns that tell groups apart."""
     group = [*keys, "_bucket"]
     fact_rows, change_rows, reads = (
@@ -80,12 +78,12 @@ def _cut_hot_keys(fact_rows: DataFrame, change_rows: DataFrame, reads: DataFrame
                                     F.first("_closing", ignorenulls=True).alias("_closing"))
                .withColumn("_state", F.last("_closing", ignorenulls=True).over(earlier))
                .where(F.col("_n").isNotNull() & F.col("_state").isNotNull())
-               .select(*group, "_state"))
+               .select(*group, "_state", F.lit(False).alias("_is_fact")))
     states = change_rows.unionByName(opening, allowMissingColumns=True)
     crowded = hot_keys(counts, group, parts, min_rows)
     if crowded is None:
-        return fact_rows.drop("_hash").unionByName(states, allowMissingColumns=True), group
-    salted = add_salt(fact_rows, crowded, group, ["_hash"], parts).drop("_hash")
+        return fact_rows.unionByName(states, allowMissingColumns=True), group
+    salted = add_salt(fact_rows, crowded, group, spread, parts)
     return (salted.unionByName(repeat_per_salt(states, crowded, group), allowMissingColumns=True),
             [*group, "_salt"])
 

@@ -151,19 +151,50 @@ def degrade_on_behalf_of(users: DataFrame) -> DataFrame:
             .withColumn("clearance_rank", F.lit(L.INTERNAL)))
 
 
+def _session_id() -> Column:
+    return F.concat(F.lit("ses_"), F.substring(F.sha2(F.concat_ws(
+        "|", F.col("request_id").cast("string"), F.col("claim_id").cast("string")), 256), 1, 32))
+
+
 def sessions(requests: DataFrame, users: DataFrame) -> DataFrame:
     """One session per authenticated request of a known claim record.
 
     `requests` has request_id, claim_id, ts and request_intent; a request is made with
     one claim record.
     """
-    session_id = F.concat(F.lit("ses_"), F.substring(F.sha2(F.concat_ws(
-        "|", F.col("request_id").cast("string"), F.col("claim_id").cast("string")), 256), 1, 32))
     joined = salted_join(requests, users, ["claim_id"], ["request_id"], "inner")
     return joined.select(
-        session_id.alias("session_id"), "request_id", "user_id", "brand_scope",
+        _session_id().alias("session_id"), "request_id", "user_id", "brand_scope",
         "clearance_rank", "request_intent", F.col("ts").alias("created_at"),
         F.create_map(F.lit("auth_source"), F.lit("entra_id"),
                      F.lit("upn"), F.element_at("metadata", F.lit("upn")),
                      F.lit("app_id"), F.element_at("metadata", F.lit("app_id")))
         .alias("metadata"))
+
+
+def on_behalf_sessions(requests: DataFrame, users: DataFrame, originals: DataFrame) -> DataFrame:
+    """Sessions of delegated calls: degraded, with what the original session had.
+
+    `requests` has request_id, claim_id, ts, request_intent and original_session_id, which
+    may be null or unknown. What was lost is taken from the original session, since the
+    delegated claims no longer hold it.
+    """
+    before = originals.select(
+        F.col("session_id").alias("original_session_id"),
+        F.col("user_id").alias("original_user_id"), F.col("brand_scope").alias("original_scope"),
+        F.col("clearance_rank").alias("original_rank"))
+    known = salted_join(requests, users.select("claim_id", "user_id"), ["claim_id"],
+                        ["request_id"], "inner")
+    joined = salted_join(known, before, ["original_session_id"], ["request_id"], base=requests)
+    return joined.select(
+        _session_id().alias("session_id"), "request_id", "user_id",
+        F.array().cast("array<string>").alias("brand_scope"),
+        F.lit(L.INTERNAL).alias("clearance_rank"), "request_intent", F.col("ts").alias("created_at"),
+        F.map_filter(F.create_map(
+            F.lit("auth_source"), F.lit("entra_id_obo"), F.lit("obo_degraded"), F.lit("true"),
+            F.lit("original_session_id"), F.when(
+                F.col("original_user_id").isNotNull(), F.col("original_session_id")),
+            F.lit("original_user_id"), F.col("original_user_id"),
+            F.lit("original_clearance"), L.rank_to_name(F.col("original_rank")),
+            F.lit("original_brand_scope"), F.array_join("original_scope", ",")),
+            lambda k, v: v.isNotNull()).alias("metadata"))

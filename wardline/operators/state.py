@@ -64,6 +64,15 @@ def read_state(requests: DataFrame, outputs: DataFrame) -> DataFrame:
         L.rank_to_name(F.col("sensitivity_rank")).alias("sensitivity"), data.alias("data"))
 
 
+def step(requests: DataFrame, outputs: DataFrame, produced: DataFrame
+         ) -> tuple[DataFrame, DataFrame]:
+    """What agents see on entry to a step, and the outputs after it, with what they wrote.
+
+    Reads see only what was there before; nothing is cleared at the end of a step.
+    """
+    return read_state(requests, outputs), outputs.unionByName(produced)
+
+
 def read_violations(requests: DataFrame, outputs: DataFrame) -> DataFrame:
     """Declared outputs left out because they rank above the reader's ceiling."""
     return match_outputs(requests, outputs).where("excluded").select(

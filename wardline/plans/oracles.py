@@ -216,6 +216,10 @@ GROUP BY source""", "assets")
 oracle("asset_latest", """
 SELECT replace(p_brand, '#', '_') AS asset_id, p_type, p_size, p_partkey AS seq FROM part
 QUALIFY row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey DESC) = 1""")
+oracle("agent_latest", """
+SELECT 'agent_' || (event_id % 9) AS agent_id, event_type AS agent_type,
+  CAST(user_id % 5 AS INTEGER) AS ceiling_rank, event_id AS seq FROM events
+QUALIFY row_number() OVER (PARTITION BY event_id % 9 ORDER BY event_id DESC) = 1""")
 oracle("consent_latest", "SELECT subject_id, asset_id, granted FROM consent", "consent")
 oracle("consent_as_of", """
 SELECT subject_id, consented, count(*) AS n_rows, CAST(sum(l_quantity) AS BIGINT) AS quantity
@@ -738,6 +742,18 @@ SELECT 'ses_' || substr(sha256(event_id || '|' || claim_id), 1, 32) AS session_i
   'app_id=' || app_id || ';auth_source=entra_id;upn=' || upn AS metadata
 FROM events e JOIN entitled u ON e.user_id * 11 = u.claim_id""", "entitled")
 
+oracle("obo_sessions", f"""
+SELECT 'ses_' || substr(sha256(e.event_id || '|' || u.claim_id), 1, 32) AS session_id, u.user_id,
+  '' AS brand_scope, 1 AS clearance_rank, 'auth_source=entra_id_obo;obo_degraded=true'
+  || CASE WHEN o.user_id IS NULL THEN '' ELSE ';original_brand_scope='
+    || array_to_string(u.scope, ',') || ';original_clearance='
+    || {texts(SENSITIVITY_LEVELS)}[u.clearance_rank + 1] || ';original_session_id=ses_'
+    || substr(sha256((e.event_id - 1) || '|' || u.claim_id), 1, 32) || ';original_user_id='
+    || u.user_id END AS metadata
+FROM events e JOIN entitled u ON e.user_id * 11 = u.claim_id
+LEFT JOIN events o ON o.event_id = e.event_id - 1 AND o.user_id = e.user_id
+WHERE e.event_type = 'click'""", "entitled")
+
 # --- Denials over time ------------------------------------------------------------------
 
 oracle("denials_by_window", """

@@ -132,6 +132,11 @@ def asset_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return policy.latest_assets(roles.registrations(spark, sf_dir))
 
 
+@query
+def agent_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return policy.latest_agents(roles.agent_registrations(spark, sf_dir))
+
+
 @query
 def consent_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return policy.latest_consent(roles.consent_events(spark, sf_dir))
@@ -617,6 +622,23 @@ def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
         _list("brand_scope").alias("brand_scope"), _pairs("metadata").alias("metadata"))
 
 
+@query
+def obo_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clicks are delegated calls on behalf of the session of the event before."""
+    events = roles.table(spark, sf_dir, "events").select(
+        F.col("event_id").alias("request_id"), (F.col("user_id") * 11).alias("claim_id"), "ts",
+        F.col("event_type").alias("request_intent"))
+    users = _users_of(spark, sf_dir)
+    originals = identity.sessions(events, users)
+    previous = F.concat(F.lit("ses_"), F.substring(F.sha2(F.concat_ws(
+        "|", (F.col("request_id") - 1).cast("string"), F.col("claim_id").cast("string")), 256),
+        1, 32))
+    calls = events.where("request_intent = 'click'").withColumn("original_session_id", previous)
+    return identity.on_behalf_sessions(calls, users, originals).select(
+        "session_id", "user_id", _list("brand_scope").alias("brand_scope"), "clearance_rank",
+        _pairs("metadata").alias("metadata"))
+
+
 # --- Denials over time ------------------------------------------------------------------
 
 

@@ -129,12 +129,20 @@ def _user(column: str = "user_id") -> Column:
     return _name("user_", F.col(column) * 11)
 
 
+def agent_registrations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every event registers its agent anew; the highest event is the latest."""
+    return table(spark, sf_dir, "events").select(
+        _name("agent_", F.col("event_id") % 9).alias("agent_id"),
+        F.col("event_type").alias("agent_type"),
+        (F.col("user_id") % 5).cast("int").alias("ceiling_rank"), F.col("event_id").alias("seq"))
+
+
 def _session(user: Column) -> Column:
     return F.concat(user, F.lit("_"), F.date_format("ts", "yyyyMMdd"))
 
 
 def _div(column: str, by: int) -> Column:
-    return F.floor(F.col(column) / by).cast("long")
+    return F.expr(f"{column} div {by}")
 
 
 def access_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
