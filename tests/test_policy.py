@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from wardline.functions import levels as L
 from wardline.operators import access, eligibility, policy, views
 from wardline.sources import schemas
-from wardline.sources.tables import append_with_date, conform, read_table
+from wardline.sources.tables import (
+    append_with_date, conform, read_table, spread_few_files)
 
 ABC = ["brand_a", "brand_b", "brand_c"]
 
@@ -247,6 +248,15 @@ def test_empty_brand_list_sees_nothing_and_missing_column_is_refused(spark, part
         views.governed_view(table, brand_column="nope", brands=["x"])
 
 
+def test_few_files_are_spread_and_many_are_left(spark, tmp_path):
+    path = str(tmp_path / "one")
+    spark.range(100).coalesce(1).write.parquet(path)
+    one = spread_few_files(spark.read.parquet(path), "id")
+    assert one.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    many = spark.range(100).repartition(9)
+    assert spread_few_files(many, "id") is many
+
+
 def test_logs_are_read_back_with_the_declared_schema(spark, tables, tmp_path):
     rows = [("s1", "a1", datetime(2024, 1, 2, 3)), ("s2", "a1", datetime(2024, 1, 3, 4))]
     log = conform(spark.createDataFrame(

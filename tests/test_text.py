@@ -198,6 +198,16 @@ def test_null_ceiling_withholds(spark):
     assert transfer.govern(df, "t", "ceiling").first()["safe_text"] == WITHHELD
 
 
+@pytest.mark.parametrize("mode", transfer.MODES)
+def test_null_text_passes_empty_in_every_mode(spark, mode):
+    df = spark.createDataFrame([(None, 1), ("mail a@b.com", 1)], "t string, ceiling int")
+    out = transfer.govern(df, "t", "ceiling", mode)
+    passed, stopped = transfer.split_blocked(out)
+    assert passed.count() + stopped.count() == 2
+    first = out.where("t IS NULL").first()
+    assert (first["safe_text"], first["redaction_count"], first["blocked"]) == ("", 0, False)
+
+
 def test_governed_rows(spark):
     rows = spark.createDataFrame(
         [("Ann", "a@b.com", 85000, "1990-05-15", "the budget", None)],

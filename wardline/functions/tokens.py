@@ -31,4 +31,5 @@ def cache_key(version: Column, user_id: Column, agent_id: Column, query: Column)
     identity = F.concat_ws(":", user_id, agent_id)
     return F.concat_ws(
         ":", F.lit("governed"), F.substring(version, 1, 16),
-        F.substring(F.sha2(identity, 256), 1, 16), F.substring(F.sha2(strip_blanks(query), 256), 1, 24))
+        F.substring(F.sha2(identity, 256), 1, 16),
+        F.substring(F.sha2(strip_blanks(query), 256), 1, 24))

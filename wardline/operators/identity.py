@@ -189,7 +189,8 @@ def on_behalf_sessions(requests: DataFrame, users: DataFrame, originals: DataFra
     return joined.select(
         _session_id().alias("session_id"), "request_id", "user_id",
         F.array().cast("array<string>").alias("brand_scope"),
-        F.lit(L.INTERNAL).alias("clearance_rank"), "request_intent", F.col("ts").alias("created_at"),
+        F.lit(L.INTERNAL).alias("clearance_rank"), "request_intent",
+        F.col("ts").alias("created_at"),
         F.map_filter(F.create_map(
             F.lit("auth_source"), F.lit("entra_id_obo"), F.lit("obo_degraded"), F.lit("true"),
             F.lit("original_session_id"), F.when(

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wardline.functions.tokens import query_hash
@@ -36,7 +38,7 @@ def issue_tokens(requests: DataFrame, users: DataFrame, agents: DataFrame, asset
         F.array_sort(F.collect_list(F.when(F.col("pos").isNotNull(), item))).alias("items"))
         .withColumn("denied", F.filter("items", lambda i: i["reason_code"] != PASSED)))
 
-    def per_asset(field: str, keep) -> F.Column:
+    def per_asset(field: str, keep: Callable[[Column], Column]) -> Column:
         return F.map_from_entries(F.array_distinct(F.transform(
             F.filter("items", lambda i: keep(i[field])),
             lambda i: F.struct(i["asset_id"], i[field]))))
@@ -69,7 +71,7 @@ def with_revocations(ledger: DataFrame, revocations: DataFrame) -> DataFrame:
                        ["token_id"], base=ledger)
 
 
-def check_code(require_token: bool = True) -> F.Column:
+def check_code(require_token: bool = True) -> Column:
     """Verdict on a call joined to its ledger row, before the test for single use."""
     ungoverned = "UNGOVERNED" if require_token else "ALLOWED_UNGOVERNED"
     ts = F.col("ts")

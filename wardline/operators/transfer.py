@@ -11,7 +11,8 @@ from pyspark.sql import types as T
 from wardline.functions import levels as L
 from wardline.functions import patterns as P
 from wardline.functions.patterns import Pattern
-from wardline.functions.text import brand_tags, classify, classify_rank, let, redact_pii, split_chunks
+from wardline.functions.text import (
+    brand_tags, classify, classify_rank, let, redact_pii, split_chunks)
 
 MODES = ("REDACT", "BLOCK", "AUDIT")
 
@@ -58,6 +59,8 @@ def govern(transfers: DataFrame, text: str, ceiling: str, mode: str = "REDACT",
            brands: Sequence[str] = P.KNOWN_BRANDS, redact_then_chunk: bool = False) -> DataFrame:
     """Govern the text column of each transfer for a receiver of rank `ceiling`.
 
+    A null text passes as an empty one, and a null ceiling lets nothing pass.
+
     Adds the governed chunks, their number above the ceiling, the highest level seen,
     `blocked` and `safe_text`. All work stays within the row; nothing is shuffled.
     With `redact_then_chunk`, personal data is replaced before the text is cut whenever the
@@ -66,7 +69,7 @@ def govern(transfers: DataFrame, text: str, ceiling: str, mode: str = "REDACT",
     if mode not in MODES:
         raise ValueError(f"mode must be one of {MODES}")
     limit = F.col(ceiling)
-    content = F.col(text)
+    content = F.coalesce(F.col(text), F.lit(""))
     if redact_then_chunk:
         content = F.when(classify_rank(content, patterns) <= limit, content).otherwise(
             redact_pii(content, patterns))

@@ -656,7 +656,8 @@ cte("removals", f"""
 
 def lookups(removed: str) -> str:
     return f"""
-  SELECT read_id, ts, cache_key, CASE WHEN gone THEN 'MISS_KEY' ELSE base END AS lookup, CASE WHEN lookup = 'HIT' THEN w END AS write_id
+  SELECT read_id, ts, cache_key, CASE WHEN gone THEN 'MISS_KEY' ELSE base END AS lookup,
+    CASE WHEN lookup = 'HIT' THEN w END AS write_id
   FROM (SELECT *, coalesce(bool_or(base = 'MISS_VERSION') OVER (PARTITION BY w ORDER BY ts, read_id
       ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS gone FROM (
     SELECT r.*, w.write_id AS w, CASE WHEN w.write_id IS NULL OR {removed} THEN 'MISS_KEY'

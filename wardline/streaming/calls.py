@@ -30,7 +30,7 @@ def check_stream(calls: DataFrame, ledger: DataFrame, revocations: DataFrame, tt
     right = ledger.withWatermark("issued_at", lateness).select(
         F.col("token_id").alias("ledger_token"), F.col("agent_id").alias("token_agent_id"),
         "query_hash", "session_id", "issued_at", "expires_at",
-        F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("ledger_salt"))
+        _every_salt(salts).alias("ledger_salt"))
     lifetime = F.expr(f"INTERVAL {int(ttl_seconds)} SECONDS")
     joined = left.join(right, (F.col("token_id") == F.col("ledger_token"))
                        & (F.col("_salt") == F.col("ledger_salt"))
@@ -38,10 +38,13 @@ def check_stream(calls: DataFrame, ledger: DataFrame, revocations: DataFrame, tt
                        & (F.col("ts") <= F.col("issued_at") + lifetime), "inner")
     first = revocations.groupBy("kind", "id").agg(F.min("ts").alias("at"))
     tokens = first.where("kind = 'token'").select(
-        F.col("id").alias("token_id"), F.col("at").alias("token_revoked_at"))
+        F.col("id").alias("token_id"), F.col("at").alias("token_revoked_at"),
+        _every_salt(salts).alias("_salt"))
     sessions = first.where("kind = 'session'").select(
-        F.col("id").alias("session_id"), F.col("at").alias("session_revoked_at"))
-    return (joined.join(tokens, "token_id", "left").join(sessions, "session_id", "left")
+        F.col("id").alias("session_id"), F.col("at").alias("session_revoked_at"),
+        _every_salt(salts).alias("_salt"))
+    return (joined.join(tokens, ["token_id", "_salt"], "left")
+            .join(sessions, ["session_id", "_salt"], "left")
             .select(*calls.columns, "expires_at", check_code().alias("check")))
 
 
@@ -49,9 +52,10 @@ def keep_first(checked: DataFrame, salts: int = SALTS) -> DataFrame:
     """One passing call per token of a stream with a watermark on `ts`.
 
     Later calls on the token are dropped. Of several calls in the micro-batch that uses the
-    token up, any may be kept; where the earliest must win, use `judge_batches`. The lateness of the watermark is how long a token is remembered, so it must be no
-    shorter than the lifetime of a token. Calls are reduced to one per token and group
-    before the calls of a token meet, so a token called very often fills no one task.
+    token up, any may be kept; where the earliest must win, use `judge_batches`. The
+    lateness of the watermark is how long a token is remembered, so it must be no shorter
+    than the lifetime of a token. Calls are reduced to one per token and group before the
+    calls of a token meet, so a token called very often fills no one task.
     """
     passed = checked.where(F.col("check") == PASSED).withColumn("_salt", _salt(salts))
     return (passed.dropDuplicatesWithinWatermark(["token_id", "_salt"]).drop("_salt")
@@ -62,6 +66,10 @@ def _salt(salts: int) -> Column:
     return F.pmod(F.xxhash64("call_id"), F.lit(salts)).cast("int")
 
 
+def _every_salt(salts: int) -> Column:
+    return F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
+
+
 def judge_batches(used_path: str, out_path: str,
                   check: Callable[[DataFrame], DataFrame] | None = None
                   ) -> Callable[[DataFrame, int], None]:
