@@ -316,7 +316,7 @@ cte("eligibility_items", eligibility("eligibility_requests", "request_id"),
 cte("eligibility", f"SELECT *, {ITEM_COLUMNS} FROM eligibility_items", "eligibility_items")
 FILTERS = pairs("list_distinct(list_transform(list_filter(ok, lambda x: x.f IS NOT NULL), "
                 "lambda x: struct_pack(k := x.asset_id, v := x.f)))")
-oracle("check_eligibility", f"""
+oracle("eligibility", f"""
 SELECT request_id, user_id, agent_id, status, outcome,
   coalesce(array_to_string(list_transform(bad, lambda x: x.asset_id || ':' || x.code), ','), '')
     AS reason_codes,
@@ -340,7 +340,7 @@ FROM (SELECT *, {ITEM_COLUMNS} FROM session_items) WHERE status = 'eligible'""",
 
 CANONICAL = "regexp_replace(regexp_replace(query, '^\\s+|\\s+$', '', 'g'), '\\s+', ' ', 'g')"
 HASH = f"'sha256:' || sha256({CANONICAL})"
-oracle("query_hashes", f"""
+oracle("query_hash", f"""
 SELECT call_id, {CANONICAL} AS canonical, {HASH} AS query_hash FROM calls""", "calls")
 cte("token_decisions", f"""
   SELECT r.*, {REASON} AS decided, {FILTER_ERROR} AS e, {ROW_FILTER} AS f, {MASK} AS m,
@@ -757,13 +757,13 @@ WHERE e.event_type = 'click'""", "entitled")
 
 # --- Denials over time ------------------------------------------------------------------
 
-oracle("denials_by_window", """
+oracle("denial_windows", """
 SELECT user_id, start AS window_start, start + INTERVAL 1 HOUR AS window_end,
   count(*) AS n_denials
 FROM (SELECT user_id, time_bucket(INTERVAL 15 MINUTES, ts) - to_minutes(15 * k) AS start
       FROM decisions, (SELECT unnest([0, 1, 2, 3]) AS k) WHERE reason_code <> 'ALLOWED')
 GROUP BY user_id, start""", "decisions")
-oracle("denials_by_burst", """
+oracle("denial_sessions", """
 SELECT user_id, min(ts) AS burst_start, max(ts) + INTERVAL 2 HOURS AS burst_end,
   count(*) AS n_denials
 FROM (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS burst

@@ -25,7 +25,8 @@ ANALYST_BRANDS = ("Brand#3", "Brand#7", "Brand#12")
 
 
 def query(run: Query) -> Query:
-    QUERIES[run.__name__] = run
+    """Register a query under its own name; one that ends in an underscore loses it."""
+    QUERIES[run.__name__.rstrip("_")] = run
     return run
 
 
@@ -241,7 +242,7 @@ def _eligibility(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query
-def check_eligibility(spark: SparkSession, sf_dir: str) -> DataFrame:
+def eligibility_(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _eligibility(spark, sf_dir).select(
         "request_id", "user_id", "agent_id", "status", "outcome",
         _list("reason_codes").alias("reason_codes"),
@@ -269,7 +270,7 @@ def eligible_agents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query
-def query_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
+def query_hash_(spark: SparkSession, sf_dir: str) -> DataFrame:
     return roles.tool_calls(spark, sf_dir).select(
         "call_id", canonical_query(F.col("query")).alias("canonical"),
         query_hash(F.col("query")).alias("query_hash"))
@@ -647,14 +648,14 @@ def _denials(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query
-def denials_by_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+def denial_windows_(spark: SparkSession, sf_dir: str) -> DataFrame:
     return denial_windows(_denials(spark, sf_dir)).select(
         "user_id", _ntz("window_start").alias("window_start"),
         _ntz("window_end").alias("window_end"), "n_denials")
 
 
 @query
-def denials_by_burst(spark: SparkSession, sf_dir: str) -> DataFrame:
+def denial_sessions_(spark: SparkSession, sf_dir: str) -> DataFrame:
     return denial_sessions(_denials(spark, sf_dir), 7200).select(
         "user_id", _ntz("burst_start").alias("burst_start"),
         _ntz("burst_end").alias("burst_end"), "n_denials")
