@@ -241,6 +241,17 @@ def test_failing_expression_does_not_reveal_hidden_rows(spark, parts, materialis
         assert views.run_governed_sql(spark, text, {"parts": build}).count() == 20
 
 
+def test_entitlement_join_holds_once_materialised(spark, parts):
+    """A semi join alone gives no such promise, so it is only offered written out first."""
+    def build(session):
+        entitled = session.sql("SELECT 'brand_b' AS brand")
+        rows = session.read.parquet(parts).join(entitled, "brand", "left_semi")
+        return views.governed_view(rows, materialise=True)
+    for text in ("SELECT id FROM parts WHERE 1 / (id - 3) > -5",
+                 "SELECT id FROM parts WHERE IF(id = 3, raise_error('seen'), true)"):
+        assert views.run_governed_sql(spark, text, {"parts": build}).count() == 20
+
+
 def test_empty_brand_list_sees_nothing_and_missing_column_is_refused(spark, parts):
     table = spark.read.parquet(parts)
     assert views.governed_view(table, brand_column="brand", brands=[]).count() == 0

@@ -79,11 +79,13 @@ def test_asof_join_agrees_with_brute_force(spark, options):
     assert {r["id"]: r["v"] for r in got.collect()} == brute_force(facts, changes)
 
 
-def test_asof_join_without_keys(spark):
+@pytest.mark.parametrize("options", [{}, {"parts": 30, "min_rows": 1}])
+def test_asof_join_without_keys(spark, options):
     start = datetime(2024, 1, 1)
     facts = [(i, "x", start + timedelta(minutes=i)) for i in range(200)]
     changes = [("x", start + timedelta(minutes=13 * i, seconds=30), i, f"v{i}") for i in range(9)]
     got = asof_join(spark.createDataFrame(facts, "id int, k string, at timestamp"),
                     spark.createDataFrame(changes, "k string, since timestamp, n int, v string"),
-                    [], ts="at", change_ts="since", seq="n", payload=["v"], spread=["id"])
+                    [], ts="at", change_ts="since", seq="n", payload=["v"], spread=["id"],
+                    **options)
     assert {r["id"]: r["v"] for r in got.collect()} == brute_force(facts, changes)
