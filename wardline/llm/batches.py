@@ -6,6 +6,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 
 SLICE_BYTES = 8 << 20
@@ -19,7 +20,7 @@ def slices(batches: Iterable[pa.RecordBatch], text: str = "text",
     """
     for batch in batches:
         column = batch.column(batch.schema.get_field_index(text))
-        sizes = np.asarray(pa.compute.fill_null(pa.compute.binary_length(column), 0)
+        sizes = np.asarray(pc.fill_null(pc.binary_length(column), 0)
                            .to_numpy(zero_copy_only=False), dtype=np.int64)
         start, total = 0, 0
         for i, n in enumerate(sizes):
