@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
+import zipfile
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,12 +17,27 @@ from wardline.session import with_checkpoints
 #: The white space that ends a word: the blank and the characters 9 to 13.
 BLANKS = " \t\n\x0b\f\r"
 HASH_DIGITS = 13
+_SHIPPED: set[str] = set()
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this library to the Python workers of the session, once."""
+    context = spark.sparkContext
+    if context.applicationId in _SHIPPED:
+        return
+    package = Path(__file__).resolve().parent.parent
+    path = f"{tempfile.mkdtemp()}/wardline-{uuid.uuid4().hex}.zip"
+    with zipfile.ZipFile(path, "w") as target:
+        for source in sorted(package.rglob("*.py")):
+            target.write(source, str(source.relative_to(package.parent)))
+    context.addPyFile(path)
+    _SHIPPED.add(context.applicationId)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """A new folder below the checkpoint folder that all executors share."""
     folder = spark.conf.get("spark.checkpoint.dir", None)

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from wardline.llm.batches import slices
-from wardline.llm.common import read
+from wardline.llm.common import read, ship
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 SILENT = frozenset("script style head template title noscript iframe svg math object".split())
@@ -393,6 +393,7 @@ def main_text(page: str, field: Field) -> str:
 def extract(pages: DataFrame, field: Field | None = None, id: str = "page_id",
             url: str = "url", page: str = "html") -> DataFrame:
     """Per page: its id and url, the main text, and its code points."""
+    ship(pages.sparkSession)
     field = field or train(labelled_pages())
     kinds = [f"`{c}` {pages.schema[c].dataType.simpleString()}" for c in (id, url)]
 

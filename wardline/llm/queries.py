@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from wardline.llm import html_text, mixing, quality, sentencepiece, token_counts, toxicity
+from wardline.llm import html_text, mixing, neighbours, quality, sentencepiece, token_counts, toxicity
 
 QUERIES = {
     "op1_source_mix": mixing.query,
     "op3_sentencepiece": sentencepiece.query,
     "op4_toxicity": toxicity.query,
     "op5_token_counts": token_counts.query,
+    "op7_neighbours": neighbours.query,
     "op8_quality_rules": quality.query,
     "op10_html_text": html_text.query,
 }

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wardline.llm.batches import distinct, slices
-from wardline.llm.common import read
+from wardline.llm.common import read, ship
 from wardline.llm.token_counts import vocabulary
 
 MODEL = "piece_bpe_32k.model"
@@ -228,6 +228,7 @@ def decode_ids(auto: Automaton, ids: np.ndarray) -> str:
 def encode(docs: DataFrame, id: str = "doc_id", text: str = "text",
            path: str | None = None) -> DataFrame:
     """Per document: its id, the ids of its pieces, and their number."""
+    ship(docs.sparkSession)
     path = path or vocabulary(MODEL)
     kind = docs.schema[id].dataType.simpleString()
 
@@ -245,6 +246,7 @@ def encode(docs: DataFrame, id: str = "doc_id", text: str = "text",
 
 def decode(coded: DataFrame, tokens: str = "tokens", path: str | None = None) -> DataFrame:
     """The columns given, with `decoded`, the text of the ids; null ids give a null text."""
+    ship(coded.sparkSession)
     path = path or vocabulary(MODEL)
     table = coded.drop("decoded")
     schema = table.withColumn("decoded", F.lit("")).schema

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from wardline.llm.batches import distinct, slices, sums
-from wardline.llm.common import read
+from wardline.llm.common import read, ship
 
 VOCABULARY = "byte_bpe_50k.json"
 CHUNK = 32_768
@@ -138,6 +138,7 @@ def count_tokens(docs: DataFrame, id: str = "doc_id", text: str = "text",
                  path: str | None = None, limit: int = LIMIT, chunk: int = CHUNK,
                  overlap: int = OVERLAP) -> DataFrame:
     """Per document: its id, UTF-8 bytes, tokens, and whether it has more than `limit`."""
+    ship(docs.sparkSession)
     path = path or vocabulary(VOCABULARY)
     kind = docs.schema[id].dataType.simpleString()
 

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wardline.llm.batches import distinct, hashes, slices, word_lists
-from wardline.llm.common import read
+from wardline.llm.common import read, ship
 
 MOST_TOXIC, MOST_CLEAN, LONGEST = 1000, 2000, 12_000
 WINDOW, STRIDE = 32, 16
@@ -346,6 +346,7 @@ def scorer(net: Arrays) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Reco
 
 def score(docs: DataFrame, net: Arrays, text: str = "text", keep_text: bool = True) -> DataFrame:
     """The documents with `score` (0 to 1) and `predicted` (1 from 0.5 on)."""
+    ship(docs.sparkSession)
     table = docs.drop(*[c for c in ("score", "predicted", "tox_text") if c != text])
     table = table.withColumn("tox_text", F.col(text).cast("string"))
     if not keep_text:
