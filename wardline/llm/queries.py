@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from wardline.llm import html_text, mixing, neighbours, quality, sentencepiece, token_counts, toxicity
+from wardline.llm import (html_text, jaccard, mixing, neighbours, quality, sentencepiece,
+                          token_counts, toxicity)
 
 QUERIES = {
     "op1_source_mix": mixing.query,
+    "op2_ngram_jaccard": jaccard.query,
     "op3_sentencepiece": sentencepiece.query,
     "op4_toxicity": toxicity.query,
     "op5_token_counts": token_counts.query,
@@ -15,4 +17,5 @@ QUERIES = {
 }
 ORACLES = {
     "op1_source_mix": mixing.ORACLE,
+    "op2_ngram_jaccard": jaccard.ORACLE,
 }
