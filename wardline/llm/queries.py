@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from wardline.llm import (html_text, jaccard, mixing, neighbours, quality, sentencepiece,
+from wardline.llm import (chats, html_text, jaccard, mixing, neighbours, quality, sentencepiece,
                           token_counts, toxicity)
 
 QUERIES = {
@@ -13,9 +13,11 @@ QUERIES = {
     "op5_token_counts": token_counts.query,
     "op7_neighbours": neighbours.query,
     "op8_quality_rules": quality.query,
+    "op9_chat_format": chats.query,
     "op10_html_text": html_text.query,
 }
 ORACLES = {
     "op1_source_mix": mixing.ORACLE,
     "op2_ngram_jaccard": jaccard.ORACLE,
+    "op9_chat_format": chats.ORACLE,
 }
