@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from wardline.llm import (chats, html_text, jaccard, mixing, neighbours, quality, sentencepiece,
-                          token_counts, toxicity)
+from wardline.llm import (chats, html_text, jaccard, katz, mixing, neighbours, quality,
+                          sentencepiece, token_counts, toxicity)
 
 QUERIES = {
     "op1_source_mix": mixing.query,
@@ -11,6 +11,7 @@ QUERIES = {
     "op3_sentencepiece": sentencepiece.query,
     "op4_toxicity": toxicity.query,
     "op5_token_counts": token_counts.query,
+    "op6_katz_scores": katz.query,
     "op7_neighbours": neighbours.query,
     "op8_quality_rules": quality.query,
     "op9_chat_format": chats.query,
