@@ -98,7 +98,7 @@ def signatures(shingles: np.ndarray, share: int = SHARE) -> list[int]:
         total = np.zeros(groups, dtype=np.uint64)
         np.add.at(total, group, mixed(shingles ^ M1))
         number = np.arange(groups, dtype=np.uint64)
-        keys = mixed(total + mixed(number + np.uint64(level) * M2))
+        keys = mixed(total + mixed(number + mixed(np.full(groups, level, dtype=np.uint64))))
         full = np.bincount(group, minlength=groups) > 0
         result.append(keys if (~full).sum() >= groups - apart else keys[full])
     return np.concatenate(result).view(np.int64).tolist()

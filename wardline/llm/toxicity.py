@@ -7,8 +7,10 @@ window, and every window of every text is scored.
 
 The network is fitted on the driver on a sample of labelled rows, bounded by `MOST_TOXIC`,
 `MOST_CLEAN` and `LONGEST` characters per text, and then sent to the tasks (under 2 MB). Training
-picks the highest window of each text, first by log odds of its words, later by the network. A
-part of the sample is left out of fitting and sets the point at which a score passes 0.5.
+picks the highest window of each text, first by log odds of its words, later by the network; one
+coordinate of the embeddings starts from the same log odds, which helps small samples. A part of
+the sample is left out of fitting and sets the point at which a score passes 0.5: that of the
+best F1, but none that more than `MOST_FALSE` of its clean texts reach.
 
 Defined results. Null and empty texts are one window without words and get the score of the
 bias; rows without a label only get scored; if the labels learned from hold one class or
@@ -34,7 +36,8 @@ WINDOW, STRIDE = 32, 16
 WORD_ROWS, GRAM_ROWS, EMBED, HIDDEN = 1 << 14, 1 << 13, 8, 8
 EDGES = ".,;:!?\"'()[]|#*$%&<>"
 BLOCK = 2048
-LEAST_STEPS = 400
+LEAST_STEPS = 300
+MOST_FALSE = 0.01
 SEED = 11
 
 Arrays = dict[str, np.ndarray]
@@ -208,8 +211,8 @@ def highest(scores: np.ndarray, owner: np.ndarray, texts: int) -> np.ndarray:
     return order[np.searchsorted(owner[order], np.arange(texts))]
 
 
-def log_odds(words: Words, windows: np.ndarray, owner: np.ndarray, labels: np.ndarray) -> np.ndarray:
-    """A first score of windows: the highest summed log odds of its word and gram rows."""
+def log_odds(words: Words, labels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Log odds of embedding rows of words and of grams, by the texts that hold them."""
     texts = np.repeat(np.arange(len(words.counts)), words.counts)
     pairs = np.unique(texts * np.int64(len(words.rows)) + words.places)
     text, place = pairs // len(words.rows), pairs % len(words.rows)
@@ -226,9 +229,15 @@ def log_odds(words: Words, windows: np.ndarray, owner: np.ndarray, labels: np.nd
         p = (hits + 4 * base) / (total + 4)
         return np.log(p / (1 - p + 1e-6)) - np.log(base / (1 - base))
 
-    by_gram = np.concatenate([[0.0], np.cumsum(odds(*grams)[words.grams])])
-    mean = (by_gram[words.starts + words.sizes] - by_gram[words.starts]) / np.maximum(words.sizes, 1)
-    word = np.maximum(odds(*seen)[rows], 0) + np.maximum(mean, 0)
+    return odds(*seen), odds(*grams)
+
+
+def first_scores(words: Words, windows: np.ndarray, by_word: np.ndarray,
+                 by_gram: np.ndarray) -> np.ndarray:
+    """A first score of windows: the sum of the positive log odds of words and of their grams."""
+    total = np.concatenate([[0.0], np.cumsum(by_gram[words.grams])])
+    mean = (total[words.starts + words.sizes] - total[words.starts]) / np.maximum(words.sizes, 1)
+    word = np.maximum(by_word[words.rows], 0) + np.maximum(mean, 0)
     word[0] = 0
     return word[windows].sum(1)
 
@@ -255,7 +264,11 @@ def train(texts: list[str], labels: np.ndarray, rounds: int = 3, epochs: int = 5
     fitted = rng.random(len(texts)) < 0.8
     if labels[fitted].min() == labels[fitted].max():
         fitted[:] = True
-    scores = log_odds(words, windows, owner, labels)
+    # One coordinate of the embeddings starts from the log odds in the texts fitted.
+    odds = log_odds(Words([t for t, own in zip(texts, fitted) if own]), labels[fitted])
+    for name, values in zip(("words", "grams"), odds):
+        net[name][:, 0] = np.clip(values, -1, 3) * 0.5
+    scores = first_scores(words, windows, *odds)
     moment = {k: np.zeros_like(v) for k, v in net.items()}
     square = {k: np.zeros_like(v) for k, v in net.items()}
     balance = np.where(labels > 0, min(4.0, (1 - labels.mean()) / labels.mean()), 1.0)
@@ -291,13 +304,15 @@ def train(texts: list[str], labels: np.ndarray, rounds: int = 3, epochs: int = 5
 
 
 def cut(scores: np.ndarray, labels: np.ndarray) -> float:
-    """The score at which most texts are told apart, toxic ones counted by F1."""
+    """The score with the best F1, but none that more than `MOST_FALSE` of clean texts reach."""
     order = np.argsort(-scores)
     hits = np.cumsum(labels[order])
     f1 = 2 * hits / (np.arange(1, len(order) + 1) + labels.sum())
     k = int(np.argmax(f1))
     after = scores[order[k + 1]] if k + 1 < len(order) else scores[order[k]] - 1.0
-    return float((scores[order[k]] + after) / 2)
+    clean = np.sort(scores[labels == 0])
+    least = clean[int(np.ceil((1 - MOST_FALSE) * len(clean))) - 1] + 1e-3
+    return float(max((scores[order[k]] + after) / 2, least))
 
 
 def score_texts(texts: list[str], net: Arrays) -> np.ndarray:
