@@ -340,6 +340,8 @@ def labelled_pages(n: int = 600, seed: int = 7) -> Iterator[tuple[list[Block], l
                   if rng.random() < .5]
         after = [part(k) for k in ("aside", "ad", "comments", "share", "form", "nav", "footer")
                  if rng.random() < .5]
+        if rng.random() < .1:  # a page with nothing but its article
+            before, after = [], []
         rng.shuffle(before)
         body = [("1", f"<h1>{words(2, 12)}</h1>")] if rng.random() < .9 else []
         for _ in range(rng.randint(1, 14)):

@@ -317,19 +317,19 @@ def keep_one(docs: DataFrame, id: str = "doc_id", text: str = "text", **options)
     more = found.where(kept).groupBy("component_id").agg(
         F.min("row").alias("row"), F.max("row").alias("last"), F.count(F.lit(1)).alias("n"))
     twice = stored(more.where("n > 1 AND component_id IS NOT NULL"))
-    keyed = docs.withColumn("_row", F.xxhash64(id, text))
+    keyed = docs.withColumn("m_row", F.xxhash64(id, text))
 
     def among(side: DataFrame, how: str, of: DataFrame) -> DataFrame:
         side = F.broadcast(side) if fits(side, 100_000) else side
-        return of.join(side, of["_row"] == side["row"], how)
+        return of.join(side, of["m_row"] == side["row"], how)
 
     left = among(gone, "left_anti", keyed)
     if twice.isEmpty():
-        return left.drop("_row")
+        return left.drop("m_row")
     rows = stored(found.where(kept).join(twice.select("component_id"), "component_id")
                   .select("row").distinct())
-    once = among(twice.select("row"), "left_semi", left).dropDuplicates(["_row"])
-    return among(rows, "left_anti", left).unionByName(once).drop("_row")
+    once = among(twice.select("row"), "left_semi", left).dropDuplicates(["m_row"])
+    return among(rows, "left_anti", left).unionByName(once).drop("m_row")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

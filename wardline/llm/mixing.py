@@ -6,8 +6,8 @@ plus once more with the remaining probability, drawn from a hash of its id and t
 
 Defined results. A null text counts no words; a null source is a source of its own and the
 last one; a source without words has the target 0 and gives no copies. Repeated rows
-draw alike. An empty table gives an empty mix. Further columns stay; names that this operator
-adds are replaced if they exist.
+draw alike. An empty table gives an empty mix. The mix has the columns of the documents; in the
+plan, names that this operator adds replace those that exist.
 """
 
 from __future__ import annotations
@@ -83,12 +83,14 @@ def plan_mix(docs: DataFrame, id: str = "doc_id", text: str = "text", source: st
     return joined.drop("mix_source").withColumn("copies", copies_of(F.col("rate"), key))
 
 
-def mix(docs: DataFrame, **options) -> DataFrame:
-    """The mix: the columns of the documents, one row for each copy taken."""
-    planned = plan_mix(docs, **options)
-    return (planned.where("copies > 0")
-            .withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
-            .select(*docs.columns))
+def mix(docs: DataFrame, id: str = "doc_id", text: str = "text", source: str = "source",
+        **options) -> DataFrame:
+    """The mix: the columns of the documents as they are, one row for each copy taken."""
+    wrapped = docs.select(F.struct("*").alias("m_doc"), F.col(id).alias("m_id"),
+                          F.col(text).alias("m_text"), F.col(source).alias("m_source"))
+    planned = plan_mix(wrapped, "m_id", "m_text", "m_source", **options)
+    copies = F.explode(F.sequence(F.lit(1), F.col("copies")))
+    return planned.where("copies > 0").select("m_doc", copies.alias("m_copy")).select("m_doc.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -265,9 +265,14 @@ def judge_counted(table: DataFrame, keys: tuple[str, ...] = ("lang", "source"),
         "kept", ~F.col("base_failed") & (F.coalesce("outlier_d2", F.lit(0.0)) <= cutoff))
 
 
-def filter_quality(docs: DataFrame, **options) -> DataFrame:
-    """The documents that the rules keep, with their own columns."""
-    return judge(docs, **options).where("kept").select(*docs.columns)
+def filter_quality(docs: DataFrame, text: str = "text", keys: tuple[str, ...] = ("lang", "source"),
+                   **options) -> DataFrame:
+    """The documents that the rules keep, with their own columns as they are."""
+    own = [f"m_{k}" for k in keys]
+    wrapped = docs.select(F.struct("*").alias("m_doc"), F.col(text).alias("m_text"),
+                          *[F.col(k).alias(o) for k, o in zip(keys, own)])
+    counted = stored(with_counts(wrapped, "m_text", tuple(own)).drop("m_text"))
+    return judge_counted(counted, tuple(own), **options).where("kept").select("m_doc.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

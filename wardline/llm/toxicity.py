@@ -38,6 +38,7 @@ EDGES = ".,;:!?\"'()[]|#*$%&<>"
 BLOCK = 2048
 LEAST_STEPS = 300
 MOST_FALSE = 0.01
+GRAM_WORDS = 16_384
 SEED = 11
 
 Arrays = dict[str, np.ndarray]
@@ -89,13 +90,19 @@ class Words:
         return np.where(inside, padded[np.where(inside, at, len(self.places))], 0), owner
 
     def vectors(self, net: Arrays) -> np.ndarray:
-        total = np.concatenate([np.zeros((1, EMBED), np.float32),
-                                np.cumsum(net["grams"][self.grams], axis=0, dtype=np.float64)])
-        ends = self.starts + self.sizes
-        mean = (total[ends] - total[self.starts]) / np.maximum(self.sizes, 1)[:, None]
-        own = net["words"][self.rows]
-        own[0] = 0
-        return np.concatenate([own, mean.astype(np.float32)], axis=1)
+        """Embeddings of all words, some words at a time, since grams are many."""
+        result = np.zeros((len(self.rows), 2 * EMBED), np.float32)
+        for start in range(1, len(self.rows), GRAM_WORDS):
+            some = slice(start, start + GRAM_WORDS)
+            first, sizes = self.starts[some], self.sizes[some]
+            grams = self.grams[first[0]:first[-1] + sizes[-1]]
+            total = np.zeros((len(grams) + 1, EMBED))
+            np.cumsum(net["grams"][grams], axis=0, dtype=np.float64, out=total[1:])
+            ends = np.cumsum(sizes)
+            result[some, :EMBED] = net["words"][self.rows[some]]
+            result[some, EMBED:] = (total[ends] - total[ends - sizes]) / np.maximum(
+                sizes, 1)[:, None]
+        return result
 
 
 def gate(x: np.ndarray) -> np.ndarray:
@@ -335,16 +342,24 @@ def sample(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "
     """Labelled texts to learn from, a bounded number of each class in the order of a hash."""
     known = (labels.where(F.col(toxic).isNotNull() & ~held_out(F.col(id)))
              .groupBy(F.col(id).alias("l_id")).agg(F.max(toxic).alias("l_toxic")))
-    slim = docs.select(F.col(id).alias("d_id"), F.col(text).alias("d_text")).where(
+    slim = docs.select(F.col(id).alias("d_id"), F.col(text).alias("d_text"),
+                       F.xxhash64(id, text).alias("d_row")).where(
         F.col("d_id").isNotNull() & (F.length("d_text") <= LONGEST))
-    joined = slim.join(known, F.col("d_id") == F.col("l_id"))
-    # The same order whatever the tables' layout; equal ids are equal rows or differ by text.
-    order = [F.md5(F.col("d_id").cast("string")), F.col("d_id"), F.col("d_text")]
-    rows = []
+    # Rows are picked by id and hash alone; only the texts picked are read to the driver.
+    rows = slim.select("d_id", "d_row").distinct().join(known, F.col("d_id") == F.col("l_id"))
+    order = [F.md5(F.col("d_id").cast("string")), F.col("d_id"), F.col("d_row")]
+    picked = {}
     for label, most in ((1, MOST_TOXIC), (0, MOST_CLEAN)):
-        rows += (joined.where((F.col("l_toxic") > 0) == bool(label)).orderBy(*order).limit(most)
-                 .select("d_text", F.lit(label)).collect())
-    return [r[0] for r in rows], np.array([r[1] for r in rows], dtype=np.float32)
+        for r in (rows.where((F.col("l_toxic") > 0) == bool(label)).orderBy(*order).limit(most)
+                  .select("d_row").collect()):
+            picked[r["d_row"]] = label
+    if not picked:
+        return [], np.zeros(0, dtype=np.float32)
+    side = docs.sparkSession.createDataFrame([(r,) for r in picked], "p_row long")
+    texts = (slim.join(F.broadcast(side), F.col("d_row") == F.col("p_row"), "left_semi")
+             .groupBy("d_row").agg(F.first("d_text").alias("d_text")).collect())
+    texts = sorted((r["d_row"], r["d_text"]) for r in texts)
+    return [t for _, t in texts], np.array([picked[r] for r, _ in texts], dtype=np.float32)
 
 
 def scorer(net: Arrays) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -362,10 +377,9 @@ def scorer(net: Arrays) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Reco
 def score(docs: DataFrame, net: Arrays, text: str = "text", keep_text: bool = True) -> DataFrame:
     """The documents with `score` (0 to 1) and `predicted` (1 from 0.5 on)."""
     ship(docs.sparkSession)
-    table = docs.drop(*[c for c in ("score", "predicted", "tox_text") if c != text])
-    table = table.withColumn("tox_text", F.col(text).cast("string"))
-    if not keep_text:
-        table = table.drop(text)
+    added = ("score", "predicted", "tox_text")
+    table = docs.select(F.col(text).cast("string").alias("tox_text"), *[
+        F.col(f"`{c}`") for c in docs.columns if c not in added and (keep_text or c != text)])
     fields = [f for f in table.schema.fields if f.name != "tox_text"]
     schema = table.select(*[f"`{f.name}`" for f in fields]).withColumn(
         "score", F.lit(0.0)).schema
@@ -373,10 +387,11 @@ def score(docs: DataFrame, net: Arrays, text: str = "text", keep_text: bool = Tr
         "predicted", (F.col("score") >= 0.5).cast("int"))
 
 
-def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that aren't predicted to be toxic."""
-    net = train(*sample(docs, labels))
-    return score(docs, net).where("predicted = 0").select(*docs.columns)
+def keep_clean(docs: DataFrame, labels: DataFrame, text: str = "text") -> DataFrame:
+    """The documents that aren't predicted to be toxic, with their own columns as they are."""
+    net = train(*sample(docs, labels, text=text))
+    wrapped = docs.select(F.struct("*").alias("m_doc"), F.col(text).alias("m_text"))
+    return score(wrapped, net, "m_text", keep_text=False).where("predicted = 0").select("m_doc.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
