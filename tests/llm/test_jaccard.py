@@ -1,7 +1,7 @@
 import random
 
 import pytest
-from conftest import EDGES
+from cases import EDGES
 
 from wardline.llm import jaccard
 

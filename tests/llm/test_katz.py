@@ -3,7 +3,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import pytest
-from conftest import EDGES
+from cases import EDGES
 
 from wardline.llm import katz
 

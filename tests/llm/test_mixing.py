@@ -1,7 +1,7 @@
 from collections import defaultdict
 
 import pytest
-from conftest import words
+from cases import words
 
 from wardline.llm import mixing
 

@@ -1,4 +1,4 @@
-from conftest import words
+from cases import words
 
 from wardline.llm import quality
 

@@ -2,7 +2,7 @@ import random
 
 import numpy as np
 import pytest
-from conftest import EDGES
+from cases import EDGES
 
 from wardline.llm import sentencepiece as sp
 from wardline.llm import token_counts as tc

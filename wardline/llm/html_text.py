@@ -340,8 +340,6 @@ def labelled_pages(n: int = 600, seed: int = 7) -> Iterator[tuple[list[Block], l
                   if rng.random() < .5]
         after = [part(k) for k in ("aside", "ad", "comments", "share", "form", "nav", "footer")
                  if rng.random() < .5]
-        if rng.random() < .1:  # a page with nothing but its article
-            before, after = [], []
         rng.shuffle(before)
         body = [("1", f"<h1>{words(2, 12)}</h1>")] if rng.random() < .9 else []
         for _ in range(rng.randint(1, 14)):
@@ -355,6 +353,10 @@ def labelled_pages(n: int = 600, seed: int = 7) -> Iterator[tuple[list[Block], l
                 body.append(("0", part(rng.choice(["ad", "share", "notice", "form", "aside"]))))
         if rng.random() < .15:
             body.append(("0", part("comments")))
+        if rng.random() < .1:  # a page with nothing but its article
+            before, after = [], []
+            if rng.random() < .5:
+                body = [("1", f"<p>{prose(1, 4)}</p>") for _ in range(rng.randint(1, 3))]
         wrap = rng.choice(["article", "article", "article", "main", "div", "section"])
         mark = "" if wrap in ("article", "main") and rng.random() < .7 else \
             f' {rng.choice(["class", "id"])}="{rng.choice(MAIN)}"'

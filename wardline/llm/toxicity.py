@@ -36,7 +36,7 @@ WINDOW, STRIDE = 32, 16
 WORD_ROWS, GRAM_ROWS, EMBED, HIDDEN = 1 << 14, 1 << 13, 8, 8
 EDGES = ".,;:!?\"'()[]|#*$%&<>"
 BLOCK = 2048
-LEAST_STEPS = 300
+LEAST_STEPS = 30
 MOST_FALSE = 0.01
 GRAM_WORDS = 16_384
 SEED = 11
