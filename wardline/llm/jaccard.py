@@ -35,7 +35,7 @@ SHARE = 90
 LEVEL_RATIO = 1.5
 AXES = 64
 LEAF = 16
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 1 << 20
 
 M1, M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
