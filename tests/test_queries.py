@@ -6,6 +6,8 @@ import check_oracles
 import pytest
 
 import __spark_entry__ as entry_point
+from wardline.plans.oracles import ORACLES
+from wardline.plans.queries import QUERIES
 
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
@@ -16,19 +18,13 @@ def connection():
 
 
 def test_each_query_has_its_sql():
-    assert set(entry_point.queries()) - set(entry_point.oracle_sql()) == {
-        "cache_payload_roundtrip"}
+    assert set(QUERIES) == set(ORACLES) <= set(entry_point.queries())
 
 
-@pytest.mark.parametrize("name", sorted(entry_point.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_agrees_with_sql(spark, connection, name):
     assert check_oracles.compare(spark, connection, SF_DIR, name) is None
 
 
-def test_sealed_payloads_come_back_whole(spark):
-    rows = entry_point.queries()["cache_payload_roundtrip"](spark, SF_DIR)
-    assert rows.where("NOT intact OR intact IS NULL").count() == 0 and rows.count() > 0
-
-
 def test_flagship(spark):
     assert entry_point.entry(spark).count() == 3

@@ -11,7 +11,6 @@ from wardline.functions import levels as L
 from wardline.operators.skew import find_hot, salted_join, split_join
 
 ALLOWED = "ALLOWED"
-MAX_AGENTS = 1000
 
 _USER_COLUMNS = ("user_id", "clearance_rank", "brand_scope")
 _AGENT_COLUMNS = ("agent_id", "ceiling_rank", "allowed_rights", "allowed_sources")
@@ -96,11 +95,18 @@ DECISION_COLUMNS = ("reason_code", "allowed", "row_filter", "filter_error", "mas
 
 
 def decide(joined: DataFrame) -> DataFrame:
-    """Add the decision columns to requests joined to their policy rows."""
-    return (joined.withColumn("reason_code", reason_code())
+    """Add the decision columns to requests joined to their policy rows.
+
+    Access whose row filter cannot be built, or would hold unsafe text, is denied with the
+    reason code of the filter, and no filter text is given.
+    """
+    error = filter_error()
+    code = reason_code()
+    return (joined.withColumn("filter_error", error)
+            .withColumn("reason_code", F.when(
+                (code == ALLOWED) & error.isNotNull(), error).otherwise(code))
             .withColumn("allowed", F.col("reason_code") == ALLOWED)
-            .withColumn("row_filter", row_filter())
-            .withColumn("filter_error", filter_error())
+            .withColumn("row_filter", F.when(F.col("filter_error").isNull(), row_filter()))
             .withColumn("masked_columns", masked_columns()))
 
 
@@ -148,10 +154,20 @@ def row_filter() -> Column:
                                               F.lit(")")))
 
 
+def unsafe_names() -> Column:
+    """Whether a name that filters are made of holds other than safe characters."""
+    return (F.col("user_id").isNotNull() & ~L.is_safe_identifier(F.col("user_id"))
+            | ~L.are_safe_identifiers(F.col("brand_scope"))
+            | ~L.are_safe_identifiers(F.col("brand_tags"))
+            | (F.col("brand_column").isNotNull() & ~L.is_safe_identifier(F.col("brand_column"))))
+
+
 def filter_error() -> Column:
     """Reason code of row filters that cannot be applied, so that access must be denied."""
-    return F.coalesce(template_error(), F.when(
-        brand_filter_status() == "MISSING_BRAND_COLUMN", F.lit("MISSING_BRAND_COLUMN")))
+    return F.coalesce(
+        template_error(),
+        F.when(brand_filter_status() == "MISSING_BRAND_COLUMN", F.lit("MISSING_BRAND_COLUMN")),
+        F.when(unsafe_names(), F.lit("UNSAFE_IDENTIFIER")))
 
 
 def masked_columns() -> Column:
@@ -164,30 +180,96 @@ def decision_counts(users: DataFrame, agents: DataFrame, assets: DataFrame, cons
                     rights: Sequence[str] = L.ACCESS_RIGHTS) -> DataFrame:
     """Number of decisions per agent, right and reason over all users and assets.
 
-    Gives what deciding every user x agent x asset x right would, by counting: only
-    clearance, brand scope and consent depend on the user. Users are reduced to profiles of
-    clearance and scope, and assets to profiles of level and tags; the two meet on shared
-    brands alone, and users meet assets on recorded consents alone.
+    Gives what deciding every user x agent x asset x right would, by counting: users are
+    reduced to profiles of clearance and scope, assets to sums per level and source, and an
+    agent meets these sums on levels and on the sources it may use.
     """
-    profiles = (users.select("clearance_rank", F.array_sort(F.array_distinct(
-        empty_if_null(F.col("brand_scope")))).alias("scope"))
-        .groupBy("clearance_rank", "scope").agg(F.count(F.lit(1)).alias("n")))
-    cleared_by, unscoped_by, n_total = _cumulate(profiles.groupBy(
-        F.when(F.col("clearance_rank") > L.SECRET, L.SECRET).otherwise(F.col("clearance_rank"))
-        .alias("clearance_rank")).agg(
-        F.sum("n").alias("n"), F.sum(F.when(F.size("scope") == 0, F.col("n")).otherwise(0))
-        .alias("unscoped")).collect())
+    rooms = _asset_sums(users, assets, consent)
+    by_source = rooms.groupBy("sensitivity_rank", "source").agg(
+        *[F.sum(c).alias(c) for c in _SUMS])
+    by_level = by_source.groupBy("sensitivity_rank").agg(*[F.sum(c).alias(c) for c in _SUMS])
+
+    ranks = F.array(*[F.lit(r) for r in range(len(L.SENSITIVITY_LEVELS))],
+                    F.lit(None).cast("int"))
+    sides = agents.select("agent_id", "ceiling_rank", "allowed_rights",
+                          F.array_distinct(empty_if_null(F.col("allowed_sources")))
+                          .alias("sources"), F.explode(ranks).alias("level"))
+    # Sums over the sources that an agent may use; all of them where none are listed.
+    open_sums = [c for c in _SUMS if c not in ("n_assets", "cleared", "no_scope")]
+    listed = (sides.select("agent_id", "level", F.explode("sources").alias("source"))
+              .join(by_source.withColumnRenamed("source", "asset_source"),
+                    F.col("level").eqNullSafe(F.col("sensitivity_rank"))
+                    & (F.col("source") == F.col("asset_source")))
+              .groupBy("agent_id", "level").agg(*[F.sum(c).alias(f"o_{c}") for c in open_sums]))
+    listed = listed.select(F.col("agent_id").alias("l_agent"), F.col("level").alias("l_level"),
+                           *[f"o_{c}" for c in open_sums])
+    cells = (sides.join(by_level, F.col("level").eqNullSafe(F.col("sensitivity_rank")))
+             .join(listed, (F.col("agent_id") == F.col("l_agent"))
+                   & F.col("level").eqNullSafe(F.col("l_level")), "left")
+             .withColumns({f"o_{c}": F.when(F.size("sources") == 0, F.col(c)).otherwise(
+                 F.coalesce(f"o_{c}", F.lit(0))) for c in open_sums})
+             .withColumn("access_right", F.explode(F.array(*[F.lit(r) for r in rights]))))
+
+    def part(code: str, n: Column) -> Column:
+        return F.struct(F.lit(code).alias("reason_code"), n.cast("long").alias("n"))
+
+    c = F.col
+    passed = [part("SOURCE_NOT_ALLOWED", c("in_scope") - c("o_in_scope")),
+              part("CONSENT_BLOCKED", c("o_in_scope") - c("o_consented")),
+              *[part(code, c(f"o_{name}")) for name, code in _PASSED.items()]]
+    after_right = F.when(
+        ~F.coalesce(F.array_contains("allowed_rights", c("access_right")), F.lit(False)),
+        F.array(part("RIGHT_NOT_ALLOWED", c("cleared")))).otherwise(F.array(
+            part("BRAND_SCOPE_EMPTY", c("no_scope")),
+            part("BRAND_SCOPE_MISMATCH", c("cleared") - c("no_scope") - c("in_scope")), *passed))
+    parts = F.when(~at_most("level", "ceiling_rank"),
+                   F.array(part("AGENT_CEILING", c("n_pairs")))).otherwise(F.concat(
+                       F.array(part("USER_CLEARANCE", c("n_pairs") - c("cleared"))), after_right))
+    return (cells.withColumn("n_pairs", c("n_assets") * F.lit(users.count()))
+            .select("agent_id", "access_right", F.inline(parts))
+            .groupBy("agent_id", "access_right", "reason_code").agg(F.sum("n").alias("n"))
+            .where("n > 0"))
+
+
+# What becomes of users who pass every check, by the filter of the asset.
+_PASSED = {"passed": ALLOWED, "bad_template": "TEMPLATE_UNKNOWN_PLACEHOLDER",
+           "no_column": "MISSING_BRAND_COLUMN", "unsafe": "UNSAFE_IDENTIFIER"}
+_SUMS = ("n_assets", "cleared", "no_scope", "in_scope", "consented", *_PASSED)
+
+
+def _asset_sums(users: DataFrame, assets: DataFrame, consent: DataFrame) -> DataFrame:
+    """Per asset, how many users are cleared, in scope, consent, and end with each code."""
+    scope = F.array_sort(F.array_distinct(empty_if_null(F.col("brand_scope"))))
+    unsafe = ~(L.is_safe_identifier(F.col("user_id")) & L.are_safe_identifiers(
+        F.col("brand_scope")))
+    profiles = (users.select("clearance_rank", scope.alias("scope"), unsafe.alias("unsafe"))
+                .groupBy("clearance_rank", "scope", "unsafe").agg(F.count(F.lit(1)).alias("n")))
+    ranks = profiles.groupBy(F.least("clearance_rank", F.lit(L.SECRET)).alias("clearance_rank")
+                             ).agg(F.sum("n").alias("n"), F.sum(F.when(
+                                 F.size("scope") == 0, F.col("n")).otherwise(0)).alias("unscoped"),
+                                 F.sum(F.when(F.col("unsafe"), F.col("n")).otherwise(0))
+                                 .alias("unsafe")).collect()
+
+    def cleared(field: str) -> Column:
+        """Users with a field who are cleared for the asset, a list of one number per level."""
+        by_level = [sum(r[field] for r in ranks if r["clearance_rank"] is not None
+                        and r["clearance_rank"] >= x) for x in range(len(L.SENSITIVITY_LEVELS))]
+        return F.coalesce(F.get(F.array(*map(F.lit, by_level)), F.col("sensitivity_rank")),
+                          F.lit(0))
 
     assets = assets.withColumn("tag_set", F.array_sort(F.array_distinct(
         empty_if_null(F.col("brand_tags")))))
     tagged = (assets.where(F.size("tag_set") > 0).select("sensitivity_rank", "tag_set").distinct()
               .select("*", F.explode("tag_set").alias("brand")))
-    by_brand = profiles.select("clearance_rank", "scope", "n", F.explode("scope").alias("brand"))
+    by_brand = profiles.select("clearance_rank", "scope", "unsafe", "n",
+                               F.explode("scope").alias("brand"))
     overlap = (by_brand.join(tagged, "brand")
                .where(F.col("clearance_rank") >= F.col("sensitivity_rank"))
-               .groupBy("sensitivity_rank", "tag_set", "clearance_rank", "scope")
+               .groupBy("sensitivity_rank", "tag_set", "clearance_rank", "scope", "unsafe")
                .agg(F.max("n").alias("n"))
-               .groupBy("sensitivity_rank", "tag_set").agg(F.sum("n").alias("n_overlap")))
+               .groupBy("sensitivity_rank", "tag_set").agg(
+                   F.sum("n").alias("n_overlap"),
+                   F.sum(F.when(F.col("unsafe"), F.col("n")).otherwise(0)).alias("u_overlap")))
 
     granted = (consent.where("granted").select(F.col("subject_id").alias("user_id"), "asset_id"))
     need = assets.where("consent_required").select("asset_id", "sensitivity_rank", "brand_tags")
@@ -197,75 +279,39 @@ def decision_counts(users: DataFrame, agents: DataFrame, assets: DataFrame, cons
     tags = empty_if_null(F.col("brand_tags"))
     consents = (holders.where((F.col("clearance_rank") >= F.col("sensitivity_rank")) & (
         (F.size(tags) == 0) | F.arrays_overlap(tags, empty_if_null(F.col("brand_scope")))))
-        .groupBy("asset_id").agg(F.count(F.lit(1)).alias("n_consent")))
+        .groupBy("asset_id").agg(F.count(F.lit(1)).alias("n_consent"),
+                                 F.count_if(unsafe).alias("u_consent")))
 
-    cells = (assets.select("asset_id", "source", "sensitivity_rank", "tag_set", "brand_tags",
-                           "consent_required")
-             .join(overlap, ["sensitivity_rank", "tag_set"], "left")
-             .join(consents, "asset_id", "left")
-             .withColumn("agent", F.explode(agent_list(agents)))
-             .withColumn("access_right", F.explode(F.array(*[F.lit(r) for r in rights]))))
-    n_users = F.lit(n_total)
-    cleared = F.coalesce(F.get(F.array(*map(F.lit, cleared_by)), F.col("sensitivity_rank")),
-                         F.lit(0))
-    unscoped_n = F.coalesce(F.get(F.array(*map(F.lit, unscoped_by)), F.col("sensitivity_rank")),
-                            F.lit(0))
     is_tagged = F.size(tags) > 0
-    below_ceiling = F.coalesce(
-        F.col("sensitivity_rank") <= F.col("agent.ceiling_rank"), F.lit(False))
-    in_scope = F.when(is_tagged, F.coalesce("n_overlap", F.lit(0))).otherwise(cleared)
-    no_scope = F.when(is_tagged, unscoped_n).otherwise(F.lit(0))
-    open_source = (F.size("agent.allowed_sources") == 0) | F.array_contains(
-        "agent.allowed_sources", F.col("source"))
-    consented = F.when(F.col("consent_required"), F.coalesce("n_consent", F.lit(0))
-                       ).otherwise(in_scope)
-
-    def part(code: str, n: Column) -> Column:
-        return F.struct(F.lit(code).alias("reason_code"), n.cast("long").alias("n"))
-
-    after_scope = F.when(~open_source, F.array(part("SOURCE_NOT_ALLOWED", in_scope))).otherwise(
-        F.array(part("CONSENT_BLOCKED", in_scope - consented), part(ALLOWED, consented)))
-    after_right = F.when(
-        ~F.array_contains("agent.allowed_rights", F.col("access_right")),
-        F.array(part("RIGHT_NOT_ALLOWED", cleared))).otherwise(F.concat(
-            F.array(part("BRAND_SCOPE_EMPTY", no_scope),
-                    part("BRAND_SCOPE_MISMATCH", cleared - no_scope - in_scope)), after_scope))
-    parts = F.when(
-        ~below_ceiling, F.array(part("AGENT_CEILING", n_users))).otherwise(F.concat(
-            F.array(part("USER_CLEARANCE", n_users - cleared)), after_right))
-    return (cells.select(F.col("agent.agent_id").alias("agent_id"), "access_right",
-                         F.inline(parts))
-            .groupBy("agent_id", "access_right", "reason_code").agg(F.sum("n").alias("n"))
-            .where("n > 0"))
-
-
-def _cumulate(by_rank: Sequence) -> tuple[list[int], list[int], int]:
-    """Users cleared for each level, those of them without a scope, and all users."""
-    def at_least(rank: int, field: str) -> int:
-        return sum(r[field] for r in by_rank
-                   if r["clearance_rank"] is not None and r["clearance_rank"] >= rank)
-
-    levels = range(len(L.SENSITIVITY_LEVELS))
-    return ([at_least(x, "n") for x in levels], [at_least(x, "unscoped") for x in levels],
-            sum(r["n"] for r in by_rank))
+    zero = F.lit(0)
+    joined = (assets.join(overlap, ["sensitivity_rank", "tag_set"], "left")
+              .join(consents, "asset_id", "left"))
+
+    def with_consent(in_scope: Column, holders: str) -> Column:
+        return F.when(F.col("consent_required"), F.coalesce(holders, zero)).otherwise(in_scope)
+
+    scoped = joined.select(
+        "source", "sensitivity_rank", F.lit(1).alias("n_assets"), cleared("n").alias("cleared"),
+        F.when(is_tagged, cleared("unscoped")).otherwise(zero).alias("no_scope"),
+        F.when(is_tagged, F.coalesce("n_overlap", zero)).otherwise(cleared("n")).alias("in_scope"),
+        with_consent(F.when(is_tagged, F.coalesce("n_overlap", zero)).otherwise(cleared("n")),
+                     "n_consent").alias("consented"),
+        with_consent(F.when(is_tagged, F.coalesce("u_overlap", zero)).otherwise(
+            cleared("unsafe")), "u_consent").alias("n_unsafe"),
+        F.when(template_error().isNotNull(), "bad_template")
+        .when(is_tagged & F.col("brand_column").isNull(), "no_column")
+        .when(~L.are_safe_identifiers(F.col("brand_tags")) | (
+            F.col("brand_column").isNotNull() & ~L.is_safe_identifier(F.col("brand_column"))),
+            "unsafe").alias("fault"))
+    whole = {name: F.when(F.col("fault") == name, F.col("consented")).otherwise(zero)
+             for name in ("bad_template", "no_column")}
+    return scoped.withColumns(whole).withColumns({
+        "unsafe": F.when(F.col("fault") == "unsafe", F.col("consented"))
+        .when(F.col("fault").isNull(), F.col("n_unsafe")).otherwise(zero),
+        "passed": F.when(F.col("fault").isNull(), F.col("consented") - F.col("n_unsafe"))
+        .otherwise(zero)})
 
 
 def decision_report(counts: DataFrame) -> DataFrame:
     """Roll up of decision counts by agent and reason."""
     return counts.rollup("agent_id", "reason_code").agg(F.sum("n").alias("n_decisions"))
-
-
-def agent_list(agents: DataFrame) -> Column:
-    """The configured agents as one array value; a longer list than MAX_AGENTS is refused."""
-    rows = agents.select("agent_id", "ceiling_rank", "allowed_rights", "allowed_sources"
-                         ).limit(MAX_AGENTS + 1).collect()
-    if len(rows) > MAX_AGENTS:
-        raise ValueError(f"more than {MAX_AGENTS} agents are registered")
-
-    def strings(values: Sequence[str] | None) -> Column:
-        return F.array(*[F.lit(v) for v in values or ()]).cast("array<string>")
-
-    return F.array(*[F.struct(
-        F.lit(r["agent_id"]).alias("agent_id"), F.lit(r["ceiling_rank"]).alias("ceiling_rank"),
-        strings(r["allowed_rights"]).alias("allowed_rights"),
-        strings(r["allowed_sources"]).alias("allowed_sources")) for r in rows])

@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wardline.operators.access import ALLOWED, agent_list, decide, join_assets, join_principals
+from wardline.functions import levels as L
+from wardline.operators.access import decide, join_assets, join_principals
 
 _AGENT_PART = ("agent_known", "ceiling_rank", "allowed_rights", "allowed_sources")
 
@@ -16,17 +17,12 @@ def decide_assets(requests: DataFrame, assets: DataFrame, consent: DataFrame, wa
                   spread: Sequence[str], base: DataFrame) -> DataFrame:
     """One decided row per request and asset of the array `wanted`, with its position.
 
-    A request with an empty array keeps one row without an asset. An asset whose row
-    filter cannot be applied counts as denied. `base` holds user_id and asset_ids of the
+    A request with an empty array keeps one row without an asset. `base` holds user_id and asset_ids of the
     requests.
     """
     exploded = requests.select("*", F.posexplode_outer(wanted).alias("pos", "asset_id"))
     named = base.select("user_id", F.explode("asset_ids").alias("asset_id"))
-    decided = decide(join_assets(exploded, assets, consent, [*spread, "pos"], named))
-    code = F.when(F.col("allowed") & F.col("filter_error").isNotNull(), F.col("filter_error")
-                  ).otherwise(F.col("reason_code"))
-    return (decided.withColumn("reason_code", code)
-            .withColumn("allowed", F.col("reason_code") == ALLOWED))
+    return decide(join_assets(exploded, assets, consent, [*spread, "pos"], named))
 
 
 def _summarise(decided: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -81,16 +77,17 @@ def eligible_agents(sessions: DataFrame, users: DataFrame, agents: DataFrame, as
                     consent: DataFrame, session_id: str = "session_id") -> DataFrame:
     """Eligible agents of each session, out of all registered ones.
 
-    The configured agents ride along as one array, cut down to those the user outranks
-    before any row is made, so sessions are never crossed with agents they cannot use.
+    Each session names the levels up to its user's clearance, at most one per level, and
+    meets the agents with such a ceiling, so sessions never meet agents they cannot use.
     """
     none = agents.limit(0)
     joined = join_principals(sessions.withColumn("agent_id", F.lit(None).cast("string")),
                              users, none, [session_id], sessions).drop("agent_id", *_AGENT_PART)
-    usable = F.filter(agent_list(agents), lambda a: F.coalesce(
-        a["ceiling_rank"] <= F.col("clearance_rank"), F.lit(False)))
-    rows = (joined.withColumn("_agent", F.explode(usable)).select("*", "_agent.*").drop("_agent")
-            .withColumn("agent_known", F.lit(True))
+    levels = F.sequence(F.lit(0), F.least("clearance_rank", F.lit(L.SECRET)))
+    reached = joined.withColumn("_level", F.explode(F.when(F.col("clearance_rank") >= 0, levels)))
+    rows = (reached.join(agents.select("agent_id", *_AGENT_PART[1:]),
+                         F.col("_level") == F.col("ceiling_rank"))
+            .withColumn("agent_known", F.lit(True)).drop("_level")
             .withColumn("early_code", F.lit(None).cast("string")))
     decided = decide_assets(rows, assets, consent, "asset_ids", [session_id, "agent_id"],
                             sessions)

@@ -43,10 +43,13 @@ def cache_lookups(reads: DataFrame, writes: DataFrame, invalidations: DataFrame
 
     Reads have read_id, ts, user_id, agent_id, query, policy_version and, optionally,
     live_version, the version to check against. `invalidations` has ts and either user_id
-    or policy_version. A read that finds an entry of another version or identity evicts it.
+    or policy_version. A read that finds an entry of another version or identity evicts it,
+    and so does one that cannot be opened: `readable` of a write, true where it is not given.
     """
+    if "readable" not in writes.columns:
+        writes = writes.withColumn("readable", F.lit(True))
     stored = cache_writes(writes).select(
-        "cache_key", "write_id", F.col("ts").alias("stored_at"), "expires_at",
+        "cache_key", "write_id", "readable", F.col("ts").alias("stored_at"), "expires_at",
         F.col("policy_version").alias("stored_version"), F.col("user_id").alias("stored_user"),
         F.col("agent_id").alias("stored_agent"))
     keyed = with_key(reads)
@@ -58,7 +61,7 @@ def cache_lookups(reads: DataFrame, writes: DataFrame, invalidations: DataFrame
     found = asof_join(
         keyed, stored, ["cache_key"], ts="ts", change_ts="stored_at", seq="write_id",
         payload=["write_id", "stored_at", "expires_at", "stored_version", "stored_user",
-                 "stored_agent"], spread=["read_id"], **options)
+                 "stored_agent", "readable"], spread=["read_id"], **options)
     found = found.withColumn("removed_at", F.lit(None).cast(reads.schema["ts"].dataType))
     if invalidations is not None:
         found = _last_removal(found, invalidations, "user_id", None, base, options)
@@ -70,11 +73,12 @@ def cache_lookups(reads: DataFrame, writes: DataFrame, invalidations: DataFrame
         F.col("write_id").isNull() | F.coalesce(
             F.col("removed_at") >= F.col("stored_at"), F.lit(False)), "MISS_KEY")
         .when(F.col("ts") > F.col("expires_at"), "MISS_EXPIRED")
+        .when(~F.coalesce("readable", F.lit(False)), "MISS_CORRUPT")
         .when(foreign, "MISS_IDENTITY").when(stale, "MISS_VERSION").otherwise("HIT"))
     # Reads that found no write get a value of their own, so that they are spread as well.
     found = found.withColumn("_entry", F.coalesce(
         F.col("write_id").cast("string"), F.concat(F.lit("read "), F.col("read_id"))))
-    evicted = (found.where(F.col("lookup").isin("MISS_IDENTITY", "MISS_VERSION"))
+    evicted = (found.where(F.col("lookup").isin("MISS_CORRUPT", "MISS_IDENTITY", "MISS_VERSION"))
                .groupBy("_entry").agg(F.min(F.struct("ts", "read_id")).alias("evicted_by")))
     # Reads of one entry share its key, so an entry can only be hot where its key is.
     hot = find_hot(base, ["cache_key"])

@@ -173,14 +173,21 @@ SCOPE = ("CASE WHEN len(u.brand_scope) > 0 THEN '''' || array_to_string(u.brand_
 TEMPLATE = (f"CASE WHEN NOT {BAD_TEMPLATE} THEN replace(replace(a.row_filter_template, "
             f"'{{user_id}}', r.user_id), '{{brand_scope}}', {SCOPE}) END")
 MASK = "CASE WHEN u.clearance_rank >= 3 THEN []::VARCHAR[] ELSE a.pii_columns END"
+SAFE = "regexp_full_match({}, '[A-Za-z0-9_.-]{{1,128}}')"
 FILTER_ERROR = (f"CASE WHEN {BAD_TEMPLATE} THEN 'TEMPLATE_UNKNOWN_PLACEHOLDER' "
                 f"WHEN len({BRANDS}) > 0 AND a.brand_column IS NULL "
-                "THEN 'MISSING_BRAND_COLUMN' END")
+                "THEN 'MISSING_BRAND_COLUMN' "
+                f"WHEN NOT ({SAFE.format('r.user_id')}) OR len(list_filter(list_concat("
+                f"u.brand_scope, a.brand_tags), lambda x: NOT ({SAFE.format('x')}))) > 0 "
+                "THEN 'UNSAFE_IDENTIFIER' END")
 ROW_FILTER = (f"CASE WHEN {BRAND_FILTER} IS NOT NULL AND {TEMPLATE} IS NOT NULL THEN '(' || "
               f"{BRAND_FILTER} || ') AND (' || {TEMPLATE} || ')' "
               f"ELSE '(' || coalesce({BRAND_FILTER}, {TEMPLATE}) || ')' END")
 
-cte("decisions", f"SELECT r.*, {REASON} AS reason_code FROM requests r {JOINS}",
+#: What is decided, less what a filter that cannot be built denies.
+DECIDED = (f"CASE WHEN {REASON} = 'ALLOWED' AND {FILTER_ERROR} IS NOT NULL THEN {FILTER_ERROR} "
+           f"ELSE {REASON} END")
+cte("decisions", f"SELECT r.*, {DECIDED} AS reason_code FROM requests r {JOINS}",
     "requests", *POLICY)
 
 # --- Governed reads ---------------------------------------------------------------------
@@ -262,7 +269,7 @@ SELECT request_id, user_id, agent_id, asset_id, access_right, reason_code,
   reason_code = 'ALLOWED' AS allowed FROM decisions""", "decisions")
 oracle("decision_matrix_rollup", f"""
 SELECT agent_id, reason_code, count(*) AS n_decisions FROM (
-  SELECT r.agent_id, {REASON} AS reason_code FROM (
+  SELECT r.agent_id, {DECIDED} AS reason_code FROM (
     SELECT u.user_id, g.agent_id, a.asset_id, access_right FROM users u, agents g, assets a,
       (SELECT unnest({texts(ACCESS_RIGHTS)}) AS access_right)) r {JOINS})
 GROUP BY ROLLUP (agent_id, reason_code)""", *POLICY)
@@ -658,10 +665,11 @@ def lookups(removed: str) -> str:
     return f"""
   SELECT read_id, ts, cache_key, CASE WHEN gone THEN 'MISS_KEY' ELSE base END AS lookup,
     CASE WHEN lookup = 'HIT' THEN w END AS write_id
-  FROM (SELECT *, coalesce(bool_or(base = 'MISS_VERSION') OVER (PARTITION BY w ORDER BY ts, read_id
+  FROM (SELECT *, coalesce(bool_or(base IN ('MISS_VERSION', 'MISS_CORRUPT')) OVER (PARTITION BY w ORDER BY ts, read_id
       ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS gone FROM (
     SELECT r.*, w.write_id AS w, CASE WHEN w.write_id IS NULL OR {removed} THEN 'MISS_KEY'
         WHEN r.ts > w.expires_at THEN 'MISS_EXPIRED'
+        WHEN w.write_id % 13 = 0 THEN 'MISS_CORRUPT'
         WHEN w.version <> r.live THEN 'MISS_VERSION' ELSE 'HIT' END AS base
     FROM cache_reads r ASOF LEFT JOIN writes w
       ON r.cache_key = w.cache_key AND r.ts >= w.ts))"""
@@ -678,6 +686,7 @@ QUALIFY row_number() OVER (PARTITION BY cache_key ORDER BY ts DESC, write_id DES
        "writes")
 oracle("cache_replay", "SELECT read_id, cache_key, lookup, write_id FROM plain_lookups",
        "plain_lookups")
+oracle("cache_payload_roundtrip", "SELECT event_id, event_type, value, true AS intact FROM events")
 oracle("cache_invalidate", "SELECT read_id, lookup, write_id FROM lookups", "lookups")
 oracle("cache_stats", """
 SELECT strftime(ts, '%Y-%m-%d %H') AS hour, lookup, count(*) AS n_reads FROM lookups
