@@ -3,7 +3,7 @@
 from datetime import datetime
 
 import pytest
-from pyspark.errors import AnalysisException
+from pyspark.errors import AnalysisException, ParseException
 from pyspark.sql import functions as F
 
 from wardline.functions import levels as L
@@ -278,3 +278,80 @@ def test_logs_are_read_back_with_the_declared_schema(spark, tables, tmp_path):
         append_with_date(log, path, "produced_at", fmt)
         back = conform(read_table(spark, path, fmt=fmt), schemas.AGENT_OUTPUTS)
         assert back.count() == 4 and back.schema == schemas.AGENT_OUTPUTS
+
+
+@pytest.mark.parametrize("text", [
+    "SELECT count(*) FROM global_temp.hidden_rows",
+    "SELECT brand FROM parts) UNION ALL SELECT brand FROM (SELECT brand FROM global_temp.hidden_rows",
+    "SELECT brand FROM parts WHERE brand IN (SELECT brand FROM global_temp.hidden_rows)",
+    "SELECT (SELECT max(brand) FROM global_temp.hidden_rows)",
+    "WITH x AS (SELECT * FROM global_temp.hidden_rows) SELECT * FROM x",
+    "SELECT reflect('java.lang.System', 'getProperty', 'user.home')",
+    "SELECT upper(java_method('java.lang.System', 'getProperty', 'user.home')) FROM parts",
+    "SELECT * FROM parts, LATERAL (SELECT count(*) FROM global_temp.hidden_rows)",
+    "SELECT * FROM parts; SELECT 1", "DROP VIEW parts"])
+def test_user_sql_stays_within_its_views(spark, text):
+    rows = spark.createDataFrame([("a",), ("b",)], "brand string")
+    rows.createOrReplaceGlobalTempView("hidden_rows")
+
+    def build(session):
+        return views.governed_view(session.createDataFrame([("a",), ("b",)], "brand string"),
+                                   brand_column="brand", brands=["a"])
+
+    with pytest.raises((views.UnsafeQuery, ParseException, AnalysisException)):
+        views.run_governed_sql(spark, text, {"parts": build})
+    for allowed in ("SELECT count(*) FROM parts", "WITH x AS (SELECT * FROM parts) SELECT 1 FROM x",
+                    "SELECT brand FROM parts WHERE brand IN (SELECT max(brand) FROM parts) -- end"):
+        assert views.run_governed_sql(spark, allowed, {"parts": build}).count() == 1
+
+
+@pytest.mark.parametrize("user, scope, tags, column, template, code", [
+    ("u1", ["b"], ["b"], "brand", None, "ALLOWED"),
+    ("x' OR '1'='1", ["b"], ["b"], "brand", "owner = '{user_id}'", "UNSAFE_IDENTIFIER"),
+    ("u1", ["b", "c') OR (1=1"], ["b"], "brand", "s IN ({brand_scope})", "UNSAFE_IDENTIFIER"),
+    ("u1", ["b'x"], ["b'x"], "brand", None, "UNSAFE_IDENTIFIER"),
+    ("u1", ["b"], ["b"], "brand OR 1=1 --", None, "UNSAFE_IDENTIFIER"),
+    ("{brand_scope}", ["b"], ["b"], "brand", "owner = '{user_id}'", "UNSAFE_IDENTIFIER"),
+    ("u1", ["b"], ["b"], "brand", "r = '{region}'", "TEMPLATE_UNKNOWN_PLACEHOLDER"),
+    ("u1", ["b"], ["b"], None, None, "MISSING_BRAND_COLUMN")])
+def test_filters_that_cannot_be_built_deny(spark, user, scope, tags, column, template, code):
+    requests = spark.createDataFrame([(1, user, "g", "a", "read")],
+                                     "request_id long, user_id string, agent_id string, "
+                                     "asset_id string, access_right string")
+    users = spark.createDataFrame([(user, 2, scope)],
+                                  "user_id string, clearance_rank int, brand_scope array<string>")
+    agents = spark.createDataFrame(
+        [("g", 2, ["read"], [])], "agent_id string, ceiling_rank int, "
+        "allowed_rights array<string>, allowed_sources array<string>")
+    assets = spark.createDataFrame(
+        [("a", "s", 1, tags, column, template, [], False)],
+        "asset_id string, source string, sensitivity_rank int, brand_tags array<string>, "
+        "brand_column string, row_filter_template string, pii_columns array<string>, "
+        "consent_required boolean")
+    consent = spark.createDataFrame([], "subject_id string, asset_id string, granted boolean")
+    row = access.resolve_access(requests, users, agents, assets, consent).first()
+    assert (row["reason_code"], row["allowed"]) == (code, code == "ALLOWED")
+    assert (row["row_filter"] is None) == (code != "ALLOWED")
+    counts = {r["reason_code"]: r["n"] for r in access.decision_counts(
+        users, agents, assets, consent, ["read"]).collect()}
+    assert counts == {code: 1}
+
+
+def test_thousands_of_agents(spark):
+    """No list of agents is made; each session meets those that its user outranks."""
+    agents = spark.range(4000).selectExpr(
+        "concat('g', id) AS agent_id", "CAST(id % 5 AS INT) AS ceiling_rank",
+        "array('read') AS allowed_rights", "CAST(array() AS array<string>) AS allowed_sources")
+    users = spark.createDataFrame([("u", 1, ["b"])], "user_id string, clearance_rank int, "
+                                  "brand_scope array<string>")
+    assets = spark.createDataFrame(
+        [("a", "s", 0, [], None, None, [], False)],
+        "asset_id string, source string, sensitivity_rank int, brand_tags array<string>, "
+        "brand_column string, row_filter_template string, pii_columns array<string>, "
+        "consent_required boolean")
+    consent = spark.createDataFrame([], "subject_id string, asset_id string, granted boolean")
+    sessions = spark.createDataFrame([("s", "u", "read", ["a"])], "session_id string, "
+                                     "user_id string, access_right string, asset_ids array<string>")
+    assert eligibility.eligible_agents(sessions, users, agents, assets, consent).count() == 1600
+    counts = access.decision_counts(users, agents, assets, consent, ["read"])
+    assert counts.groupBy("reason_code").sum("n").collect()[0][1] == 4000

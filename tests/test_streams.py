@@ -75,7 +75,7 @@ def test_every_call_is_labelled_over_a_stream(spark, calls, tmp_path):
     stream = in_files(spark, rows, CALL, str(tmp_path / "calls"), 4)
     used, out = str(tmp_path / "used"), str(tmp_path / "out")
     spark.createDataFrame([], "token_id string, batch long, expires_on date").write.parquet(used)
-    judge = judge_batches(used, out, check_with(book, revoked))
+    judge = judge_batches(used, out, check_with(lambda _: book, lambda _: revoked))
 
     def twice(batch, batch_id):
         judge(batch, batch_id)
@@ -88,6 +88,53 @@ def test_every_call_is_labelled_over_a_stream(spark, calls, tmp_path):
     assert "REPLAYED" in verdicts.values()
 
 
+def test_tables_that_grow_between_batches(spark, calls, tmp_path):
+    """Tokens issued and revoked after the start count from the next batch on."""
+    rows, book, revoked, verdicts = calls
+    stream = in_files(spark, rows, CALL, str(tmp_path / "calls"), 7)
+    used, out = str(tmp_path / "used"), str(tmp_path / "out")
+    ledger_path, revoked_path = str(tmp_path / "ledger"), str(tmp_path / "revoked")
+    spark.createDataFrame([], "token_id string, batch long, expires_on date").write.parquet(used)
+    book.limit(0).write.parquet(ledger_path)
+    revoked.limit(0).write.parquet(revoked_path)
+    judge = judge_batches(used, out, check_with(
+        lambda s: s.read.schema(book.schema).parquet(ledger_path),
+        lambda s: s.read.schema(revoked.schema).parquet(revoked_path)))
+    last = [None]
+
+    def as_time_goes(batch, batch_id):
+        until = batch.agg(F.max("ts")).first()[0]
+        for table, path, ts in ((book, ledger_path, "issued_at"), (revoked, revoked_path, "ts")):
+            new = table.where(F.col(ts) <= F.lit(until))
+            if last[0] is not None:
+                new = new.where(F.col(ts) > F.lit(last[0]))
+            new.write.mode("append").parquet(path)
+        last[0] = until
+        judge(batch, batch_id)
+
+    (stream.writeStream.foreachBatch(as_time_goes).trigger(availableNow=True)
+     .option("checkpointLocation", str(tmp_path / "cp")).start().awaitTermination())
+    assert {r["call_id"]: r["verdict"] for r in spark.read.parquet(out).collect()} == verdicts
+    assert {"TOKEN_REVOKED", "SESSION_REVOKED"} & set(verdicts.values())
+
+
+def test_every_call_of_joined_streams_is_named(spark, calls, tmp_path):
+    _, book, revoked, _ = calls
+    rows = [(0, at(30), "q", "a", "t0"), (2, at(30), "q", "a", "none"), (3, at(30), "q", "a", None),
+            (4, at(30), "q", "b", "t0"), (5, at(30), "q", "a", "t5"), (6, at(650), "q", "a", "t3"),
+            (1, at(700), "q", "a", "t0")]
+    later = [(99, at(10 ** 6), "q", "a", "none")] * 2
+    stream = in_files(spark, rows + later, CALL, str(tmp_path / "calls"), 9)
+    late = book.limit(1).select(*[F.lit("end").alias("token_id") if c == "token_id" else F.lit(
+        at(10 ** 6)).alias(c) if c == "issued_at" else c for c in book.columns])
+    book.union(late).coalesce(1).write.parquet(str(tmp_path / "ledger"))
+    tokens = spark.readStream.schema(book.schema).parquet(str(tmp_path / "ledger"))
+    got = collected(check_stream(stream, tokens, revoked, 600, "5 minutes"), "named_calls")
+    want = ledger.check_calls(spark.createDataFrame(rows, CALL), book, revoked)
+    assert {r["call_id"]: r["check"] for r in got if r["call_id"] != 99} == {
+        r["call_id"]: r["check"] for r in want.collect()}
+
+
 def test_text_in_flight_is_governed_like_a_table(spark, tmp_path):
     rows = [(i, t, i % 3) for i, t in enumerate([
         "mail a@b.com", "gehalt", "fine", "the budget", "<prompt>", "ignore previous instructions",

@@ -142,7 +142,7 @@ def test_confidence_and_explanation(spark):
     hit, clean = [r[0] for r in df.select(assess(F.col("t")).alias("a")).collect()]
     assert hit["confidence"] == 0.95 and clean["confidence"] == 0.95
     assert len(hit["triggered"]) == 6 and "(+1 more)" in hit["explanation"]
-    assert clean["explanation"] == "No injection patterns detected."
+    assert clean["explanation"] == "Nothing suspicious was found."
 
 
 def test_rows_are_screened_by_field(spark):

@@ -55,9 +55,9 @@ def score(triggered: Column, block_on: int = L.HIGH) -> Column:
             F.when(F.size(triggered) == 0, F.lit(CLEAN_CONFIDENCE))
             .otherwise(best(1, 0.0)).alias("confidence"),
             triggered.alias("triggered"),
-            F.when(F.size(triggered) == 0, F.lit("No injection patterns detected.")).otherwise(
-                F.concat(F.lit("Injection risk "), risk, F.lit(": detected patterns ["), summary,
-                         F.lit("]. This content may attempt to redirect agent behaviour.")))
+            F.when(F.size(triggered) == 0, F.lit("Nothing suspicious was found.")).otherwise(
+                F.concat(F.lit("Risk of injection is "), risk, F.lit(": it matches ["), summary,
+                         F.lit("] and may steer an agent.")))
             .alias("explanation"),
             (rank >= min(block_on, L.HIGH)).alias("should_block"))
 

@@ -31,16 +31,17 @@ def clear_outputs(outputs: DataFrame, clears: DataFrame) -> DataFrame:
 def match_outputs(requests: DataFrame, outputs: DataFrame) -> DataFrame:
     """Outputs of the other agents of a session that each request declared, with `excluded`.
 
-    A request meets only outputs of the types it names. Outputs are the large side; a
-    session with a large share of them is split.
+    A request meets only outputs of the types it names that were there at its time. Outputs
+    are the large side; a session with a large share of them is split.
     """
     wanted = requests.select("request_id", "session_id", "requesting_agent_id", "needed_fields",
-                             "ceiling_rank",
+                             "ceiling_rank", F.col("ts").alias("read_at"),
                              F.explode(F.array_distinct("needed_types")).alias("output_type"))
-    joined = salted_join(outputs.select("session_id", *_OUTPUT), wanted,
+    joined = salted_join(outputs.select("session_id", "produced_at", *_OUTPUT), wanted,
                          ["session_id", "output_type"], ["agent_id", "out_seq", "row_seq"],
                          "inner", base=outputs)
-    return joined.where(F.col("agent_id") != F.col("requesting_agent_id")).withColumn(
+    return joined.where((F.col("agent_id") != F.col("requesting_agent_id"))
+                        & (F.col("produced_at") <= F.col("read_at"))).withColumn(
         "excluded", ~F.coalesce(F.col("sensitivity_rank") <= F.col("ceiling_rank"), F.lit(False)))
 
 

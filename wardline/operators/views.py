@@ -34,16 +34,63 @@ def governed_view(table: DataFrame, *, brand_column: str | None = None,
 
 def run_governed_sql(spark: SparkSession, query: str,
                      views: Mapping[str, Callable[[SparkSession], DataFrame]]) -> DataFrame:
-    """Run a user's query in a session of its own that knows only the given views.
+    """Run a user's query in a session of its own that reads the given views alone.
 
-    Each view is built by its function in the new session. The text is read as a subquery,
-    so it cannot hold statements, and files cannot be named as tables.
+    Each view is built by its function in the new session. The text must be one whole query
+    by itself, and its analysed plan may reach data through the views only, and call neither Java
+    methods nor registered functions; anything else raises `UnsafeQuery` before a row is read.
     """
     session = spark.newSession()
     for name, build in views.items():
         build(session).createOrReplaceTempView(name)
     session.conf.set("spark.sql.runSQLOnFiles", "false")
-    return session.sql(f"SELECT * FROM (\n{query}\n)")
+    session._jsparkSession.sessionState().sqlParser().parsePlan(query)  # whole, not a piece
+    result = session.sql(f"SELECT * FROM (\n{query}\n)")
+    check_plan(result._jdf.queryExecution().analyzed(), {name.lower() for name in views})
+    return result
+
+
+class UnsafeQuery(ValueError):
+    """A query that reaches beyond its views."""
+
+
+# What a plan may rest on besides the views.
+_OWN_ROWS = ("OneRowRelation", "LocalRelation", "Range", "CTERelationRef")
+_FORBIDDEN = ("reflect", "java_method", "try_reflect")
+_FOREIGN_CODE = ("CallMethodViaReflection", "TryReflect", "PythonUDF", "PythonUDAF", "ScalaUDF",
+                 "ScalaUDAF", "HiveSimpleUDF", "HiveGenericUDF", "HiveGenericUDTF", "HiveUDAFFunction",
+                 "PythonUDTF", "ScalaAggregator", "ApplyFunctionExpression")
+
+
+def check_plan(plan, views: set[str]) -> None:
+    """Refuse an analysed plan that reads anything but the named temporary views."""
+    kind = plan.getClass().getSimpleName()
+    if kind == "View":
+        name = plan.desc().identifier()
+        if plan.isTempView() and name.database().isEmpty() and name.table().lower() in views:
+            return  # what is below was built by us
+        raise UnsafeQuery(f"{name.toString()} is not among the views")
+    children = _items(plan.children())
+    if not children and kind not in _OWN_ROWS:
+        raise UnsafeQuery(f"a query may not read {kind}")
+    for child in children:
+        check_plan(child, views)
+    for expression in _items(plan.expressions()):
+        _check_expression(expression, views)
+
+
+def _check_expression(expression, views: set[str]) -> None:
+    kind = expression.getClass().getSimpleName()
+    if kind in _FOREIGN_CODE or expression.prettyName() in _FORBIDDEN:
+        raise UnsafeQuery(f"{expression.prettyName()} may not be called")
+    if kind in ("ScalarSubquery", "ListQuery", "Exists", "LateralSubquery"):
+        check_plan(expression.plan(), views)
+    for child in _items(expression.children()):
+        _check_expression(child, views)
+
+
+def _items(sequence) -> list:
+    return [sequence.apply(i) for i in range(sequence.size())]
 
 
 def multi_user_extract(rows: DataFrame, users: DataFrame, brand_column: str,

@@ -578,10 +578,10 @@ cte("screened_docs", screened("docs"), "docs")
 cte("screened_turns", screened("turns"), "turns")
 oracle("injection_assess", """
 SELECT doc_id, risk, confidence, array_to_string(hits, ',') AS triggered,
-  CASE WHEN len(hits) = 0 THEN 'No injection patterns detected.' ELSE 'Injection risk ' || risk
-    || ': detected patterns [' || array_to_string(hits[1:5], ', ')
+  CASE WHEN len(hits) = 0 THEN 'Nothing suspicious was found.' ELSE 'Risk of injection is ' || risk
+    || ': it matches [' || array_to_string(hits[1:5], ', ')
     || CASE WHEN len(hits) > 5 THEN ' (+' || (len(hits) - 5) || ' more)' ELSE '' END
-    || ']. This content may attempt to redirect agent behaviour.' END AS explanation,
+    || '] and may steer an agent.' END AS explanation,
   risk_rank >= 3 AS should_block FROM screened_docs""", "screened_docs")
 oracle("injection_split", """
 SELECT conv_id, turn, role, CASE WHEN risk_rank >= 3 THEN 'quarantine' ELSE 'clean' END AS side
@@ -608,12 +608,13 @@ cte("outputs", """
   FROM conversations""")
 cte("reads", """
   SELECT conv_id * 100 + min(turn) AS request_id, 'conv_' || conv_id AS session_id,
-    role AS requesting_agent, CAST(conv_id % 4 AS INTEGER) AS ceiling_rank
+    role AS requesting_agent, CAST(conv_id % 4 AS INTEGER) AS ceiling_rank,
+    CASE WHEN conv_id % 2 = 0 THEN min(turn) + 1 ELSE 10000 END AS until
   FROM conversations GROUP BY conv_id, role""")
 cte("matched", """
   SELECT request_id, requesting_agent, ceiling_rank, o.* FROM reads r JOIN outputs o
     ON r.session_id = o.session_id AND o.agent_id <> r.requesting_agent
-  WHERE output_type IN ('summary', 'query_result')""", "reads", "outputs")
+  WHERE output_type IN ('summary', 'query_result') AND out_seq <= until""", "reads", "outputs")
 LEVEL = levels(SENSITIVITY_LEVELS) + "[sensitivity_rank + 1]"
 oracle("state_read", f"""
 SELECT request_id, m.session_id, output_type, m.agent_id AS from_agent, agent_first_seq, out_seq,

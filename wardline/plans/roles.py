@@ -274,7 +274,7 @@ def outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def context_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every role of a conversation reads once."""
+    """Every role of a conversation reads once, some while the conversation goes on."""
     return (table(spark, sf_dir, "conversations").groupBy("conv_id", "role")
             .agg(F.min("turn").alias("first_turn")).select(
         (F.col("conv_id") * 100 + F.col("first_turn")).alias("request_id"),
@@ -283,7 +283,8 @@ def context_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
         _strings("summary", "query_result").alias("needed_types"),
         F.create_map(F.lit("query_result"), _strings("turn", "role")).alias("needed_fields"),
         (F.col("conv_id") % 4).cast("int").alias("ceiling_rank"),
-        F.timestamp_seconds(F.lit(1_704_070_800)).alias("ts")))
+        F.timestamp_seconds(1_704_067_200 + 60 * F.when(
+            F.col("conv_id") % 2 == 0, F.col("first_turn") + 1).otherwise(10_000)).alias("ts")))
 
 
 def output_clears(spark: SparkSession, sf_dir: str) -> DataFrame:

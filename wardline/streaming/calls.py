@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wardline.functions.tokens import query_hash
@@ -12,18 +12,17 @@ from wardline.operators.ledger import PASSED, check_code, first_uses, with_revoc
 from wardline.operators.skew import salted_join
 
 
-# Groups that the calls of a token are spread over; every ledger row is kept once per group.
-SALTS = 8
-
-
 def check_stream(calls: DataFrame, ledger: DataFrame, revocations: DataFrame, ttl_seconds: int,
-                 lateness: str = "10 minutes", salts: int = SALTS) -> DataFrame:
-    """Calls on a live token, checked against a stream of ledger rows.
-
-    Both sides are watermarked and a call only meets the ledger row of its token while the
-    token lives, so state is dropped once it has expired. `revocations` is a static table;
-    read it anew per micro-batch with `judge_batches` where it grows. Calls are spread over
-    `salts` groups per token, for tokens that are called very often.
+                 lateness: str = "10 minutes", remember: str = "1 hour",
+                 salts: int = 1, require_token: bool = True) -> DataFrame:
+    """Every call of a stream with its verdict, checked against a stream of ledger rows.
+
+    Both sides are watermarked. A call meets the ledger row of its token from shortly before
+    the token is valid until `remember` after it has expired, and is named by what matched;
+    calls without a match, which come out once no match can follow, are unknown. `revocations`
+    is a static table; where it grows, use `judge_batches`. `salts` spreads the calls of a token
+    over groups, for tokens that are called very often; each ledger row is then kept once
+    per group.
     """
     left = (calls.withWatermark("ts", lateness)
             .withColumn("call_hash", query_hash(F.col("query"))).withColumn("_salt", _salt(salts)))
@@ -34,8 +33,9 @@ def check_stream(calls: DataFrame, ledger: DataFrame, revocations: DataFrame, tt
     lifetime = F.expr(f"INTERVAL {int(ttl_seconds)} SECONDS")
     joined = left.join(right, (F.col("token_id") == F.col("ledger_token"))
                        & (F.col("_salt") == F.col("ledger_salt"))
-                       & (F.col("ts") >= F.col("issued_at"))
-                       & (F.col("ts") <= F.col("issued_at") + lifetime), "inner")
+                       & (F.col("ts") >= F.col("issued_at") - F.expr(f"INTERVAL {lateness}"))
+                       & (F.col("ts") <= F.col("issued_at") + lifetime
+                          + F.expr(f"INTERVAL {remember}")), "leftOuter")
     first = revocations.groupBy("kind", "id").agg(F.min("ts").alias("at"))
     tokens = first.where("kind = 'token'").select(
         F.col("id").alias("token_id"), F.col("at").alias("token_revoked_at"),
@@ -45,10 +45,10 @@ def check_stream(calls: DataFrame, ledger: DataFrame, revocations: DataFrame, tt
         _every_salt(salts).alias("_salt"))
     return (joined.join(tokens, ["token_id", "_salt"], "left")
             .join(sessions, ["session_id", "_salt"], "left")
-            .select(*calls.columns, "expires_at", check_code().alias("check")))
+            .select(*calls.columns, "expires_at", check_code(require_token).alias("check")))
 
 
-def keep_first(checked: DataFrame, salts: int = SALTS) -> DataFrame:
+def keep_first(checked: DataFrame, salts: int = 8) -> DataFrame:
     """One passing call per token of a stream with a watermark on `ts`.
 
     Later calls on the token are dropped. Of several calls in the micro-batch that uses the
@@ -78,7 +78,8 @@ def judge_batches(used_path: str, out_path: str,
     Each micro-batch is reduced to its first passing call per token before it meets the
     table of used tokens, so a token called very often is no burden to one task. Output
     and used tokens are written per batch and overwritten when a batch runs again. Used
-    tokens are kept by expiry date and read no further back than the batch's first call.
+    tokens are laid out by expiry date first and read no further back than the batch's first
+    call, so that dates that are over are never listed and can be dropped.
     `check` turns calls into checked calls with the ledger and revocations of the moment.
     """
     def run(batch: DataFrame, batch_id: int) -> None:
@@ -89,7 +90,7 @@ def judge_batches(used_path: str, out_path: str,
         expiry = checked.select("call_id", F.to_date("expires_at").alias("expires_on"))
         first = first_uses(checked).join(expiry, "call_id").select(
             "token_id", "call_id", "expires_on")
-        used = spark.read.schema("token_id string, batch long, expires_on date").parquet(used_path)
+        used = spark.read.schema("token_id string, expires_on date, batch long").parquet(used_path)
         oldest = batch.select(F.to_date(F.min("ts")).alias("day")).first()["day"]
         earlier = used.where((F.col("batch") < batch_id) & (F.col("expires_on") >= F.lit(oldest)))
         fresh = first.join(earlier, "token_id", "left_anti")
@@ -99,8 +100,8 @@ def judge_batches(used_path: str, out_path: str,
         ).otherwise(F.col("check"))).drop("_fresh", "check")
         # The used tokens of this batch go first: a rerun ignores and overwrites them.
         for rows, path, parts in (
-                (fresh.select("token_id", F.lit(batch_id).cast("long").alias("batch"),
-                              "expires_on"), used_path, ["batch", "expires_on"]),
+                (fresh.select("token_id", "expires_on", F.lit(batch_id).cast("long")
+                              .alias("batch")), used_path, ["expires_on", "batch"]),
                 (judged.withColumn("batch", F.lit(batch_id).cast("long")), out_path, ["batch"])):
             (rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
              .partitionBy(*parts).parquet(path))
@@ -108,11 +109,17 @@ def judge_batches(used_path: str, out_path: str,
     return run
 
 
-def check_with(ledger: DataFrame, revocations: DataFrame,
+def check_with(ledger: Callable[[SparkSession], DataFrame],
+               revocations: Callable[[SparkSession], DataFrame],
                require_token: bool = True) -> Callable[[DataFrame], DataFrame]:
-    """`check` for `judge_batches` that rereads ledger and revocations for each batch."""
+    """`check` for `judge_batches` that rereads ledger and revocations for each batch.
+
+    Both are functions that read the table: a frame made once keeps the files it saw then, and
+    would let through what was revoked after.
+    """
     def check(batch: DataFrame) -> DataFrame:
-        side = with_revocations(ledger, revocations).select(
+        spark = batch.sparkSession
+        side = with_revocations(ledger(spark), revocations(spark)).select(
             "token_id", "query_hash", F.col("agent_id").alias("token_agent_id"), "issued_at",
             "expires_at", "token_revoked_at", "session_revoked_at")
         joined = salted_join(batch.withColumn("call_hash", query_hash(F.col("query"))), side,
