@@ -254,11 +254,19 @@ def with_counts(docs: DataFrame, text: str, keys: tuple[str, ...]) -> DataFrame:
 def judge_counted(table: DataFrame, keys: tuple[str, ...] = ("lang", "source"),
                   steps: int = STEPS, cutoff: float = CUTOFF) -> DataFrame:
     """Verdicts for a stored table of counts."""
-    keys = list(keys)
+    return score_counted(table, fit_counted(table, keys, steps), keys, cutoff)
+
+
+def fit_counted(table: DataFrame, keys: tuple[str, ...], steps: int = STEPS) -> DataFrame:
+    """Estimates per group from the rows that pass the plain rules."""
     good = table.where(~F.col("base_failed")).select(*keys, *COUNTS).withColumns(vector())
-    fitted = fit(good.select(*keys, *FLOORS), keys, steps)
+    return fit(good.select(*keys, *FLOORS), list(keys), steps)
+
+
+def score_counted(table: DataFrame, fitted: DataFrame, keys: tuple[str, ...],
+                  cutoff: float = CUTOFF) -> DataFrame:
     vectors = table.withColumns(vector())
-    scored = join_bounded(vectors, fitted, same_group(vectors, keys)).withColumn(
+    scored = join_bounded(vectors, fitted, same_group(vectors, list(keys))).withColumn(
         "outlier_d2", distance() / F.col("u_scale"))
     return scored.select(*table.columns, F.when(~F.col("base_failed"), F.col("outlier_d2"))
                          .alias("outlier_d2")).withColumn(
@@ -266,13 +274,18 @@ def judge_counted(table: DataFrame, keys: tuple[str, ...] = ("lang", "source"),
 
 
 def filter_quality(docs: DataFrame, text: str = "text", keys: tuple[str, ...] = ("lang", "source"),
-                   **options) -> DataFrame:
-    """The documents that the rules keep, with their own columns as they are."""
-    own = [f"m_{k}" for k in keys]
+                   steps: int = STEPS, cutoff: float = CUTOFF) -> DataFrame:
+    """The documents that the rules keep, with their own columns as they are.
+
+    Counts are stored for the estimates without texts, and taken again when documents are
+    judged: that costs a second pass, but no copy of the texts.
+    """
+    own = tuple(f"m_{k}" for k in keys)
     wrapped = docs.select(F.struct("*").alias("m_doc"), F.col(text).alias("m_text"),
                           *[F.col(k).alias(o) for k, o in zip(keys, own)])
-    counted = stored(with_counts(wrapped, "m_text", tuple(own)).drop("m_text"))
-    return judge_counted(counted, tuple(own), **options).where("kept").select("m_doc.*")
+    counted = with_counts(wrapped, "m_text", own).drop("m_text")
+    fitted = fit_counted(stored(counted.drop("m_doc")), own, steps)
+    return score_counted(counted, fitted, own, cutoff).where("kept").select("m_doc.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
