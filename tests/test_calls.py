@@ -32,9 +32,9 @@ def policy_rows(spark):
         ("open", "o", "postgres", "t", [], 0, ["read"], [], None, None, [], False, "o", {})],
         schemas.ASSETS)
     consent = spark.createDataFrame([], "subject_id string, asset_id string, granted boolean")
-    timeline = policy.policy_timeline(spark.createDataFrame(
-        [("asset", "quality", 1, at(-50)), ("consent", "x", 2, at(60))],
-        "kind string, key string, seq int, ts timestamp"))
+    timeline = policy.policy_timeline(policy.consent_changes(spark.createDataFrame(
+        [("x", "quality", True, at(-50), 1), ("x", "quality", False, at(60), 2)],
+        "subject_id string, asset_id string, granted boolean, ts timestamp, seq int")), assets)
     return users, agents, assets, consent, timeline
 
 

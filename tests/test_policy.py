@@ -171,6 +171,36 @@ def test_version_changes_with_any_change_and_not_with_order(tables):
     assert len(versions | {base}) == 4
 
 
+def test_versions_tell_lists_and_nulls_apart(tables):
+    _, _, assets, consent = tables
+    one = assets.limit(1)
+    variants = [one.withColumn("columns", F.array(*map(F.lit, x)).cast("array<string>"))
+                for x in (["a", "b"], ["a,b"], [])]
+    variants += [one.withColumn("tags", F.create_map(F.lit("k"), F.lit("v"))),
+                 one.withColumn("brand_column", F.lit(None).cast("string")),
+                 one.withColumn("brand_column", F.lit("~"))]
+    found = [policy.policy_version(v, consent).first()["version_id"] for v in variants]
+    assert len(set(found)) == len(found)
+    nobody = consent.limit(1).withColumn("subject_id", F.lit(None).cast("string"))
+    assert policy.policy_version(one, nobody).first() != policy.policy_version(
+        one, nobody.withColumn("subject_id", F.col("asset_id"))).first()
+
+
+def test_timeline_is_that_of_the_state(spark, tables):
+    _, _, assets, _ = tables
+    rows = [("u", "a", True, 0, 1), ("u", "a", True, 5, 2), ("u", "a", False, 90000, 3),
+            ("v", "a", True, 90001, 4), ("u", "a", True, 200000, 5), ("v", "a", False, 200001, 6),
+            ("v", "a", True, 300000, 7)]
+    events = spark.createDataFrame(rows, "subject_id string, asset_id string, granted boolean, "
+                                         "at long, seq int").withColumn("ts", F.timestamp_seconds("at"))
+    got = [r["version_id"] for r in policy.policy_timeline(
+        policy.consent_changes(events), assets).orderBy("seq").collect()]
+    want = [policy.policy_version(assets, policy.latest_consent(events.where(F.col("seq") <= n)))
+            .first()["version_id"] for n in range(1, 8)]
+    assert got == want
+    assert got[0] == got[1] != got[2] and got[4] == got[6]
+
+
 @pytest.mark.parametrize("value, safe", [
     ("user_1.x-y", True), ("evil'; DROP TABLE users--", False), ("", False), ("ok\n", False),
     ("x" * 128, True), ("x" * 129, False), (None, False), ("naïve", False)])

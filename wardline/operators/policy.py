@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wardline.functions import levels as L
@@ -70,31 +70,45 @@ def consented_rows(rows: DataFrame, consent_events: DataFrame, spread: Sequence[
     return salted_join(rows, granted, ["subject_id", "asset_id"], spread, "left_semi")
 
 
-def _digest_lanes(line: Column) -> list[Column]:
+LANES = 4
+
+
+def lanes_of(line: Column) -> list[Column]:
+    """Four numbers of a line's hash; sums of them over the lines of a state identify it."""
     digest = F.sha2(line, 256)
-    return [F.sum(F.conv(F.substring(digest, 1 + 15 * i, 15), 16, 10).cast("decimal(20,0)"))
-            .alias(f"lane{i}") for i in range(4)]
+    return [F.conv(F.substring(digest, 1 + 15 * i, 15), 16, 10).cast("decimal(20,0)")
+            for i in range(LANES)]
 
 
-def asset_line(separator: str = "\u001f") -> Column:
-    """Canonical text of an asset for the version digest."""
-    def text(c: str) -> Column:
-        return F.coalesce(F.col(c).cast("string"), F.lit("~"))
+def _json(**fields: Column) -> Column:
+    """One text of all fields, nulls kept, so that different records never read alike."""
+    return F.to_json(F.struct(*[c.alias(n) for n, c in fields.items()]),
+                     {"ignoreNullFields": "false"})
 
-    def items(c: str) -> Column:
-        return F.coalesce(F.array_join(c, ","), F.lit("~"))
 
-    return F.concat_ws(
-        separator, F.lit("asset"), text("asset_id"), text("name"), text("source"), text("table"),
-        items("columns"), text("sensitivity_rank"), items("required_rights"),
-        items("brand_tags"), text("brand_column"), text("row_filter_template"),
-        items("pii_columns"), text("consent_required"), text("owner"))
+def asset_line() -> Column:
+    """Canonical text of an asset for the version digest: the whole record."""
+    names = ("asset_id", "name", "source", "table", "columns", "sensitivity_rank",
+             "required_rights", "brand_tags", "brand_column", "row_filter_template",
+             "pii_columns", "consent_required", "owner", "tags")
+    return _json(kind=F.lit("asset"), **{n: F.col(n) for n in names})
 
 
-def consent_line(separator: str = "\u001f") -> Column:
+def consent_line() -> Column:
     """Canonical text of a consent for the version digest."""
-    return F.concat_ws(separator, F.lit("consent"), F.col("subject_id"), F.col("asset_id"),
-                       F.col("granted").cast("string"))
+    return _json(kind=F.lit("consent"), subject_id=F.col("subject_id"),
+                 asset_id=F.col("asset_id"), granted=F.col("granted"))
+
+
+def version_id(n_lines: Column, lanes: Sequence[Column]) -> Column:
+    digest = F.sha2(F.concat_ws("|", n_lines.cast("string"), *[
+        F.coalesce(x.cast("string"), F.lit("0")) for x in lanes]), 256)
+    return F.concat(F.lit("v:"), F.substring(digest, 1, 16))
+
+
+def _state_sums(lines: DataFrame) -> DataFrame:
+    return lines.agg(F.count(F.lit(1)).alias("n_lines"), *[
+        F.sum(x).alias(f"lane{i}") for i, x in enumerate(lanes_of(F.col("line")))])
 
 
 def policy_version(assets: DataFrame, consent: DataFrame) -> DataFrame:
@@ -105,18 +119,43 @@ def policy_version(assets: DataFrame, consent: DataFrame) -> DataFrame:
     """
     lines = assets.select(asset_line().alias("line")).unionByName(
         consent.select(consent_line().alias("line")))
-    sums = lines.agg(F.count(F.lit(1)).alias("n_lines"), *_digest_lanes(F.col("line")))
-    digest = F.sha2(F.concat_ws("|", F.col("n_lines").cast("string"), *[
-        F.coalesce(F.col(f"lane{i}").cast("string"), F.lit("0")) for i in range(4)]), 256)
-    return sums.select(F.concat(F.lit("v:"), F.substring(digest, 1, 16)).alias("version_id"),
-                       "n_lines")
-
-
-def policy_timeline(changes: DataFrame) -> DataFrame:
-    """One version per policy change event, from columns kind, key, seq and ts."""
-    line = F.concat_ws("|", "kind", "key", F.col("seq").cast("string"))
-    return changes.select("ts", "seq", F.concat(
-        F.lit("v:"), F.substring(F.sha2(line, 256), 1, 16)).alias("version_id"))
+    lanes = [F.col(f"lane{i}") for i in range(LANES)]
+    return _state_sums(lines).select(version_id(F.col("n_lines"), lanes).alias("version_id"),
+                                     "n_lines")
+
+
+def consent_changes(consent_events: DataFrame) -> DataFrame:
+    """Consent events as changes of the policy state: key, line, ts, seq."""
+    return consent_events.select(F.array("subject_id", "asset_id").alias("key"),
+                                 consent_line().alias("line"), "ts", "seq")
+
+
+def policy_timeline(changes: DataFrame, assets: DataFrame) -> DataFrame:
+    """The version of the policy state after each change: ts, seq, version_id.
+
+    `changes` replace the line of their key; `assets` are lines that stay. A change takes
+    the hash of the line before it off the sums and puts its own on, so that a change that
+    changes nothing keeps the version and one taken back restores it. Sums run by day and
+    then over days, so no task holds the whole history.
+    """
+    start = _state_sums(assets.select(asset_line().alias("line"))).first()
+    names = ["n_lines", *[f"lane{i}" for i in range(LANES)]]
+    before = F.lag("line").over(Window.partitionBy("key").orderBy("ts", "seq"))
+    steps = changes.select("key", "line", "ts", "seq").withColumn("before", before)
+    steps = steps.select("ts", "seq", F.to_date("ts").alias("day"),
+                         F.when(F.col("before").isNull(), 1).otherwise(0).alias("n_lines"), *[
+        (new - F.coalesce(old, F.lit(0).cast("decimal(20,0)"))).alias(f"lane{i}")
+        for i, (new, old) in enumerate(zip(lanes_of(F.col("line")), lanes_of(F.col("before"))))])
+    inside = Window.partitionBy("day").orderBy("ts", "seq").rowsBetween(
+        Window.unboundedPreceding, 0)
+    earlier = Window.orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
+    by_day = steps.groupBy("day").agg(*[F.sum(n).alias(n) for n in names]).select(
+        "day", *[F.coalesce(F.sum(n).over(earlier), F.lit(0)).alias(f"_{n}") for n in names])
+    total = [F.col(n) + F.col(f"_{n}") + F.lit(start[n] or 0) for n in names]
+    return (steps.select("ts", "seq", "day", *[F.sum(n).over(inside).alias(n) for n in names])
+            .join(by_day, "day").select("ts", "seq", version_id(
+                total[0].cast("long"), [x.cast("decimal(38,0)") for x in total[1:]])
+                .alias("version_id")))
 
 
 def version_as_of(rows: DataFrame, timeline: DataFrame, spread: Sequence[str],

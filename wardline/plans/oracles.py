@@ -139,9 +139,6 @@ cte("revoked_tokens", """
   SELECT t.token_id, min(e.ts) AS at FROM events e JOIN token_ids t
     ON e.event_id // 3 = t.request_id WHERE event_type = 'error' AND value > 100 GROUP BY 1
   """, "token_ids")
-cte("timeline", """
-  SELECT ts, event_id AS seq, 'v:' || substr(sha256('consent|user_' || (user_id * 11) || '|'
-    || event_id), 1, 16) AS version_id FROM events WHERE event_type = 'signup'""")
 
 # Decisions, over rows named `r` with user, agent, asset and right.
 OVERLAP = "list_has_any(a.brand_tags, u.brand_scope)"
@@ -240,22 +237,42 @@ SELECT l_orderkey, l_linenumber, s.subject_id, s.asset_id, l_quantity FROM shipp
 JOIN consent c ON s.subject_id = c.subject_id AND s.asset_id = c.asset_id WHERE c.granted""",
        "shipped", "consent")
 LANES = ", ".join(
-    f"sum(CAST(('0x' || substr(h, {1 + 15 * i}, 15)) AS BIGINT))::VARCHAR AS lane{i}"
-    for i in range(4))
-US = "chr(31)"
-ASSET_LINE = f" || {US} || ".join([
-    "'asset'", "asset_id", "name", "source", "tab",
-    "'p_partkey,p_name,p_brand,p_size,p_retailprice'", "sensitivity_rank::VARCHAR", "'read'",
-    "array_to_string(brand_tags, ',')", "coalesce(brand_column, '~')",
-    "coalesce(row_filter_template, '~')", "array_to_string(pii_columns, ',')",
-    "consent_required::VARCHAR", "'parts_domain'"])
+    f"sum(CAST(('0x' || substr(h, {1 + 15 * i}, 15)) AS BIGINT)) AS lane{i}" for i in range(4))
+ASSET_JSON = """to_json({kind: 'asset', asset_id: asset_id, name: name, source: source, "table": tab,
+    columns: ['p_partkey', 'p_name', 'p_brand', 'p_size', 'p_retailprice'],
+    sensitivity_rank: sensitivity_rank, required_rights: ['read'], brand_tags: brand_tags,
+    brand_column: brand_column, row_filter_template: row_filter_template,
+    pii_columns: pii_columns, consent_required: consent_required, owner: 'parts_domain',
+    tags: {brand: name}})"""
+CONSENT_JSON = ("to_json({kind: 'consent', subject_id: subject_id, asset_id: asset_id, "
+                "granted: granted})")
+
+
+def version_of(n: str, lanes) -> str:
+    return ("'v:' || substr(sha256(" + " || '|' || ".join(
+        f"CAST({x} AS VARCHAR)" for x in (n, *lanes)) + "), 1, 16)")
+
+
+cte("asset_sums", f"""
+  SELECT count(*) AS n_lines, {LANES} FROM (SELECT sha256({ASSET_JSON}) AS h FROM assets)""",
+    "assets")
+RUN = "OVER (ORDER BY ts, seq ROWS UNBOUNDED PRECEDING)"
+cte("timeline", f"""
+  SELECT ts, seq, {version_of(f"(SELECT n_lines FROM asset_sums) + sum(fresh) {RUN}", [
+      f"(SELECT lane{i} FROM asset_sums) + sum(d{i}) {RUN}" for i in range(4)])} AS version_id
+  FROM (SELECT *, CASE WHEN before IS NULL THEN 1 ELSE 0 END AS fresh, {", ".join(
+      f"CAST(('0x' || substr(sha256(line), {1 + 15 * i}, 15)) AS HUGEINT) - coalesce(CAST(('0x' || "
+      f"substr(sha256(before), {1 + 15 * i}, 15)) AS HUGEINT), 0) AS d{i}" for i in range(4))}
+    FROM (SELECT *, lag(line) OVER (PARTITION BY subject_id, asset_id ORDER BY ts, seq) AS before
+      FROM (SELECT *, {CONSENT_JSON} AS line FROM (
+        SELECT 'user_' || (user_id * 11) AS subject_id, 'Brand_' || (1 + event_id % 3) AS asset_id,
+          event_id % 2 = 0 AS granted, ts, event_id AS seq
+        FROM events WHERE event_type = 'signup'))))""", "asset_sums")
 oracle("policy_version", f"""
-SELECT 'v:' || substr(sha256(n_lines || '|' || lane0 || '|' || lane1 || '|' || lane2 || '|'
-  || lane3), 1, 16) AS version_id, n_lines
+SELECT {version_of("n_lines", [f"lane{i}" for i in range(4)])} AS version_id, n_lines
 FROM (SELECT count(*) AS n_lines, {LANES} FROM (
-  SELECT sha256({ASSET_LINE}) AS h FROM assets UNION ALL
-  SELECT sha256('consent' || {US} || subject_id || {US} || asset_id || {US}
-    || granted::VARCHAR) FROM consent))""", "assets", "consent")
+  SELECT sha256({ASSET_JSON}) AS h FROM assets UNION ALL
+  SELECT sha256({CONSENT_JSON}) FROM consent))""", "assets", "consent")
 oracle("policy_timeline", "SELECT ts, seq, version_id FROM timeline", "timeline")
 oracle("unsafe_identifiers", """
 SELECT p_partkey, p_brand AS brand, 'UNSAFE_IDENTIFIER' AS reason_code FROM part

@@ -168,9 +168,14 @@ def policy_version(spark: SparkSession, sf_dir: str) -> DataFrame:
         policy.latest_consent(roles.consent_events(spark, sf_dir)))
 
 
+def _timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return policy.policy_timeline(policy.consent_changes(roles.policy_changes(spark, sf_dir)),
+                                  roles.assets(spark, sf_dir))
+
+
 @query
 def policy_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return policy.policy_timeline(roles.policy_changes(spark, sf_dir))
+    return _timeline(spark, sf_dir)
 
 
 @query
@@ -277,7 +282,7 @@ def query_hash_(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _issued(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    timeline = policy.policy_timeline(roles.policy_changes(spark, sf_dir))
+    timeline = _timeline(spark, sf_dir)
     return ledger.issue_tokens(roles.token_requests(spark, sf_dir), *_policy(spark, sf_dir),
                                timeline, roles.TTL_SECONDS)
 
@@ -329,7 +334,7 @@ def call_results(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def stale_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    timeline = policy.policy_timeline(roles.policy_changes(spark, sf_dir))
+    timeline = _timeline(spark, sf_dir)
     calls = roles.tool_calls(spark, sf_dir)
     return ledger.mark_stale(_checked(spark, sf_dir), timeline, calls).select(
         "call_id", "policy_version", "version_in_force", "policy_stale")

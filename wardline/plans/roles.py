@@ -226,10 +226,11 @@ def revocations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def policy_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every signup records a consent and so changes the policy."""
+    """Every signup gives or takes back a consent and so may change the policy."""
     return table(spark, sf_dir, "events").where("event_type = 'signup'").select(
-        F.lit("consent").alias("kind"), _user().alias("key"), F.col("event_id").alias("seq"),
-        "ts")
+        _user().alias("subject_id"),
+        _name("Brand_", 1 + F.col("event_id") % 3).alias("asset_id"),
+        (F.col("event_id") % 2 == 0).alias("granted"), "ts", F.col("event_id").alias("seq"))
 
 
 def seeded(rows: DataFrame, text: str, number: Column) -> DataFrame:
