@@ -262,31 +262,44 @@ def counted(pairs: DataFrame, model: Unigrams, parts: int) -> DataFrame:
         group = group[group["e"].notna()]
         if group.empty:
             return pd.DataFrame(passed, columns=columns)
-        hs, cs, ws, cw, used, owners, texts, times, whose = ([] for _ in range(9))
+        # Numbers stay as narrow as they came; a part holds many.
+        read: dict[str, list[np.ndarray]] = {k: [] for k in "hcwpuotn"}
         base = 0
-        for k, row in enumerate(group.itertuples()):
+        for row in group.itertuples():
             head = unpack(row.a).astype(np.int64).reshape(3, -1)
-            hs.append(np.repeat(head[0], head[2]))
-            cs.append(np.repeat(head[1], head[2]))
-            ws.append(unpack(row.b).astype(np.int64))
-            cw.append(unpack(row.c).astype(np.int64))
-            used.append(unpack(row.d).astype(np.int64))
-            owners.append(base + np.repeat(np.arange(len(hs[-1])), unpack(row.e).astype(np.int64)))
-            texts.append(unpack(row.f).astype(np.int64))
-            times.append(unpack(row.g).astype(np.int64))
-            whose.append(np.full(len(texts[-1]), k))
-            base += len(hs[-1])
-        h, w = np.concatenate(hs), np.concatenate(ws)
-        history, hi = np.unique(h, return_inverse=True)
-        word, wi = np.unique(w, return_inverse=True)
-        pair, place, at = np.unique(hi * len(word) + wi, return_index=True, return_inverse=True)
-        total = np.bincount(at, np.concatenate(used), len(pair)).astype(np.int64)
-        mine = pair // len(word)
+            ids = head[0].astype(np.uint32) if head[0].max() < 1 << 32 else head[0]
+            read["h"].append(np.repeat(ids, head[2]))
+            read["c"].append(np.repeat(head[1].astype(np.min_scalar_type(int(head[1].max()))),
+                                       head[2]))
+            read["w"].append(unpack(row.b))
+            read["p"].append(unpack(row.c))
+            read["u"].append(unpack(row.d))
+            refs = unpack(row.e)
+            read["o"].append(np.repeat(np.arange(base, base + len(refs), dtype=np.uint32), refs))
+            read["t"].append(unpack(row.f))
+            read["n"].append(unpack(row.g))
+            base += len(refs)
+        ends = np.cumsum([0] + [len(x) for x in read["t"]])
+        spans = [slice(a, b) for a, b in zip(ends, ends[1:])]
+
+        def take(name: str) -> np.ndarray:
+            return np.concatenate(read.pop(name))
+
+        history, hi = np.unique(take("h"), return_inverse=True)
         c_h = np.zeros(len(history), dtype=np.int64)
-        c_h[hi] = np.concatenate(cs)
-        p_w = model.p(np.concatenate(cw)[place])
+        c_h[hi] = take("c")
+        word, wi = np.unique(take("w"), return_inverse=True)
+        pair = hi * np.int64(len(word)) + wi
+        del hi, wi
+        pair, place, at = np.unique(pair, return_index=True, return_inverse=True)
+        at = at.astype(np.uint32)
+        total = np.bincount(at, take("u"), len(pair)).astype(np.int64)
+        mine = pair // len(word)
+        p_w = model.p(take("p")[place].astype(np.int64))
+        del place
         seen = total > 0
         rare = seen & (total <= CUT)
+        history, word = history.astype(np.int64), word.astype(np.int64)
         n = len(history)
         by_count = np.stack([np.bincount(mine[total == r], minlength=n)
                              for r in range(1, CUT + 1)])
@@ -298,33 +311,31 @@ def counted(pairs: DataFrame, model: Unigrams, parts: int) -> DataFrame:
                  None, None, None, None),
                 (1, part, None, None, None, pack(history[mine][seen]), pack(word[pair % len(word)][seen]),
                  pack(total[seen]), None)]
-        owner, text = at[np.concatenate(owners)], np.concatenate(texts)
-        time, whose = np.concatenate(times), np.concatenate(whose)
+        owner, text, time = at[take("o")], take("t"), take("n")
+        del at
         # Logarithms that need no discount: of counts over totals, or of p(w).
         room = c_h + ((by_count.sum(0) == 0) & ~split)
         value = np.where(seen, np.log10(np.maximum(total, 1) / np.maximum(room, 1)[mine]),
                          np.log10(p_w))
-        known = np.where(rare, total, 0)[owner]
-        for k, chunk in enumerate(group["chunk"]):
-            own = whose == k
+        known = np.where(rare, total, 0).astype(np.uint8)
+        for own, chunk in zip(spans, group["chunk"]):
             texts_k, where = np.unique(text[own], return_inverse=True)
             sums = np.bincount(where, value[owner[own]] * time[own], len(texts_k))
-            grid = np.zeros((len(texts_k), CUT + 1), dtype=np.int64)
-            np.add.at(grid, (where, known[own]), time[own])
+            grid = np.bincount(where * (CUT + 1) + known[owner[own]], time[own],
+                               len(texts_k) * (CUT + 1)).astype(np.int64)
             rows.append((2, part, chunk, None, None, pack(texts_k), pack(sums),
-                         pack(grid[:, 1:].ravel()), None))
+                         pack(grid.reshape(-1, CUT + 1)[:, 1:].ravel()), None))
         # Histories with unseen bigrams; a split one without rare ones may need its room as well.
         unsure = split & (by_count.sum(0) == 0)
         open_ = ~seen[owner] | unsure[mine[owner]]
         if open_.any():
             order = np.flatnonzero(open_)
-            order = order[np.argsort(whose[order], kind="stable")]
             needed, local = np.unique(mine[owner[order]], return_inverse=True)
             refs = np.stack([local, text[order], time[order], seen[owner[order]]])
             table = np.stack([history[needed], c_h[needed], split[needed],
                               plain[needed].astype(np.int64), *by_count[:, needed]])
-            chunk_ends = np.bincount(whose[order], minlength=len(group))
-            rows.append((3, part, "\n".join(group["chunk"]), None, chunk_ends.tolist(),
+            chunk_sizes = [int(open_[own].sum()) for own in spans]
+            rows.append((3, part, "\n".join(group["chunk"]), None, chunk_sizes,
                          pack(table.ravel()), pack(taken[needed]), pack(refs.ravel()), None))
         for i in np.flatnonzero(split):
             rows.append((4, part, None, int(history[i]),
