@@ -48,7 +48,7 @@ def issued(spark, policy_rows):
     requests = spark.createDataFrame(
         rows, "request_id long, ts timestamp, session_id string, user_id string, "
               "agent_id string, asset_ids array<string>, access_right string, query string")
-    return ledger.issue_tokens(requests, *policy_rows)
+    return ledger.issue_tokens(requests, *policy_rows, F.lit("secret"))
 
 
 @pytest.fixture(scope="module")

@@ -20,14 +20,22 @@ PREVIEW_LENGTH = 120
 PASSED = "ALLOWED"
 
 
+def token_id(secret: Column) -> Column:
+    """Id of the token of a request, which can't be computed without the secret."""
+    return F.concat(F.lit("tok_"), F.substring(F.sha2(F.concat_ws(
+        "|", secret, F.col("request_id").cast("string"), "session_id", "user_id", "agent_id"),
+        256), 1, 32))
+
+
 def issue_tokens(requests: DataFrame, users: DataFrame, agents: DataFrame, assets: DataFrame,
-                 consent: DataFrame, timeline: DataFrame, ttl_seconds: int = DEFAULT_TTL_SECONDS,
-                 **options: int) -> tuple[DataFrame, DataFrame]:
+                 consent: DataFrame, timeline: DataFrame, secret: Column,
+                 ttl_seconds: int = DEFAULT_TTL_SECONDS, **options: int) -> tuple[DataFrame, DataFrame]:
     """Ledger rows of requests whose assets are all allowed, and the rejected requests.
 
     Requests hold request_id, ts, session_id, user_id, agent_id, asset_ids, access_right
-    and query. Filters and masks are kept per asset. Token ids derive from the request,
-    so a rerun issues the same tokens.
+    and query. Filters and masks are kept per asset. Token ids derive from the request and
+    from `secret`, so a rerun issues the same tokens and nobody else can name them; take a column
+    joined from a table of secrets rather than a literal of the plan.
     """
     stamped = version_as_of(requests, timeline, ["request_id"], name="policy_version", **options)
     joined = join_principals(stamped, users, agents, ["request_id"], requests)
@@ -43,10 +51,8 @@ def issue_tokens(requests: DataFrame, users: DataFrame, agents: DataFrame, asset
             F.filter("items", lambda i: keep(i[field])),
             lambda i: F.struct(i["asset_id"], i[field]))))
 
-    token_id = F.concat(F.lit("tok_"), F.substring(F.sha2(F.concat_ws(
-        "|", F.col("request_id").cast("string"), "session_id", "user_id", "agent_id"), 256), 1, 32))
     ledger = grouped.where(F.size("denied") == 0).select(
-        "request_id", token_id.alias("token_id"), query_hash(F.col("query")).alias("query_hash"),
+        "request_id", token_id(secret).alias("token_id"), query_hash(F.col("query")).alias("query_hash"),
         F.substring("query", 1, PREVIEW_LENGTH).alias("query_preview"),
         "user_id", "agent_id", "session_id", "policy_version", F.col("ts").alias("issued_at"),
         (F.col("ts") + F.make_dt_interval(secs=F.lit(ttl_seconds))).alias("expires_at"),

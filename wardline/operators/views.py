@@ -32,6 +32,20 @@ def governed_view(table: DataFrame, *, brand_column: str | None = None,
     return view.checkpoint() if materialise else view
 
 
+def governed_read(token: Mapping, tables: Mapping[str, DataFrame],
+                  materialise: bool = False) -> dict[str, DataFrame]:
+    """The views that an allowed call reads, one per asset of its token's ledger row.
+
+    `token` has `asset_ids`, `row_filters` and `masked_columns`, as `ledger.issue_tokens` wrote
+    them; `tables` gives the table of each asset. Filters hold validated names only. An asset
+    without a table here is an error, not an unfiltered read.
+    """
+    filters, masks = token["row_filters"] or {}, token["masked_columns"] or {}
+    return {asset: governed_view(tables[asset], row_filter=filters.get(asset),
+                                 masked=masks.get(asset) or (), materialise=materialise)
+            for asset in token["asset_ids"]}
+
+
 def run_governed_sql(spark: SparkSession, query: str,
                      views: Mapping[str, Callable[[SparkSession], DataFrame]]) -> DataFrame:
     """Run a user's query in a session of its own that reads the given views alone.

@@ -119,7 +119,7 @@ cte("token_requests", f"""
   FROM events
   QUALIFY row_number() OVER (PARTITION BY event_id // 3 ORDER BY event_id) = 1""")
 cte("token_ids", """
-  SELECT *, 'tok_' || substr(sha256(request_id || '|' || session_id || '|' || user_id || '|'
+  SELECT *, 'tok_' || substr(sha256('a secret of the test tables|' || request_id || '|' || session_id || '|' || user_id || '|'
     || agent_id), 1, 32) AS token_id FROM token_requests""", "token_requests")
 cte("calls", """
   SELECT event_id AS call_id, e.ts,
@@ -411,6 +411,13 @@ CALLS = ("calls", "ledger", "revoked_tokens", "revoked_sessions")
 cte("verdicts", verdicts("UNGOVERNED"), *CALLS)
 cte("lenient_verdicts", verdicts("ALLOWED_UNGOVERNED"), *CALLS)
 oracle("token_verdicts", "SELECT call_id, agent_id, token_id, verdict FROM verdicts", "verdicts")
+oracle("governed_call_rows", """
+SELECT call_id, p_partkey, brand AS p_brand, p_size
+FROM (SELECT call_id, row_filters FROM verdicts WHERE verdict = 'ALLOWED'
+    AND contains(row_filters, 'p_brand IN') AND NOT regexp_matches(row_filters, 'p_owner|p_scope')
+  ORDER BY ts, call_id LIMIT 1) c
+JOIN (SELECT *, replace(p_brand, '#', '_') AS brand FROM part) p
+  ON contains(c.row_filters, chr(39) || brand || chr(39))""", "verdicts")
 oracle("replay_first_use", """
 SELECT token_id, call_id, ts FROM verdicts WHERE verdict = 'ALLOWED'""", "verdicts")
 oracle("ungoverned_calls", """

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -284,7 +285,7 @@ def query_hash_(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _issued(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     timeline = _timeline(spark, sf_dir)
     return ledger.issue_tokens(roles.token_requests(spark, sf_dir), *_policy(spark, sf_dir),
-                               timeline, roles.TTL_SECONDS)
+                               timeline, F.lit(roles.SECRET), roles.TTL_SECONDS)
 
 
 def _checked(spark: SparkSession, sf_dir: str, require_token: bool = True) -> DataFrame:
@@ -314,6 +315,32 @@ def token_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
         "call_id", "agent_id", "token_id", "verdict")
 
 
+@query
+def governed_call_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From requests to rows: issue, check, single use, then the view of the first allowed call.
+
+    The call is the first whose filters name brands alone, since parts have no owner.
+    """
+    issued = stored(_issued(spark, sf_dir)[0])
+    judged = ledger.judge_calls(ledger.check_calls(
+        roles.tool_calls(spark, sf_dir), issued, roles.revocations(spark, sf_dir)))
+    said = F.array_join(F.map_values("row_filters"), " ")
+    first = (judged.where((F.col("verdict") == "ALLOWED") & said.contains("p_brand IN")
+                          & ~said.rlike("p_owner|p_scope")).select("call_id", "ts", "token_id")
+             .orderBy("ts", "call_id").limit(1).collect())
+    parts = roles.table(spark, sf_dir, "part").withColumn(
+        "p_brand", F.replace("p_brand", F.lit("#"), F.lit("_")))
+    columns = ["p_partkey", "p_brand", "p_size"]
+    if not first:
+        return parts.limit(0).select(F.lit(None).cast("long").alias("call_id"), *columns)
+    token = issued.where(F.col("token_id") == first[0]["token_id"]).select(
+        "asset_ids", "row_filters", "masked_columns").first().asDict()
+    views_ = views.governed_read(token, {a: parts for a in token["asset_ids"]})
+    rows = [v.select(F.lit(first[0]["call_id"]).cast("long").alias("call_id"), *columns)
+            for v in views_.values()]
+    return reduce(DataFrame.unionByName, rows)
+
+
 @query
 def replay_first_use(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ledger.first_uses(_checked(spark, sf_dir))

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wardline.operators.ledger import token_id
 from wardline.operators.skew import salted_join
 from wardline.plans.seeds import SEEDS
 from wardline.sources.tables import spread_few_files
@@ -34,6 +35,7 @@ GROUP_BRANDS = {
 }
 
 TTL_SECONDS = 600
+SECRET = "a secret of the test tables"
 CLAIMS_NOW = 1_700_000_100
 
 
@@ -193,9 +195,7 @@ def token_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     wanted = token_requests(spark, sf_dir)
-    return wanted.select("request_id", "query", F.concat(F.lit("tok_"), F.substring(F.sha2(
-        F.concat_ws("|", F.col("request_id").cast("string"), "session_id", "user_id",
-                    "agent_id"), 256), 1, 32)).alias("token_id"))
+    return wanted.select("request_id", "query", token_id(F.lit(SECRET)).alias("token_id"))
 
 
 def tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
