@@ -6,6 +6,7 @@ import check_oracles
 import pytest
 
 import __spark_entry__ as entry_point
+from wardline.operators import skew
 from wardline.plans.oracles import ORACLES
 from wardline.plans.queries import QUERIES
 
@@ -26,5 +27,17 @@ def test_query_agrees_with_sql(spark, connection, name):
     assert check_oracles.compare(spark, connection, SF_DIR, name) is None
 
 
+@pytest.mark.parametrize("name", ["token_verdicts", "eligibility", "access_decisions",
+                                  "multi_user_extract", "consented_rows", "state_read"])
+def test_split_joins_agree_with_sql(spark, connection, monkeypatch, name):
+    """Without adaptive execution every key with a share of the rows is split."""
+    monkeypatch.setattr(skew, "MIN_ROWS", 1)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        assert check_oracles.compare(spark, connection, SF_DIR, name) is None
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
 def test_flagship(spark):
     assert entry_point.entry(spark).count() == 3

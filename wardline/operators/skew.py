@@ -54,19 +54,35 @@ def repeat_per_salt(side: DataFrame, hot: DataFrame, keys: Sequence[str]) -> Dat
             .drop("_salts"))
 
 
+def joins_are_split(base: DataFrame) -> bool:
+    """Whether Spark splits skewed joins while it runs, from the sizes it sees."""
+    conf = base.sparkSession.conf
+    return all(conf.get(f"spark.sql.adaptive.{name}", "true").lower() == "true"
+               for name in ("enabled", "skewJoin.enabled"))
+
+
 def find_hot(base: DataFrame, keys: Sequence[str], parts: int = PARTS,
-             min_rows: int = MIN_ROWS) -> DataFrame | None:
-    """Hot keys of a table, where rows without a key count as one: they too need spreading."""
+             min_rows: int | None = None) -> DataFrame | None:
+    """Hot keys of a table, where rows without a key count as one: they too need spreading.
+
+    Counting is a job over the keys before the query starts. Without `min_rows` it is left out
+    where adaptive execution splits skewed joins, which sees sizes for nothing.
+    """
+    if min_rows is None:
+        if joins_are_split(base):
+            return None
+        min_rows = MIN_ROWS
     counts = base.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     return hot_keys(counts, keys, parts, min_rows)
 
 
 def salted_join(facts: DataFrame, side: DataFrame, keys: Sequence[str], spread: Sequence[str],
                 how: str = "left", base: DataFrame | None = None, parts: int = PARTS,
-                min_rows: int = MIN_ROWS) -> DataFrame:
+                min_rows: int | None = None) -> DataFrame:
     """Equi-join of a large table to a keyed one, split where a key is hot.
 
-    `spread` names columns of `facts` that tell its rows apart. Rows of a hot key are
+    Adaptive execution does the splitting where it is on; what follows is for sessions
+    without it, and for a threshold given as `min_rows`. `spread` names columns of `facts` that tell its rows apart. Rows of a hot key are
     hashed by them into groups of about 1/`parts` of the table, and the matching rows of
     `side` are repeated per group. The result is that of a plain join on `keys`. Keys are
     counted in `base`, by default `facts`: name the stored table that `facts` was made of,
