@@ -34,7 +34,8 @@ from wardline.llm.token_counts import vocabulary
 MODEL = "piece_bpe_32k.model"
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0
-CELLS = 1 << 20
+CELLS = 1 << 19
+SLICE_BYTES = 4 << 20
 UNIT = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 
 
@@ -234,7 +235,7 @@ def encode(docs: DataFrame, id: str = "doc_id", text: str = "text",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         auto = automaton(path)
-        for part, texts in slices(batches):
+        for part, texts in slices(batches, most=SLICE_BYTES):
             ids = encode_texts(auto, texts)
             yield pa.RecordBatch.from_arrays(
                 [part.column(0), ids, pa.array(np.diff(ids.offsets.to_numpy()).astype(np.int64))],
