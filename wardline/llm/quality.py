@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wardline.functions.text import let
-from wardline.llm.common import BLANKS, count_words, join_bounded, read, stored, words
+from wardline.llm.common import BLANKS, count_words, fits, join_bounded, read, stored, words
 
 SYMBOLS = "#*$%&|<>"
 LEAST_WORDS = 50
@@ -38,6 +38,8 @@ SHRINK = 100.0
 CHI_MEDIAN = 3.357
 CUTOFF = 30.0
 PARTS = 16
+#: Rejected texts that are broadcast at most, as hashes; more leave by a shuffled anti-join.
+MOST_GONE = 1_000_000
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")
 
 
@@ -253,18 +255,9 @@ def with_counts(docs: DataFrame, text: str, keys: tuple[str, ...]) -> DataFrame:
 
 def judge_counted(table: DataFrame, keys: tuple[str, ...] = ("lang", "source"),
                   steps: int = STEPS, cutoff: float = CUTOFF) -> DataFrame:
-    """Verdicts for a stored table of counts."""
-    return score_counted(table, fit_counted(table, keys, steps), keys, cutoff)
-
-
-def fit_counted(table: DataFrame, keys: tuple[str, ...], steps: int = STEPS) -> DataFrame:
-    """Estimates per group from the rows that pass the plain rules."""
+    """Verdicts for a stored table of counts, from estimates of the rows that pass the plain rules."""
     good = table.where(~F.col("base_failed")).select(*keys, *COUNTS).withColumns(vector())
-    return fit(good.select(*keys, *FLOORS), list(keys), steps)
-
-
-def score_counted(table: DataFrame, fitted: DataFrame, keys: tuple[str, ...],
-                  cutoff: float = CUTOFF) -> DataFrame:
+    fitted = fit(good.select(*keys, *FLOORS), list(keys), steps)
     vectors = table.withColumns(vector())
     scored = join_bounded(vectors, fitted, same_group(vectors, list(keys))).withColumn(
         "outlier_d2", distance() / F.col("u_scale"))
@@ -277,15 +270,23 @@ def filter_quality(docs: DataFrame, text: str = "text", keys: tuple[str, ...] =
                    steps: int = STEPS, cutoff: float = CUTOFF) -> DataFrame:
     """The documents that the rules keep, with their own columns as they are.
 
-    Counts are stored for the estimates without texts, and taken again when documents are
-    judged: that costs a second pass, but no copy of the texts.
+    A verdict depends on text and group alone, so counts are stored with a hash of the text,
+    and rejected hashes leave by an anti-join; texts are neither stored nor shuffled while
+    rejections are few enough to be broadcast.
     """
     own = tuple(f"m_{k}" for k in keys)
-    wrapped = docs.select(F.struct("*").alias("m_doc"), F.col(text).alias("m_text"),
-                          *[F.col(k).alias(o) for k, o in zip(keys, own)])
-    counted = with_counts(wrapped, "m_text", own).drop("m_text")
-    fitted = fit_counted(stored(counted.drop("m_doc")), own, steps)
-    return score_counted(counted, fitted, own, cutoff).where("kept").select("m_doc.*")
+    slim = docs.select(F.col(text).alias("m_text"), F.xxhash64(text).alias("m_hash"),
+                       *[F.col(k).alias(o) for k, o in zip(keys, own)])
+    judged = judge_counted(stored(with_counts(slim, "m_text", own).drop("m_text")), own, steps,
+                           cutoff)
+    gone = stored(judged.where(~F.col("kept")).select("m_hash", *own).distinct())
+    wrapped = docs.select(F.struct("*").alias("m_doc"), F.xxhash64(text).alias("m_hash_of"),
+                          *[F.col(k).alias(f"{o}_of") for k, o in zip(keys, own)])
+    same = F.col("m_hash_of") == F.col("m_hash")
+    for o in own:
+        same = same & F.col(f"{o}_of").eqNullSafe(F.col(o))
+    side = F.broadcast(gone) if fits(gone, MOST_GONE) else gone
+    return wrapped.join(side, same, "left_anti").select("m_doc.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
