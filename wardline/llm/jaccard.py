@@ -35,7 +35,7 @@ SHARE = 90
 LEVEL_RATIO = 1.5
 AXES = 64
 LEAF = 16
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 4 << 20
 #: Keys of groups that are broadcast at most, of 16 bytes each; more are joined by a shuffle.
 MOST_KEYS = 2_000_000
 
@@ -283,15 +283,15 @@ def family_links(docs: DataFrame, families: DataFrame, id: str, text: str, size:
 def join(docs: DataFrame, id: str = "doc_id", text: str = "text", size: int = SIZE,
          share: int = SHARE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Per row of the documents: id, `row` (a hash), `n_shingles` and `component_id`."""
-    table = stored(tabled(docs, id, text, size, share))
-    keyed = table.select("node", F.explode("keys").alias("key"))
-    # Two rows that share a key are a link as they are; only keys of more rows are looked up again.
-    shared = stored(keyed.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("b"),
-                                             F.count(F.lit(1)).alias("rows")).where("a <> b"))
-    many = shared.where("rows > 2").select("key", "a")
-    side = F.broadcast(many) if fits(many, MOST_KEYS) else many
-    near = stored(shared.select("a", "b").union(
-        keyed.join(side, "key").where("a <> node").select("a", F.col("node").alias("b"))).distinct())
+    # Signatures are many numbers and quick to make, so they are made again rather than stored.
+    signed = tabled(docs, id, text, size, share)
+    table = stored(signed.drop("keys"))
+    keyed = signed.select("node", F.explode("keys").alias("key"))
+    shared = stored(keyed.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("b"))
+                    .where("a <> b").select("key", "a"))
+    side = F.broadcast(shared) if fits(shared, MOST_KEYS) else shared
+    near = stored(keyed.join(side, "key").where("a <> node").select("a", F.col("node").alias("b"))
+                  .distinct())
     families = components(near).select("node", F.col("root").alias("family"))
     one = table.where("node IS NOT NULL").groupBy("node").agg(F.min("row").alias("row"))
     links = family_links(docs, stored(families.join(one, "node")), id, text, size, share,
