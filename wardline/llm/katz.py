@@ -35,7 +35,7 @@ from wardline.llm.batches import distinct, hashes, slices, word_lists
 from wardline.llm.common import read, ship, stored
 from wardline.llm.packing import pack, unpack
 
-CHUNK_TOKENS = 2_000_000
+CHUNK_TOKENS = 1_500_000
 CUT = 5
 END, BEGIN = np.uint64(0), np.uint64(1)
 
