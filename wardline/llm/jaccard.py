@@ -267,17 +267,30 @@ def family_links(docs: DataFrame, families: DataFrame, id: str, text: str, size:
     links = stored(verify(dealt, ["family", "block"], size, share))
     if large.isEmpty():
         return links
-    # What the blocks of a family left apart: all pairs of blocks, between components.
-    roots = components(links)
-    spread = joined.where("blocks IS NOT NULL").join(roots, "node", "left").withColumn(
-        "label", F.coalesce("root", "node"))
-    apart = spread.groupBy("family").agg(F.min("label").alias("low"), F.max("label").alias("high"))
-    spread = spread.join(apart.where("low <> high"), "family")
-    own = F.pmod(F.col("node"), F.col("blocks")).cast("int")
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    paired = (spread.withColumn("own", own).withColumn("other", other).where("own <> other")
-              .withColumn("x", F.least("own", "other")).withColumn("y", F.greatest("own", "other")))
-    return links.union(stored(verify(paired, ["family", "x", "y"], size, share)))
+    # What the blocks of a family left apart. Rows of its largest component stay in their
+    # block; all others visit every block, some at a time, so that all that differ meet.
+    spread = (joined.where("blocks IS NOT NULL")
+              .select("node", "family", "blocks", F.octet_length("text").alias("bytes"))
+              .join(components(links), "node", "left")
+              .withColumn("label", F.coalesce("root", "node")).drop("root"))
+    sizes = spread.groupBy("family", "label").agg(F.sum("bytes").alias("bytes"))
+    rest = F.sum("bytes") - F.max("bytes")
+    top = sizes.groupBy("family").agg(
+        F.max_by("label", F.struct("bytes", "label")).alias("top"),
+        F.ceil(rest / block_bytes).cast("int").alias("turns"), F.count(F.lit(1)).alias("parts"))
+    placed = stored(spread.join(top.where("parts > 1"), "family").withColumn(
+        "own", F.pmod("node", F.col("blocks")).cast("int")).withColumn(
+        "turn", F.pmod(F.xxhash64("node"), F.greatest("turns", F.lit(1))).cast("int")))
+    if placed.isEmpty():
+        return links
+    each_turn = F.sequence(F.lit(0), F.greatest("turns", F.lit(1)) - 1)
+    stay = placed.select("node", "family", "label", F.col("own").alias("block"),
+                         F.explode(each_turn).alias("turn"))
+    visit = (placed.where("label <> top").withColumn(
+        "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where("block <> own")
+        .select("node", "family", "label", "block", "turn"))
+    met = stay.union(visit).join(members.select("node", "text"), "node")
+    return links.union(stored(verify(met, ["family", "block", "turn"], size, share)))
 
 
 def join(docs: DataFrame, id: str = "doc_id", text: str = "text", size: int = SIZE,
