@@ -244,11 +244,12 @@ def _asset_sums(users: DataFrame, assets: DataFrame, consent: DataFrame) -> Data
         F.col("brand_scope")))
     profiles = (users.select("clearance_rank", scope.alias("scope"), unsafe.alias("unsafe"))
                 .groupBy("clearance_rank", "scope", "unsafe").agg(F.count(F.lit(1)).alias("n")))
-    ranks = profiles.groupBy(F.least("clearance_rank", F.lit(L.SECRET)).alias("clearance_rank")
-                             ).agg(F.sum("n").alias("n"), F.sum(F.when(
-                                 F.size("scope") == 0, F.col("n")).otherwise(0)).alias("unscoped"),
-                                 F.sum(F.when(F.col("unsafe"), F.col("n")).otherwise(0))
-                                 .alias("unsafe")).collect()
+    # A null stays one: such users are cleared for nothing.
+    level = F.when(F.col("clearance_rank") > L.SECRET, L.SECRET).otherwise(F.col("clearance_rank"))
+    ranks = profiles.groupBy(level.alias("clearance_rank")).agg(
+        F.sum("n").alias("n"),
+        F.sum(F.when(F.size("scope") == 0, F.col("n")).otherwise(0)).alias("unscoped"),
+        F.sum(F.when(F.col("unsafe"), F.col("n")).otherwise(0)).alias("unsafe")).collect()
 
     def cleared(field: str) -> Column:
         """Users with a field who are cleared for the asset, a list of one number per level."""
