@@ -48,6 +48,29 @@ def test_junk_leaves_and_clean_stays(spark):
     assert kept == {r[0] for r in clean}
 
 
+def clean_texts(n):
+    return [(i, "\n".join(" ".join(f"word{i}x{k}y{j}" for j in range(6)) for k in range(15)), "en", "s")
+            for i in range(n)]
+
+
+def test_each_coordinate_rejects_alone(spark):
+    clean = clean_texts(200)
+    lines = [(1000 + i, "\n".join(" ".join(f"word{i}z{k}y{j}" for j in range(6)) + "\nshare\nprint"
+                                  for k in range(20)), "en", "s") for i in range(3)]
+    phrase = " ".join(f"word{k}r" for k in range(24))
+    repeats = [(2000 + i, " ".join(f"word{i}u{k}" for k in range(53)) + f" {phrase} {phrase}", "en", "s")
+               for i in range(3)]
+    one_of_three = [(3000, "\n".join(["word again", "word again", clean[0][1].replace("\n", " ")]),
+                     "en", "s")]
+    docs = spark.createDataFrame(clean + lines + repeats + one_of_three,
+                                 "doc_id long, text string, lang string, source string")
+    judged = quality.judge(docs).collect()
+    assert not any(r["base_failed"] for r in judged)
+    assert all(r["n_repeat_words"] == 0 for r in judged if 1000 <= r["doc_id"] < 2000)
+    assert all(r["n_dup_lines"] == 0 for r in judged if 2000 <= r["doc_id"] < 3000)
+    assert {r["doc_id"] for r in judged if r["kept"]} == {r[0] for r in clean + one_of_three}
+
+
 def test_edges(edges, nothing):
     check(quality.judge(edges).collect())
     left = quality.filter_quality(edges)
