@@ -1,4 +1,5 @@
 from cases import words
+from pyspark.sql import functions as F
 
 from wardline.llm import quality
 
@@ -71,6 +72,27 @@ def test_each_coordinate_rejects_alone(spark):
     assert {r["doc_id"] for r in judged if r["kept"]} == {r[0] for r in clean + one_of_three}
 
 
+def test_many_copies_of_junk_leave(spark):
+    clean = clean_texts(120)
+    junk = " | ".join(f"#{(k * k + k) % 8999}%%" for k in range(80))
+    docs = [(*r[:3], f"s{share}") for share in (35, 45) for r in clean] + [
+        (10_000 + i, junk, "en", f"s{share}") for share in (35, 45)
+        for i in range(len(clean) * share // (100 - share))]
+    judged = quality.judge(spark.createDataFrame(
+        docs, "doc_id long, text string, lang string, source string")).collect()
+    assert not any(r["base_failed"] for r in judged)
+    for source in ("s35", "s45"):
+        assert {r["doc_id"] for r in judged if r["kept"] and r["source"] == source} == {
+            r[0] for r in clean}
+
+
+def test_the_last_step_counts_by_the_part_needed(spark):
+    rows = spark.createDataFrame([(0, 3), (1, 4), (2, 3)], "step long, n long").withColumn(
+        "g", F.lit(1))
+    assert [(r["step"], r["part"]) for r in quality.nearest(rows, ["g"], 0.5).orderBy(
+        "step").collect()] == [(0, 1.0), (1, 0.5)]
+
+
 def test_edges(edges, nothing):
     check(quality.judge(edges).collect())
     left = quality.filter_quality(edges)

@@ -2,13 +2,15 @@
 
 Each text gets counts and a vector of transformed shares. Location and scatter of the
 vectors are estimated per language and source by minimum covariance determinant: from the
-coordinate medians on, concentration steps refit mean and covariance on the nearest part of the
-group until a fixed number of steps is done. A document is rejected when its squared
-Mahalanobis distance exceeds a cutoff.
+coordinate medians on, concentration steps refit mean and covariance on the nearest half of the
+group until no determinant falls any more. There are two starts, with the floors and with the
+median deviations as scales, of which each group takes the one with the least determinant. A
+document is rejected when its squared Mahalanobis distance, rescaled by the group's median, exceeds
+a cutoff.
 
 How the estimate stays bounded and regular. Groups are never gathered: rows are summed per group
-and distance step (steps of a 16th of a power of two), and the nearest part is a sum over steps,
-so one group may hold most rows. Clean shares are often all zero, so that variances get a floor
+and distance step (steps of a 16th of a power of two), and the nearest half is a sum over steps,
+of which the last one counts by the fraction that is needed, so one group may hold most rows. Clean shares are often all zero, so that variances get a floor
 per coordinate; the scatter of a group is shrunk towards that of all documents by a fixed
 number of rows, which settles small groups.
 
@@ -33,8 +35,12 @@ WINDOW = 3
 #: no duplicate lines or repeated words, a text with one line repeated of three stays, and shares
 #: over 38 % pass the cutoff alone.
 FLOORS = {"x_length": 0.04, "x_symbols": 0.16, "x_lines": 0.45, "x_repeats": 0.45}
-NEAREST = 0.75
-STEPS = 3
+NEAREST = 0.5
+#: Most concentration steps, and the part by which a determinant must fall for one more.
+STEPS = 40
+FALL = 1e-3
+#: The standard deviation of a normal variable by its median deviation.
+DEVIATION = 1.4826
 SHRINK = 100.0
 #: The median of chi-square with four degrees of freedom, and the squared distance that rejects,
 #: its quantile of 0.999995.
@@ -122,16 +128,16 @@ def same_group(left: DataFrame, keys: list[str]):
 
 
 def moments(df: DataFrame, by: list[str]) -> DataFrame:
-    """Count, sums and sums of products of the coordinates."""
+    """Count, sums and sums of products of the coordinates of rows that stand for `n` each."""
     xs = list(FLOORS)
     return df.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("n"), *[F.sum(x).alias(f"s_{x}") for x in xs],
-        *[F.sum(F.col(a) * F.col(b)).alias(f"q_{a}_{b}")
+        F.sum("n").alias("n"), *[F.sum(F.col(x) * F.col("n")).alias(f"s_{x}") for x in xs],
+        *[F.sum(F.col(a) * F.col(b) * F.col("n")).alias(f"q_{a}_{b}")
           for i, a in enumerate(xs) for b in xs[i:]])
 
 
 def inverse(matrix: list[list[Column]], df: DataFrame) -> DataFrame:
-    """Add p_i_j, the inverse of a positive definite matrix of columns, by Cholesky."""
+    """Add p_i_j, the inverse of a positive definite matrix of columns, by Cholesky, and `det`."""
     n = len(matrix)
     for i in range(n):
         for j in range(i + 1):
@@ -140,6 +146,10 @@ def inverse(matrix: list[list[Column]], df: DataFrame) -> DataFrame:
                 rest = rest - F.col(f"l_{i}_{k}") * F.col(f"l_{j}_{k}")
             df = df.withColumn(f"l_{i}_{j}", F.sqrt(rest) if i == j
                                else rest / F.col(f"l_{j}_{j}"))
+    det = F.lit(1.0)
+    for i in range(n):
+        det = det * F.col(f"l_{i}_{i}") * F.col(f"l_{i}_{i}")
+    df = df.withColumn("det", det)
     for j in range(n):
         for i in range(j, n):
             rest = F.lit(1.0 if i == j else 0.0)
@@ -156,9 +166,13 @@ def inverse(matrix: list[list[Column]], df: DataFrame) -> DataFrame:
 
 
 def estimate(sums: DataFrame, keys: list[str]) -> DataFrame:
-    """Mean and inverse scatter per group from moments, shrunk to those of all groups."""
+    """Mean, inverse scatter and determinant per group and start, shrunk to those of all.
+
+    `was` is the determinant of the step before.
+    """
     xs = list(FLOORS)
-    totals = sums.agg(*[F.sum(c).alias(c) for c in sums.columns if not c.startswith("g_")])
+    totals = sums.agg(*[F.sum(c).alias(c) for c in sums.columns
+                        if c == "n" or c[:2] in ("s_", "q_")])
     total = {k: float(v or 0) for k, v in totals.first().asDict().items()}
     n = max(total["n"], 1.0)
     df = sums
@@ -173,7 +187,8 @@ def estimate(sums: DataFrame, keys: list[str]) -> DataFrame:
             mixed = (own + SHRINK * of_all) / (F.col("n") + SHRINK)
             cov[j][i] = mixed + FLOORS[a] if a == b else mixed
     df = inverse(cov, df)
-    return stored(df.select(*[F.col(f"g_{k}") for k in keys], *[f"u_{x}" for x in xs],
+    return stored(df.select(*[F.col(f"g_{k}") for k in keys], "start", "was", "det",
+                            *[f"u_{x}" for x in xs],
                             *[f"p_{i}_{j}" for i in range(len(xs)) for j in range(i, len(xs))]))
 
 
@@ -192,45 +207,74 @@ def step_of(d2: Column) -> Column:
 
 
 def nearest(df: DataFrame, by: list[str], share: float) -> DataFrame:
-    """Of rows with `n` per group and `step`, those steps that hold the nearest share."""
+    """Of rows with `n` per group and `step`, those steps that hold the nearest share.
+
+    `part` is the fraction of a step that is needed, 1 for all but the last one.
+    """
     order = Window.partitionBy(*by).orderBy("step")
     return (df.withColumn("before", F.sum("n").over(order) - F.col("n"))
             .withColumn("all", F.sum("n").over(Window.partitionBy(*by)))
-            .where(F.col("before") < share * F.col("all")))
+            .where(F.col("before") < share * F.col("all"))
+            .withColumn("part", F.least(F.lit(1.0), (share * F.col("all") - F.col("before"))
+                                        / F.col("n"))))
 
 
-def medians(df: DataFrame, keys: list[str]) -> DataFrame:
+def medians(df: DataFrame, keys: list[str], name: str = "u") -> DataFrame:
     """The coordinate medians per group, to a hundredth."""
     xs = list(FLOORS)
-    tall = df.select(*keys, F.explode(F.array(*[
+    tall = df.select(*keys, "n", F.explode(F.array(*[
         F.struct(F.lit(x).alias("x"), F.round(F.col(x) * 100).cast("long").alias("step"))
-        for x in xs])).alias("v")).select(*keys, "v.*")
-    half = nearest(tall.groupBy(*keys, "x", "step").agg(F.count(F.lit(1)).alias("n")),
+        for x in xs])).alias("v")).select(*keys, "n", "v.*")
+    half = nearest(tall.groupBy(*keys, "x", "step").agg(F.sum("n").alias("n")),
                    [*keys, "x"], 0.5)
     return half.groupBy(*[F.col(k).alias(f"g_{k}") for k in keys]).agg(*[
-        F.max(F.when(F.col("x") == x, F.col("step"))).alias(f"u_{x}") for x in xs]).select(
-        *[f"g_{k}" for k in keys], *[(F.col(f"u_{x}") / 100).alias(f"u_{x}") for x in xs])
+        F.max(F.when(F.col("x") == x, F.col("step"))).alias(f"{name}_{x}") for x in xs]).select(
+        *[f"g_{k}" for k in keys], *[(F.col(f"{name}_{x}") / 100).alias(f"{name}_{x}") for x in xs])
 
 
-def fit(df: DataFrame, keys: list[str], steps: int = STEPS) -> DataFrame:
-    """The estimates per group of a stored table of vectors."""
+def starts(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Two starts per group, at its medians: scales by the floors, and by median deviations too."""
     xs = list(FLOORS)
-    at = medians(df, keys)
-    for i in range(len(xs)):
+    middle = stored(medians(df, keys))
+    gaps = join_bounded(df, middle, same_group(df, keys), how="inner").select(
+        *keys, "n", *[F.abs(F.col(x) - F.col(f"u_{x}")).alias(x) for x in xs])
+    spread = medians(gaps, keys, "v").select(*[F.col(f"g_{k}").alias(f"h_{k}") for k in keys],
+                                             *[f"v_{x}" for x in xs])
+    match = F.lit(True)
+    for k in keys:
+        match = match & F.col(f"g_{k}").eqNullSafe(F.col(f"h_{k}"))
+    at = middle.join(spread, match).withColumn(
+        "start", F.explode(F.array(F.lit(0), F.lit(1))))
+    for i, x in enumerate(xs):
+        wide = F.col("start") * F.pow(DEVIATION * F.col(f"v_{x}"), F.lit(2.0))
         for j in range(i, len(xs)):
-            at = at.withColumn(f"p_{i}_{j}", F.lit(1.0 / FLOORS[xs[i]] if i == j else 0.0))
-    at = stored(at)
+            at = at.withColumn(f"p_{i}_{j}", 1.0 / (FLOORS[x] + wide) if i == j else F.lit(0.0))
+    return stored(at.withColumn("det", F.lit(float("inf"))).drop(
+        *[f"h_{k}" for k in keys], *[f"v_{x}" for x in xs]))
+
+
+def fit(df: DataFrame, keys: list[str], steps: int = STEPS) -> DataFrame:
+    """The estimates per group of a stored table of vectors; equal vectors are one row with `n`."""
+    df = stored(df.groupBy(*keys, *FLOORS).agg(F.count(F.lit(1)).alias("n")))
+    at = starts(df, keys)
     for _ in range(steps):
         near = join_bounded(df, at, same_group(df, keys), how="inner")
-        by_step = moments(near.withColumn("step", step_of(distance())), [*keys, "step"])
-        kept = nearest(by_step, keys, NEAREST)
-        sums = stored(kept.groupBy(*[F.col(k).alias(f"g_{k}") for k in keys]).agg(*[
-            F.sum(c).alias(c) for c in by_step.columns if c not in (*keys, "step")]))
+        by = [*keys, "start", "det", "step"]
+        by_step = moments(near.withColumn("step", step_of(distance())), by)
+        kept = nearest(by_step, [*keys, "start"], NEAREST)
+        sums = stored(kept.groupBy(*[F.col(k).alias(f"g_{k}") for k in keys], "start",
+                                   F.col("det").alias("was")).agg(*[
+            F.sum(F.col(c) * F.col("part")).alias(c) for c in by_step.columns if c not in by]))
         at = estimate(sums, keys)
+        if at.where(F.col("det") < F.col("was") * (1 - FALL)).isEmpty():
+            break
+    least = Window.partitionBy(*[f"g_{k}" for k in keys]).orderBy("det", "start")
+    at = stored(at.withColumn("place", F.row_number().over(least)).where("place = 1")
+                .drop("place", "start", "was", "det"))
     # Scale: the median distance of the group is that of a normal vector, where it is larger.
     near = join_bounded(df, at, same_group(df, keys), how="inner")
     middle = nearest(near.withColumn("step", step_of(distance())).groupBy(*keys, "step")
-                     .agg(F.count(F.lit(1)).alias("n")), keys, 0.5)
+                     .agg(F.sum("n").alias("n")), keys, 0.5)
     scale = middle.groupBy(*[F.col(k).alias(f"h_{k}") for k in keys]).agg(
         F.greatest(F.lit(1.0), F.pow(F.lit(2.0), (F.max("step") + 1) / PARTS) / CHI_MEDIAN)
         .alias("u_scale"))
