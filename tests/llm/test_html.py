@@ -43,6 +43,29 @@ def test_blocks(source, want):
     assert [b.text for b in ht.blocks(source)] == want
 
 
+@pytest.mark.parametrize("source, want", [
+    ("<html><head><title>t</title><p>article<p>more", ["article", "more"]),
+    ("<head><meta charset=utf-8><style>x{}</style>words <b>bold</b>", ["words bold"]),
+    ("<head><noscript><p>no</p></noscript><title>t</title></head><p>a", ["a"]),
+    ("<head><title>t</title><template><p>no</p></template><link href=x><h1>a</h1>", ["a"]),
+    ("<div><noscript>a<p>b</p></div><p>c", ["a", "b", "c"]),
+    ("<div><template>no</div><p>a</p><template>no</template>b", ["a", "b"]),
+    ("<div><svg><text>no</div><p>a</p><svg><text>no</text></svg>", ["a"]),
+    ("<svg><path d='x'><p>a</p><svg></svg>b", ["a", "b"]),
+    ("<svg><foreignObject><p>no</p></foreignObject></svg><p>a", ["a"]),
+    ("<p>a<noscript><div>no</div></noscript>b<svg><text>no</text></svg>c</p>", ["a", "b", "c"]),
+    ("<p>so <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds", ["so x=2 holds"]),
+    ("<object data=x><p>a</p></object><p>b", ["a", "b"]), ("<object>a<p>b", ["a", "b"])])
+def test_optional_tags_and_silent_parts(source, want):
+    assert [b.text for b in ht.blocks(source)] == want
+
+
+def test_an_article_without_head_end_and_body(field):
+    page = ("<html><head><title>t</title><article><p>One sentence of the article with a formula "
+            "<math><mi>a</mi><mo>+</mo><mi>b</mi></math> in it.</p></article>")
+    assert ht.main_text(page, field) == "One sentence of the article with a formula a+b in it."
+
+
 def test_viterbi_is_the_best_path(field):
     from itertools import product
     for page, _ in ht.labelled_pages(30, seed=5):

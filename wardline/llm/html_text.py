@@ -7,8 +7,10 @@ weights are fitted on labelled pages. The tables hold none, so the pages come fr
 generator of page layouts (`labelled_pages`), which is no part of the result; pass others to `train`.
 
 Defined results. A null or empty page, or one without visible text, gives an empty text. Scripts,
-styles, heads, templates and comments are no text. Unclosed and crossed tags are mended as they come;
-an unclosed comment or script runs to the end of the page. Text is never cut. Repeated rows
+styles, heads, templates and comments are no text. A head ends where a tag or text comes that cannot
+stand in it, a drawing where a tag of the page comes, and any silent part where an ancestor closes;
+one that is closed nowhere is read as text. Unclosed and crossed tags are mended as they come; an
+unclosed comment or script runs to the end of the page. Text is never cut. Repeated rows
 repeat their result; other columns are not carried; empty tables give empty tables.
 """
 
@@ -28,10 +30,20 @@ from wardline.llm.batches import slices
 from wardline.llm.common import read, ship
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-SILENT = frozenset("script style head template title noscript iframe svg math object".split())
+SILENT = frozenset("script style head template title noscript iframe svg".split())
 RAW = frozenset("script style title iframe textarea".split())
 INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i ins kbd label mark q s "
-                   "samp small span strike strong sub sup time tt u var wbr img br input".split())
+                   "samp small span strike strong sub sup time tt u var wbr img br input object "
+                   "math mi mn mo ms mtext mspace mrow mfrac msqrt mroot mstyle merror mpadded "
+                   "mphantom mfenced menclose msub msup msubsup munder mover munderover "
+                   "mmultiscripts mprescripts none mtable mtr mtd mlabeledtr semantics annotation "
+                   "annotation-xml maction".split())
+#: What may stand in a head, and tags that end a drawing outside its foreign objects.
+HEAD = frozenset("html head base basefont bgsound link meta title script style noscript noframes "
+                 "template".split())
+PAGE = frozenset("b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head "
+                 "hr i img li listing menu meta nobr ol p pre ruby s small span strong strike sub "
+                 "sup table tt u ul var article section main nav aside header footer".split())
 #: A tag of the key ends open tags of the value's kinds first.
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"},
         "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -58,6 +70,8 @@ class Reader:
         self.linked = 0
         self.blocks: list[Block] = []
         self.depth_of_links = 0
+        #: Places on the stack of open tags whose text is left out.
+        self.silent: list[int] = []
 
     def flush(self) -> None:
         if not self.text:
@@ -85,8 +99,40 @@ class Reader:
     def pop(self) -> None:
         tag, _ = self.stack.pop()
         self.depth_of_links -= tag == "a"
+        if self.silent and self.silent[-1] == len(self.stack):
+            self.silent.pop()
 
-    def open(self, tag: str, attributes: str) -> None:
+    def in_silent(self) -> str:
+        """The innermost open tag whose text is left out."""
+        return self.stack[self.silent[-1]][0] if self.silent else ""
+
+    def end_silent(self, place: int) -> None:
+        self.flush()
+        while len(self.stack) > place:
+            self.pop()
+
+    def leave_for(self, tag: str) -> None:
+        """End the silent parts in which a tag cannot stand."""
+        if not self.silent:
+            return
+        kind = self.in_silent()
+        if tag == "body":
+            self.end_silent(self.silent[0])
+        elif kind == "head" and tag not in HEAD:
+            self.end_silent(self.silent[-1])
+        elif kind == "svg" and tag in PAGE and not any(
+                t in ("foreignobject", "desc") for t, _ in self.stack[self.silent[-1]:]):
+            while self.in_silent() == "svg":
+                self.end_silent(self.silent[-1])
+            self.leave_for(tag)
+
+    def open(self, tag: str, attributes: str, silent: bool = False) -> None:
+        if self.silent:  # nothing ends before it outside of a silent part
+            if tag not in VOID:
+                self.push(tag, attributes)
+                if silent:
+                    self.silent.append(len(self.stack) - 1)
+            return
         if tag not in INLINE:
             self.flush()
             names = [t for t, _ in self.stack]
@@ -104,6 +150,8 @@ class Reader:
             self.add(" ")
         if tag not in VOID:
             self.push(tag, attributes)
+            if silent:
+                self.silent.append(len(self.stack) - 1)
 
     def close(self, tag: str) -> None:
         if tag not in INLINE:
@@ -122,19 +170,31 @@ def closing(page: str, tag: str, start: int) -> int:
 
 def blocks(page: str) -> list[Block]:
     """The leaf blocks of a page in order."""
-    reader, at, silent = Reader(), 0, 0
+    reader, at = Reader(), 0
+    ends: dict[str, int] = {}
+
+    def end(tag: str) -> int:
+        if ends.get(tag, -1) < at:
+            ends[tag] = closing(page, tag, at)
+        return ends[tag]
+
+    def add(text: str) -> None:
+        if reader.in_silent() == "head" and text.strip():
+            reader.end_silent(reader.silent[-1])
+        if not reader.silent:
+            reader.add(text)
+
     while at < len(page):
         mark = page.find("<", at)
         if mark < 0:
             mark = len(page)
-        if mark > at and not silent:
-            reader.add(page[at:mark])
+        if mark > at:
+            add(page[at:mark])
         if mark == len(page):
             break
         found = MARKUP.match(page, mark)
         if found is None:  # a lone "<" is text
-            if not silent:
-                reader.add("<")
+            add("<")
             at = mark + 1
             continue
         at = found.end()
@@ -142,18 +202,16 @@ def blocks(page: str) -> list[Block]:
             continue
         tag = found[2].lower()
         if found[1]:
-            if tag in SILENT:
-                silent = max(0, silent - 1)
             reader.close(tag)
         elif tag in SILENT and found[3].rstrip().endswith("/"):
             continue
         else:
-            if tag == "body":
-                silent = 0
-            reader.open(tag, found[3])
-            silent += tag in SILENT
-            if tag in RAW:
-                at = closing(page, tag, at)
+            reader.leave_for(tag)
+            raw = tag in RAW or tag == "noscript" and end(tag) < len(page)
+            reader.open(tag, found[3], tag in SILENT and (
+                raw or tag == "head" or end(tag) < len(page)))
+            if raw:
+                at = end(tag)
     reader.flush()
     return reader.blocks
 
