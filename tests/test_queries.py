@@ -39,5 +39,18 @@ def test_split_joins_agree_with_sql(spark, connection, monkeypatch, name):
         spark.conf.set("spark.sql.adaptive.enabled", "true")
 
 
+def test_every_allowed_call_has_its_rows(spark):
+    """Not those of the first call alone."""
+    allowed = {r["call_id"] for r in QUERIES["token_verdicts"](spark, SF_DIR).collect()
+               if r["verdict"] == "ALLOWED"}
+    calls = QUERIES["governed_calls"](spark, SF_DIR).collect()
+    assert {r["call_id"] for r in calls} == allowed and len(allowed) > 1
+    rows = QUERIES["governed_read_rows"](spark, SF_DIR).collect()
+    assert {r["read_id"] for r in rows} <= {r["read_id"] for r in calls if r["readable"]}
+    one = QUERIES["governed_call_rows"](spark, SF_DIR).collect()
+    ids = {r["read_id"] for r in calls if one and r["call_id"] == one[0]["call_id"]}
+    assert {r["p_partkey"] for r in one} <= {r["p_partkey"] for r in rows if r["read_id"] in ids}
+
+
 def test_flagship(spark):
     assert entry_point.entry(spark).count() == 3

@@ -46,6 +46,43 @@ def governed_read(token: Mapping, tables: Mapping[str, DataFrame],
             for asset in token["asset_ids"]}
 
 
+def call_reads(judged: DataFrame, ledger: DataFrame) -> DataFrame:
+    """What each allowed call reads: one row per asset of its token, with filter and masks.
+
+    `read_id` names an asset, filter and set of masks, which many calls may share.
+    """
+    allowed = judged.where(F.col("verdict") == "ALLOWED").select("call_id", "token_id")
+    both = allowed.join(ledger.select("token_id", "asset_ids", "row_filters", "masked_columns"),
+                        "token_id")
+    reads = both.withColumn("asset_id", F.explode(F.array_distinct("asset_ids"))).select(
+        "call_id", "asset_id", F.try_element_at("row_filters", F.col("asset_id")).alias("row_filter"),
+        F.coalesce(F.try_element_at("masked_columns", F.col("asset_id")),
+                   F.array().cast("array<string>")).alias("masked"))
+    return reads.withColumn("read_id", F.sha2(F.concat_ws(
+        "|", "asset_id", F.coalesce("row_filter", F.lit("")), F.array_join("masked", ",")), 256))
+
+
+def brands_of_filter(brand_column: str) -> Column:
+    """The brands of a ledger's `row_filter` that names brands alone; null for any other filter."""
+    inner = F.regexp_extract("row_filter", rf"^\({brand_column} IN \('([A-Za-z0-9_.,' -]*)'\)\)$", 1)
+    return F.when(inner != "", F.split(inner, "', '"))
+
+
+def governed_reads(reads: DataFrame, table: DataFrame, brand_column: str) -> DataFrame:
+    """The rows of `table` that each different read of `call_reads` gives, masked cells nulled.
+
+    Reads without a filter see all rows. One whose filter names other columns than the brand sees
+    none, since the table has no such columns. Rows are kept per read and not per call.
+    """
+    sets = reads.dropDuplicates(["read_id"]).select(
+        "read_id", "masked", "row_filter", brands_of_filter(brand_column).alias("brands"))
+    free = table.crossJoin(sets.where("row_filter IS NULL").select("read_id", "masked"))
+    named = sets.select("read_id", "masked", F.explode(F.array_distinct("brands")).alias(brand_column))
+    bound = table.join(named, brand_column)
+    return free.unionByName(bound).select("read_id", *[
+        F.when(~F.array_contains("masked", c), F.col(c)).alias(c) for c in table.columns])
+
+
 def run_governed_sql(spark: SparkSession, query: str,
                      views: Mapping[str, Callable[[SparkSession], DataFrame]]) -> DataFrame:
     """Run a user's query in a session of its own that reads the given views alone.

@@ -418,6 +418,25 @@ FROM (SELECT call_id, row_filters FROM verdicts WHERE verdict = 'ALLOWED'
   ORDER BY ts, call_id LIMIT 1) c
 JOIN (SELECT *, replace(p_brand, '#', '_') AS brand FROM part) p
   ON contains(c.row_filters, chr(39) || brand || chr(39))""", "verdicts")
+cte("call_reads", """
+  SELECT v.call_id, l.asset_ids AS asset_id, l.row_filters, l.masked_columns,
+    sha256(l.asset_ids || '|' || substr(l.row_filters, CASE WHEN l.row_filters = '' THEN 1
+      ELSE length(l.asset_ids) + 2 END) || '|' || substr(l.masked_columns,
+      CASE WHEN l.masked_columns = '' THEN 1 ELSE length(l.asset_ids) + 2 END)) AS read_id,
+    NOT regexp_matches(l.row_filters, 'p_owner|p_scope') AS readable
+  FROM verdicts v JOIN ledger l ON v.token_id = l.token_id WHERE v.verdict = 'ALLOWED'""",
+    "verdicts", "ledger")
+oracle("governed_calls", "SELECT call_id, asset_id, read_id, readable FROM call_reads",
+       "call_reads")
+oracle("governed_read_rows", """
+SELECT read_id, p_partkey,
+  CASE WHEN NOT contains(masked_columns, 'p_name') THEN p_name END AS p_name, brand AS p_brand,
+  p_size, CASE WHEN NOT contains(masked_columns, 'p_retailprice') THEN p_retailprice END
+    AS p_retailprice
+FROM (SELECT DISTINCT read_id, row_filters, masked_columns, readable FROM call_reads) r
+JOIN (SELECT *, replace(p_brand, '#', '_') AS brand FROM part) p
+  ON readable AND (row_filters = '' OR contains(row_filters, chr(39) || brand || chr(39)))""",
+       "call_reads")
 oracle("replay_first_use", """
 SELECT token_id, call_id, ts FROM verdicts WHERE verdict = 'ALLOWED'""", "verdicts")
 oracle("ungoverned_calls", """

@@ -341,6 +341,33 @@ def governed_call_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reduce(DataFrame.unionByName, rows)
 
 
+def _call_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    issued = stored(_issued(spark, sf_dir)[0])
+    return views.call_reads(ledger.judge_calls(ledger.check_calls(
+        roles.tool_calls(spark, sf_dir), issued, roles.revocations(spark, sf_dir))), issued)
+
+
+@query
+def governed_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every allowed call with what it reads; the rows of a read are in `governed_read_rows`.
+
+    Parts have neither owner nor scope, so a filter that names them leaves no row.
+    """
+    return _call_reads(spark, sf_dir).select(
+        "call_id", "asset_id", "read_id",
+        (F.col("row_filter").isNull() | views.brands_of_filter("p_brand").isNotNull())
+        .alias("readable"))
+
+
+@query
+def governed_read_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of parts for each different read of the allowed calls."""
+    parts = roles.table(spark, sf_dir, "part").select(
+        "p_partkey", "p_name", F.replace("p_brand", F.lit("#"), F.lit("_")).alias("p_brand"),
+        "p_size", "p_retailprice")
+    return views.governed_reads(_call_reads(spark, sf_dir), parts, "p_brand")
+
+
 @query
 def replay_first_use(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ledger.first_uses(_checked(spark, sf_dir))
