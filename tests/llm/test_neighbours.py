@@ -49,6 +49,16 @@ def test_parts_are_balanced():
     assert len(sizes) == 8 and sizes.max() - sizes.min() <= 1
 
 
+def test_a_query_in_a_small_part_finds_k_others(spark, monkeypatch):
+    """Vectors near the first axis are few, and the router is sure of them."""
+    sure = nn.Router(np.eye(2) * 50, np.zeros(2), np.array([[1.0, -1.0], [-1.0, 1.0]]), np.zeros(2), 0.5)
+    monkeypatch.setattr(nn, "fit", lambda *a: sure)
+    rows = [(i, [1.0, 0.01 * i]) for i in range(3)] + [(i, [0.001 * i, 1.0]) for i in range(3, 60)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = found(nn.search(table, table.where("vec_id IN (0, 50)")))
+    assert got == plain(rows, [0, 50])
+
+
 def test_ties_and_rows_that_take_no_part(spark):
     same, other = [1.0, 2.0, 0.0], [0.5, -1.0, 3.0]
     rows = [(i, same) for i in range(0, 40)] + [(i, other) for i in range(40, 43)] + [

@@ -5,7 +5,7 @@ recursive bisection: each part is ordered by a smooth vector of its graph, halve
 median and mended by swaps. A small classifier learns in which parts the neighbours of a vector
 lie. Every vector is stored in its most probable part; a query visits parts in the order of
 their probability until they sum up to a share, the smallest one with which the sample's own
-queries reach `RECALL`. The vectors found are ranked by their cosine in double precision.
+queries reach `RECALL`, and hold enough vectors for `k` others. The vectors found are ranked by their cosine in double precision.
 
 Equal vectors are searched as one, which carries its `k + 1` smallest ids; nothing else can
 be among the nearest. Parts are dealt in blocks of bounded size, so a large part is many tasks.
@@ -115,13 +115,18 @@ class Router:
         score = np.exp(score - score.max(1, keepdims=True))
         return score / score.sum(1, keepdims=True)
 
-    def visits(self, vectors: np.ndarray, share: float | None = None) -> np.ndarray:
-        """Which parts each query visits."""
+    def visits(self, vectors: np.ndarray, share: float | None = None,
+               sizes: np.ndarray | None = None, least: int = 0) -> np.ndarray:
+        """Which parts each query visits; those of `sizes` vectors hold at least `least` in all."""
         p = self.probabilities(vectors)
         order = np.argsort(-p, axis=1, kind="stable")
         before = np.cumsum(np.take_along_axis(p, order, 1), 1) - np.take_along_axis(p, order, 1)
         result = np.zeros(p.shape, dtype=bool)
-        np.put_along_axis(result, order, before < (self.share if share is None else share), 1)
+        go = before < (self.share if share is None else share)
+        if sizes is not None:
+            held = sizes[order]
+            go |= np.cumsum(held, 1) - held < least
+        np.put_along_axis(result, order, go, 1)
         return result
 
 
@@ -223,7 +228,7 @@ def search(vectors: DataFrame, queries: DataFrame, id: str = "vec_id", vector: s
     router = fit(np.array([r["v"] for r in picked]).reshape(len(picked), dims or 1), rows, k) \
         if picked else None
 
-    def route(first_only: bool):
+    def route(first_only: bool, sizes: np.ndarray | None = None):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 if not batch.num_rows:
@@ -233,7 +238,7 @@ def search(vectors: DataFrame, queries: DataFrame, id: str = "vec_id", vector: s
                 if first_only:
                     at, part = np.arange(len(x)), router.probabilities(x).argmax(1)
                 else:
-                    at, part = np.nonzero(router.visits(x))
+                    at, part = np.nonzero(router.visits(x, sizes=sizes, least=k + 2))
                 yield pa.RecordBatch.from_arrays(
                     [*[c.take(pa.array(at)) for c in batch.columns],
                      pa.array(part.astype(np.int32))], names=[*batch.schema.names, "part"])
@@ -247,10 +252,15 @@ def search(vectors: DataFrame, queries: DataFrame, id: str = "vec_id", vector: s
     kind = table.schema["rep"].dataType.simpleString()
     homes = stored(table.select("rep", "ids", "v").mapInArrow(
         route(True), f"rep {kind}, ids array<{kind}>, v array<double>, part int"))
+    # At most one row for each part of the router. A query may be one of the vectors itself.
+    counted = stored(homes.groupBy("part").count())
+    sizes = np.zeros(router.w2.shape[1], dtype=np.int64)
+    for r in counted.collect():
+        sizes[r["part"]] = r["count"]
     visits = stored(asked.select("id", "v").mapInArrow(
-        route(False), f"id {kind}, v array<double>, part int"))
-    # Numbers of blocks per part, at most one row for each part of the router.
-    n_homes = homes.groupBy("part").count().withColumn(
+        route(False, sizes), f"id {kind}, v array<double>, part int"))
+    # Numbers of blocks per part.
+    n_homes = counted.withColumn(
         "c_blocks", F.ceil(F.col("count") / block_rows).cast("int")).select("part", "c_blocks")
     n_visits = visits.groupBy("part").count().withColumn(
         "q_blocks", F.ceil(F.col("count") / block_rows).cast("int")).select("part", "q_blocks")
