@@ -312,23 +312,43 @@ def search_classes(classes: DataFrame, size: int, block: int) -> DataFrame:
         search, "a long, b long, runs array<long>")
 
 
+def packed(texts: DataFrame, *columns: str) -> DataFrame:
+    """The named columns and the text as `zip`, compressed for the shuffle that follows."""
+    def squeeze(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, places = bytes_of(batch.column(batch.num_columns - 1))
+            zips = [zipped(data[i:j]) for i, j in zip(places[:-1].tolist(), places[1:].tolist())]
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[:-1], pa.array(zips, pa.binary())], names=[*columns, "zip"])
+
+    kinds = ", ".join(f"`{c}` {texts.schema[c].dataType.simpleString()}" for c in columns)
+    return texts.select(*columns, "text").mapInArrow(squeeze, f"{kinds}, zip binary")
+
+
+def zipped(data: np.ndarray) -> bytes:
+    return len(data).to_bytes(8, "little") + pa.compress(data, codec="zstd", asbytes=True)
+
+
+def unzipped(data: bytes) -> np.ndarray:
+    size = int.from_bytes(data[:8], "little")
+    return np.frombuffer(pa.decompress(data[8:], size, codec="zstd", asbytes=True), np.uint8)
+
+
 def take_classes(texts: DataFrame, classes: DataFrame, size: int) -> DataFrame:
     """The bytes of each class, cut from the text that is named for it."""
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, places = bytes_of(batch.column(0))
-            lists = batch.column(1)
-            rows = np.repeat(places[:-1], np.diff(lists.offsets.to_numpy()))
-            marks, own, n, start, windows = lists.flatten().flatten()
-            low = rows + start.to_numpy()
-            high = low + windows.to_numpy() + size - 1
-            cuts = [data[i:j].tobytes() for i, j in zip(low.tolist(), high.tolist())]
-            yield pa.RecordBatch.from_arrays([marks, own, n, pa.array(cuts, pa.binary())],
-                                             names=["mark", "own", "n", "text"])
+            for text, wanted in zip(batch.column(0), batch.column(1)):
+                marks, own, n, start, windows = wanted.values.flatten()
+                data, low = unzipped(text.as_py()), start.to_numpy()
+                high = low + windows.to_numpy() + size - 1
+                cuts = [data[i:j].tobytes() for i, j in zip(low.tolist(), high.tolist())]
+                yield pa.RecordBatch.from_arrays([marks, own, n, pa.array(cuts, pa.binary())],
+                                                 names=["mark", "own", "n", "text"])
 
     wanted = classes.groupBy("at.a", "at.b").agg(F.collect_list(F.struct(
         "mark", "own", "n", "at.start", "at.windows")).alias("wanted"))
-    return texts.select(*KEY, "text").join(wanted, KEY).select("text", "wanted").mapInArrow(
+    return packed(texts, *KEY).join(wanted, KEY).select("zip", "wanted").mapInArrow(
         cut, "mark long, own long, n long, text binary")
 
 
@@ -339,13 +359,13 @@ def repeating(texts: DataFrame, size: int = SIZE, grams: tuple[int, ...] = GRAMS
     `texts` has the key a, b of a text, its number n of copies, and text; keys may repeat.
     """
     gram, *longer = grams
-    marks = count_marks(texts, gram, size).where("n > 1").select("mark")
+    marks = stored(count_marks(texts, gram, size).where("n > 1").select("mark"))
     parts = stored(list_parts(texts, gram, size).join(marks, "mark"))
-    classes = parts.groupBy("mark", "own").agg(
-        F.sum("n").alias("n"), F.min(F.struct(*KEY, "start", "windows")).alias("at"))
-    totals = parts.select("mark", "own", "windows").distinct().groupBy("mark").agg(
-        F.count(F.lit(1)).alias("members"), F.sum(F.col("windows") + size).alias("bytes"))
-    classes = stored(classes.join(totals, "mark"))
+    classes = stored(parts.groupBy("mark", "own").agg(
+        F.sum("n").alias("n"), F.min(F.struct(*KEY, "start", "windows")).alias("at")))
+    totals = stored(classes.groupBy("mark").agg(
+        F.count(F.lit(1)).alias("members"), F.sum(F.col("at.windows") + size).alias("bytes")))
+    classes = classes.join(totals, "mark")
     # A class alone with its mark: its copies repeat as a whole, nothing else can meet it.
     alone = classes.where("members = 1").select(
         F.col("mark").alias("a"), F.col("own").alias("b"),
@@ -366,6 +386,8 @@ def repeating(texts: DataFrame, size: int = SIZE, grams: tuple[int, ...] = GRAMS
 
 def covered(runs: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the bytes covered by the windows of all runs, merged."""
+    if not len(runs):
+        return runs, runs
     low, high = runs[0::2], runs[1::2] + size - 1
     order = np.argsort(low, kind="stable")
     low, high = low[order], np.maximum.accumulate(high[order])
@@ -387,29 +409,21 @@ def remove(docs: DataFrame, id: str = "doc_id", text: str = "text", size: int =
 
     def strip(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, places = bytes_of(batch.column(1))
-            lists = batch.column(2)
-            offsets, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
-            removed, spans, kept = [], [], []
-            for i in range(len(batch)):
-                whole = data[places[i]:places[i + 1]]
-                if offsets[i] == offsets[i + 1]:
-                    removed.append(0)
-                    spans.append([])
-                    kept.append(whole.tobytes())
-                    continue
-                low, high = covered(flat[offsets[i]:offsets[i + 1]], size)
-                removed.append(int((high - low).sum()))
-                spans.append(np.stack([low, high], 1).ravel().tolist())
+            sizes, spans, kept = [], [], []
+            for text, runs in zip(batch.column(1), batch.column(2)):
+                whole = unzipped(text.as_py())
+                low, high = covered(runs.values.to_numpy(), size)
+                sizes.append((len(whole), int((high - low).sum()), len(low)))
+                spans.append(np.stack([low, high], 1).ravel())
                 kept.append(b"".join(whole[x:y].tobytes() for x, y in zip(
-                    np.concatenate([[0], high]), np.concatenate([low, [len(whole)]]))))
+                    [0, *high.tolist()], [*low.tolist(), len(whole)])))
+            counts = np.array(sizes, np.int64).reshape(-1, 3).T
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(np.diff(places)), pa.array(removed, pa.int64()),
-                 pa.array([len(x) // 2 for x in spans], pa.int64()),
-                 pa.array(spans, pa.list_(pa.int64())), pa.array(kept, pa.binary())],
+                [batch.column(0), *map(pa.array, counts), pa.array(spans, pa.list_(pa.int64())),
+                 pa.array(kept, pa.binary())],
                 names=[id, "n_bytes", "n_removed", "n_spans", "spans", "kept"])
 
-    whole = rows.join(spans, KEY, "left").select("id", "text", F.coalesce(
+    whole = packed(rows, "id", *KEY).join(spans, KEY, "left").select("id", "zip", F.coalesce(
         "runs", F.array().cast("array<long>")).alias("runs"))
     return whole.mapInArrow(strip, f"`{id}` {kind}, n_bytes long, n_removed long, n_spans long, "
                                    "spans array<long>, kept binary")
