@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from wardline.llm import (chats, html_text, jaccard, katz, mixing, neighbours, quality,
-                          repeats, sentencepiece, token_counts, toxicity)
+                          repeats, sentencepiece, token_counts, toxicity, turn_repair)
 
 QUERIES = {
     "op1_source_mix": mixing.query,
@@ -16,10 +16,12 @@ QUERIES = {
     "op8_quality_rules": quality.query,
     "op9_chat_format": chats.query,
     "op10_html_text": html_text.query,
+    "op11_turn_repair": turn_repair.query,
     "op12_repeated_bytes": repeats.query,
 }
 ORACLES = {
     "op1_source_mix": mixing.ORACLE,
     "op2_ngram_jaccard": jaccard.ORACLE,
     "op9_chat_format": chats.ORACLE,
+    "op11_turn_repair": turn_repair.ORACLE,
 }
