@@ -458,15 +458,17 @@ rows AS (
   FROM conversations x JOIN cases k ON x.conv_id IS NOT DISTINCT FROM k.conv_id
     AND x.turn IS NOT DISTINCT FROM k.turn WHERE c <> 0),
 placed AS (
-  SELECT *, row_number() OVER w AS place,
-         row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST) AS seen,
-         lag(left(role, 1)) OVER w AS earlier, rtrim(text, chr(32) || chr(9) || chr(10) || chr(11)
-           || chr(12) || chr(13)) AS solid
-  FROM rows WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)),
+  SELECT *, rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS solid,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS place
+  FROM rows),
+seen AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY place) AS times,
+         lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY place) AS earlier
+  FROM placed),
 marked AS (
-  SELECT *, CASE WHEN solid = '' THEN 'b' WHEN seen > 1 THEN 'd'
+  SELECT *, CASE WHEN solid = '' THEN 'b' WHEN times > 1 THEN 'd'
                  WHEN right(solid, 1) NOT IN ('.', '!', '?') THEN 't' ELSE '' END AS fault
-  FROM placed),
+  FROM seen),
 counts AS (
   SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
          count(*) FILTER (fault = 'b') AS blank, count(*) FILTER (fault = 'd') AS duplicate,
