@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from wardline.llm import (chats, html_text, jaccard, katz, mixing, neighbours, quality,
-                          repeats, sentencepiece, token_counts, toxicity, turn_repair)
+from wardline.llm import (chats, html_text, jaccard, katz, mixing, neighbours, prefix_trie,
+                          quality, repeats, sentencepiece, token_counts, toxicity, turn_repair)
 
 QUERIES = {
     "op1_source_mix": mixing.query,
@@ -18,10 +18,12 @@ QUERIES = {
     "op10_html_text": html_text.query,
     "op11_turn_repair": turn_repair.query,
     "op12_repeated_bytes": repeats.query,
+    "op13_prefix_trie": prefix_trie.query,
 }
 ORACLES = {
     "op1_source_mix": mixing.ORACLE,
     "op2_ngram_jaccard": jaccard.ORACLE,
     "op9_chat_format": chats.ORACLE,
     "op11_turn_repair": turn_repair.ORACLE,
+    "op13_prefix_trie": prefix_trie.ORACLE,
 }
