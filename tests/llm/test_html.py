@@ -1,5 +1,6 @@
 import html
 import re
+import time
 
 import pytest
 
@@ -90,3 +91,19 @@ def test_edges(spark, field):
     got = {r["page_id"]: r["text"] for r in ht.extract(pages, field).collect()}
     assert got[1] == got[2] == "" and got[None] == "x" and len(got[3]) == 5 * 60_000 - 1
     assert ht.extract(pages.limit(0), field).count() == 0
+
+
+def test_deep_and_unclosed_tags_are_linear():
+    for page in ("<div>" * 100_000 + "text", "<b>" * 100_000 + "</i>" * 100_000 + "text",
+                 "<ul>" + "<p><b>" * 50_000 + "<li>" * 50_000 + "text",
+                 "".join(f"<div class=c{i}>" for i in range(50_000)) + "text"):
+        start = time.perf_counter()
+        found = ht.blocks(page, {"in:div"})
+        assert [b.text for b in found] == ["text"] and time.perf_counter() - start < 10
+
+
+def test_features_of_closed_tags_end():
+    first, second, third = ht.blocks("<div class=a>x<p id=b>y</p></div><ul><li>z</ul>")
+    assert {"in:div", "as:a"} <= set(first.features) and "as:b" not in first.features
+    assert {"in:div", "in:p", "as:b"} <= set(second.features)
+    assert "in:div" not in third.features and {"in:ul", "in:li"} <= set(third.features)

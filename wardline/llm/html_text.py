@@ -19,7 +19,7 @@ from __future__ import annotations
 import html
 import random
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Container, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -62,10 +62,16 @@ class Block:
 
 
 class Reader:
-    """Reads one page into blocks."""
+    """Reads one page into blocks; of tag features only the `known` ones, if these are given.
 
-    def __init__(self) -> None:
-        self.stack: list[tuple[str, frozenset[str]]] = [("", frozenset())]
+    Places of open tags and counts of open features are kept, so that no tag walks the stack.
+    """
+
+    def __init__(self, known: Container[str] | None = None) -> None:
+        self.known = known
+        self.stack: list[tuple[str, set[str]]] = [("", set())]
+        self.places: dict[str, list[int]] = {}
+        self.within: dict[str, int] = {}
         self.text: list[str] = []
         self.linked = 0
         self.blocks: list[Block] = []
@@ -80,7 +86,7 @@ class Reader:
         self.text = []
         text = " ".join((html.unescape(raw) if "&" in raw else raw).split())
         if text:
-            self.blocks.append(Block(text, [*self.stack[-1][1], *text_features(text, self.linked)]))
+            self.blocks.append(Block(text, [*self.within, *text_features(text, self.linked)]))
         self.linked = 0
 
     def add(self, text: str) -> None:
@@ -93,11 +99,25 @@ class Reader:
         if attributes:
             for kind, *values in ATTRIBUTE.findall(attributes):
                 found |= {f"as:{w}" for w in WORD.findall("".join(values).lower())}
-        self.stack.append((tag, self.stack[-1][1] | found))
+        if self.known is not None:
+            found = {f for f in found if f in self.known}
+        for f in sorted(found):
+            self.within[f] = self.within.get(f, 0) + 1
+        self.places.setdefault(tag, []).append(len(self.stack))
+        self.stack.append((tag, found))
         self.depth_of_links += tag == "a"
 
+    def last(self, *tags: str) -> int:
+        """The place of the innermost open tag of these, 0 if none is open."""
+        return max((self.places[t][-1] for t in tags if self.places.get(t)), default=0)
+
     def pop(self) -> None:
-        tag, _ = self.stack.pop()
+        tag, found = self.stack.pop()
+        self.places[tag].pop()
+        for f in found:
+            self.within[f] -= 1
+            if not self.within[f]:
+                del self.within[f]
         self.depth_of_links -= tag == "a"
         if self.silent and self.silent[-1] == len(self.stack):
             self.silent.pop()
@@ -120,8 +140,8 @@ class Reader:
             self.end_silent(self.silent[0])
         elif kind == "head" and tag not in HEAD:
             self.end_silent(self.silent[-1])
-        elif kind == "svg" and tag in PAGE and not any(
-                t in ("foreignobject", "desc") for t, _ in self.stack[self.silent[-1]:]):
+        elif (kind == "svg" and tag in PAGE
+              and self.last("foreignobject", "desc") < self.silent[-1]):
             while self.in_silent() == "svg":
                 self.end_silent(self.silent[-1])
             self.leave_for(tag)
@@ -135,17 +155,12 @@ class Reader:
             return
         if tag not in INLINE:
             self.flush()
-            names = [t for t, _ in self.stack]
-            if "p" in names and tag not in ("option", "source", "param"):
+            if self.last("p") and tag not in ("option", "source", "param"):
                 self.close("p")
             if tag in ENDS:
-                for place in range(len(self.stack) - 1, 0, -1):
-                    name = self.stack[place][0]
-                    if name in ENDS[tag]:
-                        self.close(name)
-                        break
-                    if name in SCOPES:
-                        break
+                place = self.last(*ENDS[tag])
+                if place > self.last(*SCOPES):
+                    self.close(self.stack[place][0])
         elif tag == "br":
             self.add(" ")
         if tag not in VOID:
@@ -156,11 +171,9 @@ class Reader:
     def close(self, tag: str) -> None:
         if tag not in INLINE:
             self.flush()
-        for place in range(len(self.stack) - 1, 0, -1):
-            if self.stack[place][0] == tag:
-                while len(self.stack) > place:
-                    self.pop()
-                return
+        place = self.last(tag)
+        while place and len(self.stack) > place:
+            self.pop()
 
 
 def closing(page: str, tag: str, start: int) -> int:
@@ -168,9 +181,9 @@ def closing(page: str, tag: str, start: int) -> int:
     return found.start() if found else len(page)
 
 
-def blocks(page: str) -> list[Block]:
+def blocks(page: str, known: Container[str] | None = None) -> list[Block]:
     """The leaf blocks of a page in order."""
-    reader, at = Reader(), 0
+    reader, at = Reader(known), 0
     ends: dict[str, int] = {}
 
     def end(tag: str) -> int:
@@ -448,7 +461,7 @@ def labelled_pages(n: int = 600, seed: int = 7) -> Iterator[tuple[list[Block], l
 
 
 def main_text(page: str, field: Field) -> str:
-    found = blocks(page)
+    found = blocks(page, field.emit)
     return "\n".join(b.text for b, keep in zip(found, field.decode(found)) if keep)
 
 
