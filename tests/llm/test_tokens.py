@@ -1,4 +1,6 @@
+import dataclasses
 import random
+import time
 
 import numpy as np
 import pytest
@@ -117,3 +119,27 @@ def test_round_trip(edges, nothing, documents):
         want = sorted((r["doc_id"] or 0, r["text"] or "") for r in docs.collect())
         assert sorted((r["doc_id"] or 0, r["decoded"]) for r in back.collect()) == want
     assert sp.decode(sp.encode(nothing)).count() == 0
+
+
+def test_long_units_are_read_alone():
+    """One unit by itself has the path that units side by side have."""
+    auto = sp.automaton(sp.vocabulary(sp.MODEL))
+    draw = random.Random(7)
+    for letters in ("x", "abcdefgéü中😀", "the of and"):
+        raw = "".join(draw.choices(letters, k=3000)).encode()
+        table = np.frombuffer(raw, np.uint8)[:, None].copy()
+        ids, counts = sp.best_paths(auto, table, np.array([len(raw)]))
+        assert ids.tolist() == sp.best_path(auto, raw) and counts.tolist() == [len(ids)]
+    start = time.perf_counter()
+    text = "x" * 1_000_000
+    ids = sp.encode_texts(auto, [text])[0].values.to_numpy()
+    assert sp.decode_ids(auto, ids) == text and time.perf_counter() - start < 20
+
+
+def test_pieces_that_cross_units():
+    """With a vocabulary whose pieces cross marks, texts are not cut."""
+    auto = sp.automaton(sp.vocabulary(sp.MODEL))
+    assert auto.splits
+    whole = dataclasses.replace(auto, splits=False)
+    texts = ["one two  three", "", "a" * 5000 + " b", " lead"]
+    assert sp.encode_texts(whole, texts).to_pylist() == sp.encode_texts(auto, texts).to_pylist()

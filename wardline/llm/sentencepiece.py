@@ -5,9 +5,10 @@ give every piece that ends there, and the best score of the position is relaxed
 score where the piece starts. Equal scores go to the longer piece, as in the library. A
 character without a piece costs the unknown penalty and becomes byte pieces.
 
-No piece holds a space mark after another character, so the best path of a text is the chain of
-the best paths of its units, each a run of space marks with the characters that follow. The
-different units of a slice are read side by side, position by position, in numpy.
+Where no piece holds a space mark after another character, the best path of a text is the chain
+of the best paths of its units, each a run of space marks with the characters that follow;
+with other vocabularies a text is one unit. The different units of a slice are read side by
+side, position by position, in numpy; a unit of more than `LONG` bytes is read alone.
 
 Defined results. Null and empty texts have no pieces; a text is decoded as it was, but for the
 mark U+2581 itself, which comes back as a blank; other columns of the documents are not carried,
@@ -20,7 +21,7 @@ import re
 from collections import deque
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import cache
+from functools import cache, cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +36,7 @@ MODEL = "piece_bpe_32k.model"
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0
 CELLS = 1 << 19
+LONG = 2048
 SLICE_BYTES = 4 << 20
 UNIT = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 
@@ -54,6 +56,14 @@ class Automaton:
     unknown: float
     first_byte: int
     pieces: list[bytes]
+    #: Whether no piece crosses the beginning of a unit.
+    splits: bool
+
+    @cached_property
+    def plain(self) -> tuple:
+        """Arcs as a dictionary and the other arrays as lists, to read single units."""
+        return (dict(zip(self.keys.tolist(), self.targets.tolist())), *(x.tolist() for x in (
+            self.root, self.fail, self.link, self.piece, self.length, self.score)))
 
     def step(self, state: np.ndarray, byte: np.ndarray) -> np.ndarray:
         """The next states, following failure links until an arc fits or the root is left."""
@@ -117,7 +127,8 @@ def automaton(path: str) -> Automaton:
                      np.array([c for _, c in arcs], dtype=np.int32), root,
                      np.array(fail, dtype=np.int32), np.array(link, dtype=np.int32),
                      np.array(piece, dtype=np.int32), np.array(length, dtype=np.int32),
-                     np.array(score), least - UNKNOWN_PENALTY, first, whole)
+                     np.array(score), least - UNKNOWN_PENALTY, first, whole,
+                     not any(f"{MARK}" in model.id_to_piece(i).lstrip(MARK) for i in plain))
 
 
 def best_paths(auto: Automaton, raw: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -175,6 +186,40 @@ def best_paths(auto: Automaton, raw: np.ndarray, lengths: np.ndarray) -> tuple[n
     return ids, counts
 
 
+def best_path(auto: Automaton, raw: bytes) -> list[int]:
+    """Ids of the best path of one unit, position by position."""
+    arcs, root, fail, link, piece, length, score = auto.plain
+    n, state, opened, low = len(raw), 0, 0, -float("inf")
+    best, back, size = [0.0] + [low] * n, [0] * (n + 1), [1] * (n + 1)
+    for t, byte in enumerate(raw):
+        if byte & 0xC0 != 0x80:
+            opened = t
+        while state and state * 256 + byte not in arcs:
+            state = fail[state]
+        state = arcs[state * 256 + byte] if state else root[byte]
+        node = state if piece[state] >= 0 else link[state]
+        single, top = False, low
+        while node > 0:
+            start = t + 1 - length[node]
+            paid = best[start] + score[node]
+            if paid > top:
+                top, back[t + 1], size[t + 1] = paid, piece[node], length[node]
+            single = single or start == opened
+            node = link[node]
+        best[t + 1] = top
+        if not single and (t + 1 == n or raw[t + 1] & 0xC0 != 0x80):
+            paid = best[opened] + auto.unknown
+            if paid > top:
+                best[t + 1] = paid
+                for place in range(opened, t + 1):
+                    back[place + 1], size[place + 1] = auto.first_byte + raw[place], 1
+    ids = []
+    while n:
+        ids.append(back[n])
+        n -= size[n]
+    return ids[::-1]
+
+
 def encode_units(auto: Automaton, units: list[str]) -> pa.ListArray:
     """The ids of each unit; units of like length are read together."""
     raw = [u.encode() for u in units]
@@ -185,6 +230,12 @@ def encode_units(auto: Automaton, units: list[str]) -> pa.ListArray:
     while start < len(order):
         end = start + 1
         least = int(lengths[order[start]])
+        if least > LONG:
+            ids = np.array(best_path(auto, raw[order[start]]), dtype=np.int32)
+            found.append(ids)
+            counts[order[start]] = len(ids)
+            start = end
+            continue
         while (end < len(order) and lengths[order[end]] <= least + least // 4 + 2
                and (end + 1 - start) * lengths[order[end]] <= CELLS):
             end += 1
@@ -208,7 +259,8 @@ def encode_texts(auto: Automaton, texts: list[str]) -> pa.ListArray:
     units: list[str] = []
     counts = np.zeros(len(texts), dtype=np.int64)
     for i, text in enumerate(texts):
-        own = UNIT.findall(MARK + text.replace(" ", MARK)) if text else []
+        marked = MARK + text.replace(" ", MARK)
+        own = [] if not text else UNIT.findall(marked) if auto.splits else [marked]
         counts[i] = len(own)
         units += own
     different, places = distinct(units, pa.large_string())
