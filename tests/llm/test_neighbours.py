@@ -74,3 +74,19 @@ def test_few_and_none(spark):
     assert found(nn.search(table, table)) == {1: [2], 2: [1]}
     assert nn.search(table.limit(0), table).count() == 0
     assert nn.search(table.limit(1), table.limit(1)).count() == 0
+
+
+def test_each_length_is_searched_among_its_own(spark):
+    rows = [(i, [1.0, 0.1 * i]) for i in range(8)] + [(i, [1.0, 0.0, 0.1 * i]) for i in range(8, 12)]
+    rows += [(12, [2.0] * 5)]
+    table = spark.createDataFrame([(*r, 1.0, "clash", [1]) for r in rows],
+                                  "vec_id long, embedding array<double>, score double, rep string, "
+                                  "ids array<int>")
+    got = found(nn.search(table, table.where("vec_id IN (0, 9, 12)")))
+    assert got == {0: plain(rows[:8], [0])[0], 9: plain(rows[8:12], [9])[9]}
+
+
+def test_small_tables_have_several_parts(spark, sf_dir):
+    table = spark.read.parquet(f"{sf_dir}/embeddings.parquet").where("embedding IS NOT NULL")
+    vectors = np.array([r[0] for r in table.select("embedding").collect()], dtype=float)
+    assert nn.fit(vectors, len(vectors)).w2.shape[1] >= 4

@@ -11,8 +11,9 @@ Equal vectors are searched as one, which carries its `k + 1` smallest ids; nothi
 be among the nearest. Parts are dealt in blocks of bounded size, so a large part is many tasks.
 
 Defined results. Vectors that are null, empty, zero, or hold null or non-finite components take no
-part, and neither do those of another dimension than that of most vectors. Rows without id
-take no part. Rows with the same id and vector count once. Equal scores go to the smaller id.
+part. A cosine needs vectors of one length, so each length has an index of its own, in which
+its queries are searched; lengths are expected to be few. Rows without id take no part. Further
+columns are not carried, whatever their names. Rows with the same id and vector count once. Equal scores go to the smaller id.
 With fewer candidates than `k`, all are returned. Empty tables give empty results.
 """
 
@@ -32,7 +33,7 @@ from wardline.llm.common import read, ship, stored
 K = 5
 EVERY = 50
 SAMPLE = 8192
-PART_ROWS = 1024
+PART_ROWS = 64
 BLOCK_ROWS = 4096
 RECALL = 0.96
 SALTS = 64
@@ -217,16 +218,25 @@ def search(vectors: DataFrame, queries: DataFrame, id: str = "vec_id", vector: s
                          ).where(F.col("id").isNotNull() & valid(F.col("v")))
 
     ship(vectors.sparkSession)
-    lengths = sound(vectors).groupBy(F.size("v").alias("n")).count().orderBy(
-        F.desc("count"), "n").limit(1).collect()
-    dims = lengths[0]["n"] if lengths else 0
-    table = stored(representatives(sound(vectors).where(F.size("v") == dims), k))
-    asked = sound(queries).where(F.size("v") == dims).dropDuplicates(["id", "v"])
+    kind = vectors.schema[id].dataType.simpleString()
+    found = vectors.sparkSession.createDataFrame(
+        [], f"query_id {kind}, rank int, `{id}` {kind}, score double")
+    whole, asked = sound(vectors), sound(queries)
+    size = F.size("v")
+    for row in whole.select(size.alias("n")).distinct().orderBy("n").collect():
+        table = stored(representatives(whole.where(size == row["n"]), k))
+        found = found.union(search_length(table, asked.where(size == row["n"]).dropDuplicates(
+            ["id", "v"]), row["n"], id, k, sample, block_rows))
+    return found
+
+
+def search_length(table: DataFrame, asked: DataFrame, dims: int, id: str, k: int, sample: int,
+                  block_rows: int) -> DataFrame:
+    """The search among different vectors (rep, ids, v) of one length."""
     rows = table.count()
     picked = (table.orderBy(F.xxhash64("v", F.lit(SEED)), "rep").limit(sample).select("v")
               .collect())
-    router = fit(np.array([r["v"] for r in picked]).reshape(len(picked), dims or 1), rows, k) \
-        if picked else None
+    router = fit(np.array([r["v"] for r in picked]).reshape(len(picked), dims), rows, k)
 
     def route(first_only: bool, sizes: np.ndarray | None = None):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -244,11 +254,6 @@ def search(vectors: DataFrame, queries: DataFrame, id: str = "vec_id", vector: s
                      pa.array(part.astype(np.int32))], names=[*batch.schema.names, "part"])
         return run
 
-    empty = vectors.sparkSession.createDataFrame(
-        [], f"query_id {vectors.schema[id].dataType.simpleString()}, rank int, "
-            f"`{id}` {vectors.schema[id].dataType.simpleString()}, score double")
-    if router is None:
-        return empty
     kind = table.schema["rep"].dataType.simpleString()
     homes = stored(table.select("rep", "ids", "v").mapInArrow(
         route(True), f"rep {kind}, ids array<{kind}>, v array<double>, part int"))
