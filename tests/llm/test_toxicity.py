@@ -78,9 +78,9 @@ def test_sample_leaves_held_out_rows_and_doubtful_labels(spark):
     labels = spark.createDataFrame(
         [(i, i % 2) for i in range(80)] + [(0, 1), (3, None)], "doc_id long, toxic int")
     import zlib
-    texts, found = tx.sample(docs, labels)
+    picked = tx.chosen(docs, labels).collect()
     want = {f"t{i}": max(i % 2, int(i == 0)) for i in range(80) if zlib.crc32(str(i).encode()) % 5}
-    assert dict(zip(texts, found)) == want
+    assert {r["d_text"]: r["p_label"] for r in picked} == want
 
 
 def test_edges(edges, nothing, net, spark):

@@ -36,9 +36,10 @@ LEVEL_RATIO = 1.5
 AXES = 64
 LEAF = 16
 BLOCK_BYTES = 4 << 20
-#: Keys of groups that are broadcast at most, of 16 bytes each; more are joined by a shuffle.
-MOST_KEYS = 2_000_000
+#: Bits of the filter of shared keys that all tasks get, whatever the number of keys: 4 MB.
+FILTER_BITS = 1 << 25
 
+NO_KEYS = np.empty(0, np.int64)
 M1, M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -82,7 +83,7 @@ def level_of(n: int) -> tuple[int, int]:
         level, low = level + 1, high
 
 
-def signatures(shingles: np.ndarray, share: int = SHARE) -> list[int]:
+def signatures(shingles: np.ndarray, share: int = SHARE) -> np.ndarray:
     """Hashes of the contents of groups; linked sets have one in common.
 
     Sets of sizes a <= b that link differ in at most a * (100 - share) / share shingles, and b is
@@ -103,7 +104,7 @@ def signatures(shingles: np.ndarray, share: int = SHARE) -> list[int]:
         keys = mixed(total + mixed(number + mixed(np.full(groups, level, dtype=np.uint64))))
         full = np.bincount(group, minlength=groups) > 0
         result.append(keys if (~full).sum() >= groups - apart else keys[full])
-    return np.concatenate(result).view(np.int64).tolist()
+    return np.concatenate(result).view(np.int64)
 
 
 def class_of(shingles: np.ndarray) -> int | None:
@@ -113,16 +114,44 @@ def class_of(shingles: np.ndarray) -> int | None:
     return xxhash.xxh3_64_intdigest(shingles.tobytes()) - (1 << 63)
 
 
-def tabled(docs: DataFrame, id: str, text: str, size: int, share: int) -> DataFrame:
-    """Per row: id, a hash of the row, the size of its set, its class and signatures."""
+def key_filter(shared: DataFrame, bits: int = FILTER_BITS) -> np.ndarray:
+    """A filter of fixed size with two bits for each key; it may let others pass."""
+    slots = shared.select(F.explode(F.array(
+        F.col("key").bitwiseAND(bits - 1),
+        F.shiftrightunsigned("key", 32).bitwiseAND(bits - 1))).alias("slot"))
+    words = slots.groupBy(F.shiftright("slot", 6).alias("word")).agg(F.bit_or(
+        F.expr("shiftleft(1L, cast(slot & 63 as int))")).alias("bits")).toArrow()
+    found = np.zeros(bits >> 6, np.int64)
+    found[words["word"].to_numpy()] = words["bits"].to_numpy()
+    return found.view(np.uint64)
+
+
+def passes(keys: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """Whether keys may be in a filter."""
+    last, one = np.uint64((len(words) << 6) - 1), np.uint64(1)
+    hit = np.ones(len(keys), bool)
+    for slot in (keys & last, (keys >> np.uint64(32)) & last):
+        hit &= ((words[slot >> np.uint64(6)] >> (slot & np.uint64(63))) & one) == one
+    return hit
+
+
+def tabled(docs: DataFrame, id: str, text: str, size: int, share: int,
+           words: np.ndarray | None = None) -> DataFrame:
+    """Per row: id, a hash of the row, the size of its set, its class and signatures.
+
+    With the words of a filter only signatures that pass are given.
+    """
     slim = docs.select(F.col(id).alias("id"), F.xxhash64(id, text).alias("row"),
                        F.col(text).cast("string").alias("text"))
     ship(docs.sparkSession)
+    sent = None if words is None else docs.sparkSession.sparkContext.broadcast(words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in slices(batches):
             sets = shingle_sets(texts, size)
-            signed = [signatures(s, share) if len(s) else [] for s in sets]
+            signed = [signatures(s, share) if len(s) else NO_KEYS for s in sets]
+            if sent is not None:
+                signed = [k[passes(k.view(np.uint64), sent.value)] for k in signed]
             yield pa.RecordBatch.from_arrays(
                 [part.column(0), part.column(1), pa.array([len(s) for s in sets], pa.int64()),
                  pa.array([class_of(s) for s in sets], pa.int64()),
@@ -147,33 +176,42 @@ class Tree:
             high, low = np.maximum.reduceat(high, starts), np.minimum.reduceat(low, starts)
             self.levels.append((high, low))
 
-    def pairs(self, share: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Pairs of places (in `order`) whose boxes may link, near ones first."""
+    def pairs(self, share: int,
+              whole: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs of places (in `order`) whose boxes may link, near ones first.
+
+        `whole` labels the components so far by place; pairs within one are left out.
+        """
         top = len(self.levels) - 1
-        n = len(self.levels[top][1])
-        a, b = np.triu_indices(n)
-        yield from self.descend(top, a, b, share)
+        a, b = np.triu_indices(len(self.levels[top][1]))
+        yield from self.descend(top, a, b, share, whole)
 
-    def descend(self, level: int, a: np.ndarray, b: np.ndarray,
-                share: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def descend(self, level: int, a: np.ndarray, b: np.ndarray, share: int,
+                whole: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         high, low = self.levels[level]
+        near = np.argsort(b - a, kind="stable")
+        width = LEAF ** level
         for start in range(0, len(a), 4096):
-            x, y = a[start:start + 4096], b[start:start + 4096]
+            x, y = a[near[start:start + 4096]], b[near[start:start + 4096]]
             overlap = np.minimum(high[x], high[y]).sum(1)
             # Linked sets share at least this part of the sum of their sizes.
             hit = (100 + share) * overlap >= share * (low[x] + low[y])
             x, y = x[hit], y[hit]
             if level == 0:
-                apart = x != y
+                apart = whole[x] != whole[y]
                 yield x[apart], y[apart]
                 continue
             n = len(self.levels[level - 1][1])
-            for i, j in zip(x, y):
+            for i, j in zip(x.tolist(), y.tolist()):
+                one = whole[i * width]
+                if (one == whole[j * width] and (whole[i * width:(i + 1) * width] == one).all()
+                        and (whole[j * width:(j + 1) * width] == one).all()):
+                    continue  # both boxes lie in one component
                 left = np.arange(i * LEAF, min(n, (i + 1) * LEAF))
                 right = np.arange(j * LEAF, min(n, (j + 1) * LEAF))
                 p, q = np.meshgrid(left, right, indexing="ij")
                 once = (p <= q).ravel() if i == j else slice(None)
-                yield from self.descend(level - 1, p.ravel()[once], q.ravel()[once], share)
+                yield from self.descend(level - 1, p.ravel()[once], q.ravel()[once], share, whole)
 
 
 def linked(a: np.ndarray, b: np.ndarray, share: int = SHARE) -> bool:
@@ -187,32 +225,27 @@ def forest(sets: list[np.ndarray], share: int = SHARE,
 
     `labels` name components that are known already; equal labels need no link.
     """
-    parent = list(range(len(sets)))
-
-    def find(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    if labels is not None:
-        first: dict = {}
-        for i, label in enumerate(labels):
-            parent[i] = first.setdefault(label, i)
-    found = []
     if len(sets) == 2:
-        if find(0) != find(1) and linked(*sets, share):
-            found.append((0, 1))
-        return found
+        same = labels is not None and labels[0] == labels[1]
+        return [(0, 1)] if not same and linked(*sets, share) else []
     points = np.stack([np.bincount((s >> np.uint64(58)).astype(np.int64), minlength=AXES)
                        for s in sets]).astype(np.int32)
     tree = Tree(points, np.array([len(s) for s in sets]))
-    for some, others in tree.pairs(share):
-        for i, j in zip(tree.order[some].tolist(), tree.order[others].tolist()):
-            a, b = find(i), find(j)
-            if a != b and linked(sets[i], sets[j], share):
-                parent[a] = b
-                found.append((i, j))
+    names = np.arange(len(sets)) if labels is None else np.unique(
+        np.asarray(labels), return_inverse=True)[1]
+    whole = names[tree.order]
+    found = []
+    quick = [frozenset(x.tolist()) for x in sets]
+    for some, others in tree.pairs(share, whole):
+        for i, j in zip(some.tolist(), others.tolist()):
+            a, b = whole[i], whole[j]
+            left, right = int(tree.order[i]), int(tree.order[j])
+            if a == b:
+                continue
+            both = len(quick[left] & quick[right])
+            if 100 * both >= share * (len(quick[left]) + len(quick[right]) - both):
+                whole[whole == a] = b
+                found.append((left, right))
     return found
 
 
@@ -297,14 +330,16 @@ def join(docs: DataFrame, id: str = "doc_id", text: str = "text", size: int = SI
          share: int = SHARE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Per row of the documents: id, `row` (a hash), `n_shingles` and `component_id`."""
     # Signatures are many numbers and quick to make, so they are made again rather than stored.
+    # The second time only those leave that pass a filter of keys that two classes share.
     signed = tabled(docs, id, text, size, share)
     table = stored(signed.drop("keys"))
     keyed = signed.select("node", F.explode("keys").alias("key"))
     shared = stored(keyed.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("b"))
                     .where("a <> b").select("key", "a"))
-    side = F.broadcast(shared) if fits(shared, MOST_KEYS) else shared
-    near = stored(keyed.join(side, "key").where("a <> node").select("a", F.col("node").alias("b"))
-                  .distinct())
+    again = tabled(docs, id, text, size, share, key_filter(shared)).select(
+        "node", F.explode("keys").alias("key")).distinct()
+    near = stored(again.join(shared, "key").where("a <> node").select(
+        "a", F.col("node").alias("b")).distinct())
     families = components(near).select("node", F.col("root").alias("family"))
     one = table.where("node IS NOT NULL").groupBy("node").agg(F.min("row").alias("row"))
     links = family_links(docs, stored(families.join(one, "node")), id, text, size, share,

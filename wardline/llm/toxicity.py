@@ -5,8 +5,8 @@ A word enters as its own hashed embedding and the mean of the embeddings of its
 attention pools the states of a window to a score. The score of a text is that of its highest
 window, and every window of every text is scored.
 
-The network is fitted on the driver on a sample of labelled rows, bounded by `MOST_TOXIC`,
-`MOST_CLEAN` and `LONGEST` characters per text, and then sent to the tasks (under 2 MB). Training
+The network is fitted in one task on a sample of labelled rows, bounded by `MOST_TOXIC`,
+`MOST_CLEAN` and `LONGEST` characters per text, and then sent to all tasks (under 2 MB). Training
 picks the highest window of each text, first by log odds of its words, later by the network; one
 coordinate of the embeddings starts from the same log odds, which helps small samples. A part of
 the sample is left out of fitting and sets the point at which a score passes 0.5: that of the
@@ -15,12 +15,13 @@ best F1, but none that more than `MOST_FALSE` of its clean texts reach.
 Defined results. Null and empty texts are one window without words and get the score of the
 bias; rows without a label only get scored; if the labels learned from hold one class or
 none, every score is the share of that class, 0 without any. A row with several labels counts
-as toxic if one of them says so. Repeated rows repeat their score. Empty tables give
-empty tables.
+as toxic if one of them says so. Repeated rows repeat their score. Further columns stay; those
+named `score` or `predicted` are replaced. Empty tables give empty tables.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -337,15 +338,16 @@ def held_out(id: Column, folds: int = 5) -> Column:
     return F.coalesce(F.crc32(id.cast("string").cast("binary")) % folds == 0, F.lit(False))
 
 
-def sample(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text",
-           toxic: str = "toxic") -> tuple[list[str], np.ndarray]:
-    """Labelled texts to learn from, a bounded number of each class in the order of a hash."""
+def chosen(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text",
+           toxic: str = "toxic") -> DataFrame | None:
+    """Labelled texts to learn from (d_row, d_text, p_label), a bounded number of each class in
+    the order of a hash; None if there are none."""
     known = (labels.where(F.col(toxic).isNotNull() & ~held_out(F.col(id)))
              .groupBy(F.col(id).alias("l_id")).agg(F.max(toxic).alias("l_toxic")))
     slim = docs.select(F.col(id).alias("d_id"), F.col(text).alias("d_text"),
                        F.xxhash64(id, text).alias("d_row")).where(
         F.col("d_id").isNotNull() & (F.length("d_text") <= LONGEST))
-    # Rows are picked by id and hash alone; only the texts picked are read to the driver.
+    # Rows are picked by id and hash alone; only the texts picked are read again.
     rows = slim.select("d_id", "d_row").distinct().join(known, F.col("d_id") == F.col("l_id"))
     order = [F.md5(F.col("d_id").cast("string")), F.col("d_id"), F.col("d_row")]
     picked = {}
@@ -354,12 +356,30 @@ def sample(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "
                   .select("d_row").collect()):
             picked[r["d_row"]] = label
     if not picked:
-        return [], np.zeros(0, dtype=np.float32)
-    side = docs.sparkSession.createDataFrame([(r,) for r in picked], "p_row long")
-    texts = (slim.join(F.broadcast(side), F.col("d_row") == F.col("p_row"), "left_semi")
-             .groupBy("d_row").agg(F.first("d_text").alias("d_text")).collect())
-    texts = sorted((r["d_row"], r["d_text"]) for r in texts)
-    return [t for _, t in texts], np.array([picked[r] for r, _ in texts], dtype=np.float32)
+        return None
+    side = docs.sparkSession.createDataFrame(list(picked.items()), "p_row long, p_label int")
+    return (slim.join(F.broadcast(side), F.col("d_row") == F.col("p_row"))
+            .groupBy("d_row", "p_label").agg(F.first("d_text").alias("d_text"))
+            .select("d_row", "d_text", "p_label"))
+
+
+def learn(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text",
+          toxic: str = "toxic") -> Arrays:
+    """The network trained on the chosen texts, in one task that reads no more than these."""
+    ship(docs.sparkSession)
+    texts = chosen(docs, labels, id, text, toxic)
+    if texts is None:
+        return train([], np.zeros(0, dtype=np.float32))
+
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [x for b in batches for x in zip(*[c.to_pylist() for c in b.columns])]
+        if rows:
+            net = train([t for _, t, _ in rows], np.array([x for *_, x in rows], np.float32))
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(net)], pa.binary())],
+                                             names=["net"])
+
+    one = texts.repartition(1).sortWithinPartitions("d_row")
+    return pickle.loads(one.mapInArrow(fit, "net binary").first()["net"])
 
 
 def scorer(net: Arrays) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -389,14 +409,14 @@ def score(docs: DataFrame, net: Arrays, text: str = "text", keep_text: bool = Tr
 
 def keep_clean(docs: DataFrame, labels: DataFrame, text: str = "text") -> DataFrame:
     """The documents that aren't predicted to be toxic, with their own columns as they are."""
-    net = train(*sample(docs, labels, text=text))
+    net = learn(docs, labels, text=text)
     wrapped = docs.select(F.struct("*").alias("m_doc"), F.col(text).alias("m_text"))
     return score(wrapped, net, "m_text", keep_text=False).where("predicted = 0").select("m_doc.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    net = train(*sample(docs, read(spark, sf_dir, "labels")))
+    net = learn(docs, read(spark, sf_dir, "labels"))
     scored = score(docs, net, keep_text=False)
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score",
                          "predicted")
