@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from wardline.llm.batches import distinct, hashes, slices, word_lists
 from wardline.llm.common import fits, read, ship, stored
 from wardline.llm.graphs import components
+from wardline.llm.repeats import packed, unzipped
 
 SIZE = 3
 SHARE = 90
@@ -250,7 +251,7 @@ def forest(sets: list[np.ndarray], share: int = SHARE,
 
 
 def verify(members: DataFrame, group: list[str], size: int, share: int) -> DataFrame:
-    """Links a, b between the members of each group (`node`, `text`, `label` may be null)."""
+    """Links a, b between the members of each group (`node`, `zip`, `label` may be null)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, nodes, texts, labels = None, [], [], []
 
@@ -264,31 +265,32 @@ def verify(members: DataFrame, group: list[str], size: int, share: int) -> DataF
 
         for batch in batches:
             columns = {n: batch.column(i).to_pylist() for i, n in enumerate(batch.schema.names)}
-            for *own, node, text, label in zip(*[columns[g] for g in group], columns["node"],
-                                               columns["text"], columns["label"]):
+            for *own, node, data, label in zip(*[columns[g] for g in group], columns["node"],
+                                               columns["zip"], columns["label"]):
                 if own != key:
                     yield from close()
                     key, nodes, texts, labels = own, [], [], []
                 if not nodes or nodes[-1] != node:
                     nodes.append(node)
-                    texts.append(text or "")
+                    texts.append(unzipped(data).tobytes().decode("utf-8", "surrogatepass"))
                     labels.append(label)
         yield from close()
 
     ship(members.sparkSession)
-    dealt = members.select(*group, "node", "text", "label").repartition(*group)
+    dealt = members.select(*group, "node", "zip", "label").repartition(*group)
     return dealt.sortWithinPartitions(*group, "node").mapInArrow(run, "a long, b long")
 
 
 def family_links(docs: DataFrame, families: DataFrame, id: str, text: str, size: int,
                  share: int, block_bytes: int) -> DataFrame:
     """All links needed within the families (`row`, `node`, `family`)."""
-    few = fits(families, 100_000)
-    texts = docs.select(F.xxhash64(id, text).alias("row"), F.col(text).alias("text"))
-    members = stored(texts.join(F.broadcast(families) if few else families, "row")
-                     .dropDuplicates(["node"]).select("node", "family", "text"))
+    texts = docs.select(F.xxhash64(id, text).alias("row"), F.octet_length(text).alias("bytes"),
+                        F.col(text).cast("string").alias("text"))
+    # Each class has one row; copies of that row leave where it meets its family.
+    members = stored(packed(texts, "row", "bytes").join(families, "row").dropDuplicates(["row"])
+                     .select("node", "family", "bytes", "zip"))
     weight = members.groupBy("family").agg(
-        F.ceil(F.sum(F.octet_length("text")) / block_bytes).cast("int").alias("blocks"))
+        F.ceil(F.sum("bytes") / block_bytes).cast("int").alias("blocks"))
     # Only large families need a number of blocks; all others are one block.
     large = stored(weight.where("blocks > 1"))
     joined = members.join(F.broadcast(large) if fits(large, 100_000) else large, "family", "left")
@@ -303,7 +305,7 @@ def family_links(docs: DataFrame, families: DataFrame, id: str, text: str, size:
     # What the blocks of a family left apart. Rows of its largest component stay in their
     # block; all others visit every block, some at a time, so that all that differ meet.
     spread = (joined.where("blocks IS NOT NULL")
-              .select("node", "family", "blocks", F.octet_length("text").alias("bytes"))
+              .select("node", "family", "blocks", "bytes")
               .join(components(links), "node", "left")
               .withColumn("label", F.coalesce("root", "node")).drop("root"))
     sizes = spread.groupBy("family", "label").agg(F.sum("bytes").alias("bytes"))
@@ -322,7 +324,7 @@ def family_links(docs: DataFrame, families: DataFrame, id: str, text: str, size:
     visit = (placed.where("label <> top").withColumn(
         "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where("block <> own")
         .select("node", "family", "label", "block", "turn"))
-    met = stay.union(visit).join(members.select("node", "text"), "node")
+    met = stay.union(visit).join(members.select("node", "zip"), "node")
     return links.union(stored(verify(met, ["family", "block", "turn"], size, share)))
 
 
