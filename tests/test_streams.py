@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from wardline.functions.tokens import query_hash
 from wardline.operators import ledger, screening, transfer
 from wardline.sources import schemas
-from wardline.streaming.calls import check_stream, check_with, judge_batches, keep_first
+from wardline.streaming.calls import (
+    BUCKETS, append_in_order, check_stream, check_with, judge_batches, keep_first)
 from wardline.streaming.denials import (
     denial_session_stream, denial_sessions, denial_windows)
 from wardline.streaming.text import govern_and_screen
@@ -188,3 +189,47 @@ def test_bursts_and_windows_of_a_stream(spark, denials, tmp_path):
     table = spark.createDataFrame(denials, schema)
     assert {tuple(r) for r in windows if r["user_id"] != "end"} == {
         tuple(r) for r in denial_windows(table).collect()}
+
+
+def test_labels_after_a_restart(spark, calls, tmp_path):
+    """A stream that stops and starts again remembers tokens and repeats no row."""
+    rows, book, revoked, verdicts = calls
+    used, out, path = (str(tmp_path / n) for n in ("used", "out", "calls"))
+    spark.createDataFrame([], "token_id string, batch long, expires_on date").write.parquet(used)
+    judge = judge_batches(used, out, check_with(lambda _: book, lambda _: revoked))
+    frame = spark.createDataFrame(rows, CALL)
+    for part in (frame.where("call_id < 33"), frame.where("call_id >= 33")):
+        append_in_order(part, path, "ts", 2)
+        stream = spark.readStream.schema(CALL).option("maxFilesPerTrigger", 1).parquet(path)
+        (stream.writeStream.foreachBatch(judge).trigger(availableNow=True)
+         .option("checkpointLocation", str(tmp_path / "cp")).start().awaitTermination())
+    got = spark.read.parquet(out).collect()
+    assert len(got) == len(rows) and {r["call_id"]: r["verdict"] for r in got} == verdicts
+    found = spark.read.parquet(used)
+    assert all(r["bucket"] is None or 0 <= r["bucket"] < BUCKETS for r in found.collect())
+    pruned = found.where("bucket = 3")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(bucket" in pruned
+
+
+def test_files_in_order_of_time(spark, tmp_path):
+    rows = [(i, at(i * 7 % 50) if i % 11 else None) for i in range(50)]
+    append_in_order(spark.createDataFrame(rows, "call_id long, ts timestamp"),
+                    str(tmp_path / "calls"), "ts", 3)
+    files = sorted((tmp_path / "calls").glob("part-*"), key=lambda f: f.stat().st_mtime_ns)
+    parts = [[r["ts"] for r in spark.read.parquet(str(f)).collect()] for f in files]
+    known = [t for p in parts for t in p if t is not None]
+    assert len(files) == 3 and sum(map(len, parts)) == 50 and known == sorted(known)
+
+
+def test_bucketed_tables_meet_without_a_shuffle(spark, calls, tmp_path):
+    rows, book, revoked, verdicts = calls
+    known = ledger.with_revocations(book, revoked).select(
+        "token_id", "query_hash", "agent_id", "issued_at", "expires_at", "token_revoked_at",
+        "session_revoked_at")
+    stored = [ledger.bucketed(t, f"bucketed_{n}", str(tmp_path / n), 4)
+              for n, t in (("calls", spark.createDataFrame(rows, CALL)), ("ledger", known))]
+    checked = ledger.check_bucketed(*stored)
+    plan = checked._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Exchange" not in plan
+    got = {r["call_id"]: r["verdict"] for r in ledger.judge_calls(checked).collect()}
+    assert got == verdicts

@@ -411,11 +411,12 @@ CALLS = ("calls", "ledger", "revoked_tokens", "revoked_sessions")
 cte("verdicts", verdicts("UNGOVERNED"), *CALLS)
 cte("lenient_verdicts", verdicts("ALLOWED_UNGOVERNED"), *CALLS)
 oracle("token_verdicts", "SELECT call_id, agent_id, token_id, verdict FROM verdicts", "verdicts")
+for _same in ("token_verdicts_bucketed", "live_verdicts"):
+    oracle(_same, "SELECT call_id, agent_id, token_id, verdict FROM verdicts", "verdicts")
 oracle("governed_call_rows", """
 SELECT call_id, p_partkey, brand AS p_brand, p_size
 FROM (SELECT call_id, row_filters FROM verdicts WHERE verdict = 'ALLOWED'
-    AND contains(row_filters, 'p_brand IN') AND NOT regexp_matches(row_filters, 'p_owner|p_scope')
-  ORDER BY ts, call_id LIMIT 1) c
+    AND contains(row_filters, 'p_brand IN') AND NOT regexp_matches(row_filters, 'p_owner|p_scope')) c
 JOIN (SELECT *, replace(p_brand, '#', '_') AS brand FROM part) p
   ON contains(c.row_filters, chr(39) || brand || chr(39))""", "verdicts")
 cte("call_reads", """

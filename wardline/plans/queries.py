@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,8 +13,9 @@ from wardline.operators import (
     access, eligibility, identity, ledger, policy, results, screening, state, transfer, views)
 from wardline.operators.skew import salted_join
 from wardline.plans import roles
-from wardline.session import stored
+from wardline.session import shared_path, stored
 from wardline.sources.tables import spread_few_files
+from wardline.streaming.calls import append_in_order, check_with, judge_batches
 from wardline.streaming.denials import denial_sessions, denial_windows
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -315,32 +315,6 @@ def token_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
         "call_id", "agent_id", "token_id", "verdict")
 
 
-@query
-def governed_call_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """From requests to rows: issue, check, single use, then the view of the first allowed call.
-
-    The call is the first whose filters name brands alone, since parts have no owner.
-    """
-    issued = stored(_issued(spark, sf_dir)[0])
-    judged = ledger.judge_calls(ledger.check_calls(
-        roles.tool_calls(spark, sf_dir), issued, roles.revocations(spark, sf_dir)))
-    said = F.array_join(F.map_values("row_filters"), " ")
-    first = (judged.where((F.col("verdict") == "ALLOWED") & said.contains("p_brand IN")
-                          & ~said.rlike("p_owner|p_scope")).select("call_id", "ts", "token_id")
-             .orderBy("ts", "call_id").limit(1).collect())
-    parts = roles.table(spark, sf_dir, "part").withColumn(
-        "p_brand", F.replace("p_brand", F.lit("#"), F.lit("_")))
-    columns = ["p_partkey", "p_brand", "p_size"]
-    if not first:
-        return parts.limit(0).select(F.lit(None).cast("long").alias("call_id"), *columns)
-    token = issued.where(F.col("token_id") == first[0]["token_id"]).select(
-        "asset_ids", "row_filters", "masked_columns").first().asDict()
-    views_ = views.governed_read(token, {a: parts for a in token["asset_ids"]})
-    rows = [v.select(F.lit(first[0]["call_id"]).cast("long").alias("call_id"), *columns)
-            for v in views_.values()]
-    return reduce(DataFrame.unionByName, rows)
-
-
 def _call_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     issued = stored(_issued(spark, sf_dir)[0])
     return views.call_reads(ledger.judge_calls(ledger.check_calls(
@@ -368,6 +342,56 @@ def governed_read_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.governed_reads(_call_reads(spark, sf_dir), parts, "p_brand")
 
 
+@query
+def governed_call_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From requests to rows: the rows of parts that each allowed call reads.
+
+    Calls whose filters name brands alone; what calls without a filter read is all parts, and
+    parts have neither owner nor scope. Rows are made once per different read.
+    """
+    reads = _call_reads(spark, sf_dir).where(views.brands_of_filter("p_brand").isNotNull())
+    parts = roles.table(spark, sf_dir, "part").select(
+        "p_partkey", F.replace("p_brand", F.lit("#"), F.lit("_")).alias("p_brand"), "p_size")
+    rows = views.governed_reads(reads, parts, "p_brand")
+    return reads.select("call_id", "read_id").join(rows, "read_id").drop("read_id")
+
+
+@query
+def token_verdicts_bucketed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`token_verdicts` from calls and ledger stored in buckets of tokens: neither is shuffled."""
+    path = shared_path(spark, "buckets")
+    known = ledger.with_revocations(_issued(spark, sf_dir)[0], roles.revocations(spark, sf_dir))
+    name = path.rsplit("/", 1)[-1].replace("-", "_")
+    checked = ledger.check_bucketed(
+        ledger.bucketed(roles.tool_calls(spark, sf_dir), f"{name}_calls", f"{path}/calls", 8),
+        ledger.bucketed(known.select(
+            "token_id", "query_hash", "agent_id", "issued_at", "expires_at", "token_revoked_at",
+            "session_revoked_at"), f"{name}_ledger", f"{path}/ledger", 8))
+    return ledger.judge_calls(checked).select("call_id", "agent_id", "token_id", "verdict")
+
+
+@query
+def live_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`token_verdicts` from a stream of files that stops after two and starts again."""
+    path = shared_path(spark, "live")
+    book = stored(_issued(spark, sf_dir)[0])
+    revoked = roles.revocations(spark, sf_dir)
+    calls = stored(roles.tool_calls(spark, sf_dir))
+    judge = judge_batches(f"{path}/used", f"{path}/out", check_with(lambda _: book,
+                                                                    lambda _: revoked))
+    spark.createDataFrame([], "token_id string, expires_on date, bucket int, batch long"
+                          ).write.parquet(f"{path}/used")
+    middle = calls.select(F.percentile_approx("ts", 0.5).alias("ts")).first()["ts"]
+    for half in (calls.where(F.col("ts") <= F.lit(middle)),
+                 calls.where((F.col("ts") > F.lit(middle)) | F.col("ts").isNull())):
+        append_in_order(half, f"{path}/calls", "ts", 2)
+        stream = (spark.readStream.schema(calls.schema).option("maxFilesPerTrigger", 1)
+                  .parquet(f"{path}/calls"))
+        (stream.writeStream.foreachBatch(judge).trigger(availableNow=True)
+         .option("checkpointLocation", f"{path}/checkpoint").start().awaitTermination())
+    return spark.read.parquet(f"{path}/out").select("call_id", "agent_id", "token_id", "verdict")
+
+
 @query
 def replay_first_use(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ledger.first_uses(_checked(spark, sf_dir))

@@ -70,6 +70,10 @@ def _every_salt(salts: int) -> Column:
     return F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
 
 
+#: Parts of the memory of used tokens per expiry date; a batch reads those its tokens fall into.
+BUCKETS = 16
+
+
 def judge_batches(used_path: str, out_path: str,
                   check: Callable[[DataFrame], DataFrame] | None = None
                   ) -> Callable[[DataFrame, int], None]:
@@ -78,8 +82,9 @@ def judge_batches(used_path: str, out_path: str,
     Each micro-batch is reduced to its first passing call per token before it meets the
     table of used tokens, so a token called very often is no burden to one task. Output
     and used tokens are written per batch and overwritten when a batch runs again. Used
-    tokens are laid out by expiry date first and read no further back than the batch's first
-    call, so that dates that are over are never listed and can be dropped.
+    tokens are laid out by expiry date and a hash of the token. They are read no further back
+    than the batch's first call, so that dates that are over are never listed and can be
+    dropped, and only in the buckets that tokens used in this batch fall into.
     `check` turns calls into checked calls with the ledger and revocations of the moment.
     """
     def run(batch: DataFrame, batch_id: int) -> None:
@@ -90,9 +95,14 @@ def judge_batches(used_path: str, out_path: str,
         expiry = checked.select("call_id", F.to_date("expires_at").alias("expires_on"))
         first = first_uses(checked).join(expiry, "call_id").select(
             "token_id", "call_id", "expires_on")
-        used = spark.read.schema("token_id string, expires_on date, batch long").parquet(used_path)
+        bucket = F.pmod(F.xxhash64("token_id"), F.lit(BUCKETS)).cast("int")
+        used = spark.read.schema("token_id string, expires_on date, bucket int, batch long"
+                                 ).parquet(used_path)
         oldest = batch.select(F.to_date(F.min("ts")).alias("day")).first()["day"]
-        earlier = used.where((F.col("batch") < batch_id) & (F.col("expires_on") >= F.lit(oldest)))
+        # At most BUCKETS numbers.
+        buckets = [r["bucket"] for r in first.select(bucket.alias("bucket")).distinct().collect()]
+        earlier = used.where((F.col("batch") < batch_id) & (F.col("expires_on") >= F.lit(oldest))
+                             & F.col("bucket").isin(buckets))
         fresh = first.join(earlier, "token_id", "left_anti")
         mark = fresh.select("call_id", F.lit(True).alias("_fresh"))
         judged = checked.join(mark, "call_id", "left").withColumn("verdict", F.when(
@@ -100,8 +110,9 @@ def judge_batches(used_path: str, out_path: str,
         ).otherwise(F.col("check"))).drop("_fresh", "check")
         # The used tokens of this batch go first: a rerun ignores and overwrites them.
         for rows, path, parts in (
-                (fresh.select("token_id", "expires_on", F.lit(batch_id).cast("long")
-                              .alias("batch")), used_path, ["expires_on", "batch"]),
+                (fresh.select("token_id", "expires_on", bucket.alias("bucket"),
+                              F.lit(batch_id).cast("long").alias("batch")), used_path,
+                 ["expires_on", "bucket", "batch"]),
                 (judged.withColumn("batch", F.lit(batch_id).cast("long")), out_path, ["batch"])):
             (rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
              .partitionBy(*parts).parquet(path))
@@ -128,3 +139,17 @@ def check_with(ledger: Callable[[SparkSession], DataFrame],
                              check_code(require_token).alias("check"))
 
     return check
+
+
+def append_in_order(table: DataFrame, path: str, ts: str, files: int) -> None:
+    """Append a table to a folder as files that follow one another in time, unknown times first."""
+    at = F.unix_micros(F.col(ts).cast("timestamp"))
+    cuts = table.select(at.alias("at")).approxQuantile(
+        "at", [n / files for n in range(1, files)], 0.01)
+    low = None
+    for high in [*sorted(set(cuts)), None]:
+        after = F.lit(True) if low is None else at > low
+        until = F.lit(True) if high is None else F.coalesce(at <= high, F.lit(True))
+        part = table.where(after & until)
+        part.coalesce(1).sortWithinPartitions(ts).write.mode("append").parquet(path)
+        low = high
