@@ -20,7 +20,6 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterable, Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F

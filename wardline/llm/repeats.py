@@ -23,7 +23,6 @@ empty results.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterable, Iterator
 from functools import cache
 
