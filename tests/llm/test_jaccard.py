@@ -77,7 +77,12 @@ def test_signatures_meet():
             union = len(a) * 100 // share
             b = np.unique(np.concatenate([a, rng.integers(0, 1 << 62, union - len(a), dtype=np.uint64)]))
             assert jaccard.linked(a, b, share)
-            assert set(jaccard.signatures(a, share)) & set(jaccard.signatures(b, share))
+            left, right = jaccard.signatures(a, share), jaccard.signatures(b, share)
+            met = [len(np.intersect1d(x, y)) for x, _ in left for y, _ in right]
+            assert max(met) > 0
+            # Each level at which both speak has as many in common as both sides need.
+            assert any(len(np.intersect1d(x, y)) >= max(n, m)
+                       for x, n in left for y, m in right)
 
 
 def test_edges(edges, nothing):

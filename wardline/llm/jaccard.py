@@ -2,8 +2,9 @@
 
 Texts with equal sets of shingles are one class. Classes that may link are brought together by
 an exact rule: the shingles of a class are hashed into more groups than two linked sets can
-have differences, so that linked classes agree on a whole group. Classes that share a
-group's content form families. In a family each set is a point, the number of its shingles in
+have differences, so that linked classes agree on whole groups. How many they agree on at least
+is known from the groups that are empty, so a class that shares fewer with all others together
+leaves; those that stay and share a group's content form families. In a family each set is a point, the number of its shingles in
 each of 64 hash groups; an R-tree over the points bounds the overlap of two boxes by
 the sum of the smaller coordinates, and pairs that survive are verified on the sets.
 
@@ -39,6 +40,8 @@ LEAF = 16
 BLOCK_BYTES = 4 << 20
 #: Bits of the filter of shared keys that all tasks get, whatever the number of keys: 4 MB.
 FILTER_BITS = 1 << 25
+#: Times that classes with too few shared keys leave before families are formed.
+ROUNDS = 2
 
 NO_KEYS = np.empty(0, np.int64)
 M1, M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -84,16 +87,18 @@ def level_of(n: int) -> tuple[int, int]:
         level, low = level + 1, high
 
 
-def signatures(shingles: np.ndarray, share: int = SHARE) -> np.ndarray:
-    """Hashes of the contents of groups; linked sets have one in common.
+def signatures(shingles: np.ndarray, share: int = SHARE) -> list[tuple[np.ndarray, int]]:
+    """Per level hashes of the contents of groups, and how many linked sets have in common.
 
     Sets of sizes a <= b that link differ in at most a * (100 - share) / share shingles, and b is
     at most a * 100 / share. The level of the smaller one sets the number of groups, so a set
     also speaks at the level of the smallest partner it may have. Empty groups say nothing
     and are left out while enough others remain to prove that a group in common has content.
+    Linked sets agree on all groups but those with a difference, and of the groups they agree on
+    no more can be empty than are empty in this set.
     """
     n = len(shingles)
-    result: list[np.ndarray] = []
+    result: list[tuple[np.ndarray, int]] = []
     least = -(-n * share // 100)
     for level, high in dict.fromkeys((level_of(n), level_of(max(least, 1)))):
         apart = high * (100 - share) // share
@@ -104,8 +109,9 @@ def signatures(shingles: np.ndarray, share: int = SHARE) -> np.ndarray:
         number = np.arange(groups, dtype=np.uint64)
         keys = mixed(total + mixed(number + mixed(np.full(groups, level, dtype=np.uint64))))
         full = np.bincount(group, minlength=groups) > 0
-        result.append(keys if (~full).sum() >= groups - apart else keys[full])
-    return np.concatenate(result).view(np.int64)
+        need = groups - apart - int((~full).sum())
+        result.append((keys[full] if need > 0 else keys, max(need, 1)))
+    return result
 
 
 def class_of(shingles: np.ndarray) -> int | None:
@@ -140,28 +146,63 @@ def tabled(docs: DataFrame, id: str, text: str, size: int, share: int,
            words: np.ndarray | None = None) -> DataFrame:
     """Per row: id, a hash of the row, the size of its set, its class and signatures.
 
-    With the words of a filter only signatures that pass are given.
+    With the words of a filter only signatures that pass are given, and those of a level only
+    if as many pass as linked sets have in common.
     """
     slim = docs.select(F.col(id).alias("id"), F.xxhash64(id, text).alias("row"),
                        F.col(text).cast("string").alias("text"))
     ship(docs.sparkSession)
     sent = None if words is None else docs.sparkSession.sparkContext.broadcast(words)
 
+    def speaks(shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        keys, needs = [NO_KEYS], [NO_KEYS]
+        for found, need in signatures(shingles, share) if len(shingles) else ():
+            if sent is not None:
+                found = found[passes(found, sent.value)]
+                if len(found) < need:
+                    continue
+            keys.append(found.view(np.int64))
+            needs.append(np.full(len(found), need))
+        return np.concatenate(keys), np.concatenate(needs)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in slices(batches):
             sets = shingle_sets(texts, size)
-            signed = [signatures(s, share) if len(s) else NO_KEYS for s in sets]
-            if sent is not None:
-                signed = [k[passes(k.view(np.uint64), sent.value)] for k in signed]
+            spoken = [speaks(s) for s in sets]
+            ends = np.cumsum([0, *(len(k) for k, _ in spoken)])
+            pairs = pa.StructArray.from_arrays(
+                [pa.array(np.concatenate([NO_KEYS, *(k for k, _ in spoken)])),
+                 pa.array(np.concatenate([NO_KEYS, *(n for _, n in spoken)]))],
+                names=["key", "need"])
             yield pa.RecordBatch.from_arrays(
                 [part.column(0), part.column(1), pa.array([len(s) for s in sets], pa.int64()),
                  pa.array([class_of(s) for s in sets], pa.int64()),
-                 pa.array(signed, pa.list_(pa.int64()))],
+                 pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pairs)],
                 names=["id", "row", "n", "node", "keys"])
 
     return slim.mapInArrow(
         run, f"id {slim.schema['id'].dataType.simpleString()}, row long, n long, node long, "
-             "keys array<long>")
+             "keys array<struct<key: long, need: long>>")
+
+
+def shared_keys(keyed: DataFrame) -> DataFrame:
+    """Keys that two classes share, and the least class `a` of each."""
+    return keyed.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("b")).where(
+        "a <> b").select("key", "a")
+
+
+def candidates(keyed: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+    """Pairs a, b that join all classes with enough keys in common to link (`node`, `key`, `need`).
+
+    Each round leaves out classes that share fewer keys than they need with all that are left.
+    """
+    for _ in range(rounds):
+        both = stored(keyed.join(shared_keys(keyed), "key"))
+        enough = both.groupBy("node", "need").agg(F.count(F.lit(1)).alias("n")).where("n >= need")
+        keyed = stored(both.join(enough, ["node", "need"], "left_semi").select(
+            "node", "key", "need"))
+    return keyed.join(shared_keys(keyed), "key").where("a <> node").select(
+        "a", F.col("node").alias("b")).distinct()
 
 
 class Tree:
@@ -335,13 +376,10 @@ def join(docs: DataFrame, id: str = "doc_id", text: str = "text", size: int = SI
     # The second time only those leave that pass a filter of keys that two classes share.
     signed = tabled(docs, id, text, size, share)
     table = stored(signed.drop("keys"))
-    keyed = signed.select("node", F.explode("keys").alias("key"))
-    shared = stored(keyed.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("b"))
-                    .where("a <> b").select("key", "a"))
-    again = tabled(docs, id, text, size, share, key_filter(shared)).select(
-        "node", F.explode("keys").alias("key")).distinct()
-    near = stored(again.join(shared, "key").where("a <> node").select(
-        "a", F.col("node").alias("b")).distinct())
+    shared = shared_keys(signed.select("node", F.explode("keys.key").alias("key")))
+    again = stored(tabled(docs, id, text, size, share, key_filter(shared)).select(
+        "node", F.inline("keys")).distinct())
+    near = stored(candidates(again))
     families = components(near).select("node", F.col("root").alias("family"))
     one = table.where("node IS NOT NULL").groupBy("node").agg(F.min("row").alias("row"))
     links = family_links(docs, stored(families.join(one, "node")), id, text, size, share,
