@@ -238,6 +238,68 @@ def test_filter_reaches_the_scan_and_masked_column_is_not_read(spark, parts):
         view.select("price")
 
 
+def test_laid_out_scan_lists_entitled_brands_alone(spark, tmp_path):
+    rows = spark.createDataFrame([(i, f"b{i % 6}" if i % 7 else None, i * 1.5) for i in range(60)],
+                                 "id long, brand string, price double")
+    users = spark.createDataFrame(
+        [("u", 4, ["b1", "b1"]), ("v", 1, ["b2", "absent"]), ("w", None, [])],
+        "user_id string, clearance_rank int, brand_scope array<string>")
+    table = views.lay_out(rows, "brand", f"{tmp_path}/t", ["id"], files=2)
+    out = views.laid_out_extract(table, users, "brand", ["price"])
+    assert "dynamicpruning" in plan(out).lower()
+    got = sorted(tuple(r) for r in out.select("user_id", "id", "brand", "price").collect())
+    assert got == sorted((u, i, f"b{i % 6}", i * 1.5 if u == "u" else None)
+                         for i in range(60) if i % 7 for u, b in (("u", 1), ("v", 2)) if i % 6 == b)
+    scans = out._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters" in scans
+
+
+def test_only_touched_decisions_are_made_again(spark, tables):
+    from wardline.operators import deltas
+    users, agents, assets, consent = tables
+    asked = [(i, u, a, s, "read") for i, (u, a, s) in enumerate(
+        (u, a, s) for u in ("boss", "analyst", "group", "ghost", None)
+        for a in ("retrieval", "all", "ghost", None)
+        for s in ("telemetry", "quality", "hr", "absent", None))]
+    requests = spark.createDataFrame(
+        asked, "request_id long, user_id string, agent_id string, asset_id string, "
+               "access_right string")
+    old = deltas.Policy(users.where("user_id <> 'analyst'"), agents,
+                        assets.where("asset_id <> 'hr'"),
+                        consent.where("subject_id <> 'group'"))
+    new = deltas.Policy(users, agents.where("agent_id <> 'all'"), assets, consent)
+    before = access.resolve_access(requests, *old).checkpoint()
+    columns = ("request_id", "reason_code", "allowed", "row_filter", "filter_error")
+    after = {tuple(r) for r in deltas.refresh(before, old, new).select(*columns).collect()}
+    assert after == {tuple(r) for r in access.resolve_access(requests, *new).select(
+        *columns).collect()}
+    touched = {r["request_id"] for r in deltas.mark_touched(
+        requests, deltas.changes(old, new), ["request_id"]).where("touched").collect()}
+    assert touched == {i for i, u, a, s, _ in asked if u == "analyst" or a == "all" or s == "hr"
+                       or (u, s) == ("group", "telemetry")}
+    same = deltas.changes(new, new)
+    assert all(side.isEmpty() for side in same)
+
+
+def test_entitlements_from_tables(spark):
+    from wardline.operators import identity
+    claims = spark.createDataFrame(
+        [(1, ["a", "b", "a"], ["Reader", "Admin"], False), (2, ["a"], ["odd"], True),
+         (3, [], [], False), (4, ["x", None], ["Reader", None], False)],
+        "claim_id long, groups array<string>, roles array<string>, overage boolean").selectExpr(
+        "*", "'USER' AS reason_code", "concat('u', claim_id) AS user_id", "'n' AS upn",
+        "'n' AS name", "'t' AS tid", "'a' AS app_id")
+    groups, levels = {"a": ["b2", "b1"], "b": ["b1", "b3"]}, {
+        "Reader": "confidential", "Admin": "restricted", "odd": "no such level"}
+    tables = (spark.createDataFrame([(g, b) for g, bs in groups.items() for b in bs],
+                                    "group_name string, brand string"),
+              spark.createDataFrame(list(levels.items()), "role string, level string"))
+    for override in (None, F.when(F.col("claim_id") == 1, F.array(F.lit("b3"), F.lit("z")))):
+        want = identity.user_contexts(claims, groups, levels, override).orderBy("claim_id")
+        got = identity.user_contexts_from_tables(claims, *tables, override).orderBy("claim_id")
+        assert [tuple(r) for r in got.collect()] == [tuple(r) for r in want.collect()]
+
+
 @pytest.mark.parametrize("tail", [
     "", "WHERE id > 1 OR 1 = 1", "ORDER BY id DESC", "GROUP BY ALL HAVING count(*) > 0",
     "WHERE brand = 'brand_a' OR true -- x"])

@@ -12,10 +12,10 @@ from wardline.operators.skew import find_hot, salted_join, split_join
 
 ALLOWED = "ALLOWED"
 
-_USER_COLUMNS = ("user_id", "clearance_rank", "brand_scope")
-_AGENT_COLUMNS = ("agent_id", "ceiling_rank", "allowed_rights", "allowed_sources")
-_ASSET_COLUMNS = ("asset_id", "source", "sensitivity_rank", "brand_tags", "brand_column",
-                  "row_filter_template", "pii_columns", "consent_required")
+USER_COLUMNS = ("user_id", "clearance_rank", "brand_scope")
+AGENT_COLUMNS = ("agent_id", "ceiling_rank", "allowed_rights", "allowed_sources")
+ASSET_COLUMNS = ("asset_id", "source", "sensitivity_rank", "brand_tags", "brand_column",
+                 "row_filter_template", "pii_columns", "consent_required")
 
 
 def empty_if_null(values: Column) -> Column:
@@ -59,8 +59,8 @@ def join_principals(requests: DataFrame, users: DataFrame, agents: DataFrame,
     Agents are a short configured list that Spark broadcasts by its size. Users may be
     many, and one user may make a large share of the requests.
     """
-    user_side = users.select(*_USER_COLUMNS).withColumn("user_known", F.lit(True))
-    agent_side = agents.select(*_AGENT_COLUMNS).withColumn("agent_known", F.lit(True))
+    user_side = users.select(*USER_COLUMNS).withColumn("user_known", F.lit(True))
+    agent_side = agents.select(*AGENT_COLUMNS).withColumn("agent_known", F.lit(True))
     joined = requests.join(agent_side, "agent_id", "left")
     return (salted_join(joined, user_side, ["user_id"], spread,
                         base=requests if base is None else base)
@@ -70,7 +70,7 @@ def join_principals(requests: DataFrame, users: DataFrame, agents: DataFrame,
 def join_assets(requests: DataFrame, assets: DataFrame, consent: DataFrame,
                 spread: Sequence[str], base: DataFrame) -> DataFrame:
     """Join requests to their asset and to the consent in force of the user."""
-    asset_side = assets.select(*_ASSET_COLUMNS).withColumnRenamed(
+    asset_side = assets.select(*ASSET_COLUMNS).withColumnRenamed(
         "source", "asset_source").withColumn("asset_known", F.lit(True))
     granted = consent.where("granted").select(
         F.col("subject_id").alias("user_id"), "asset_id", F.lit(True).alias("consented"))
@@ -275,7 +275,7 @@ def _asset_sums(users: DataFrame, assets: DataFrame, consent: DataFrame) -> Data
     granted = (consent.where("granted").select(F.col("subject_id").alias("user_id"), "asset_id"))
     need = assets.where("consent_required").select("asset_id", "sensitivity_rank", "brand_tags")
     holders = salted_join(salted_join(granted, need, ["asset_id"], ["user_id"], "inner"),
-                          users.select(*_USER_COLUMNS), ["user_id"], ["asset_id"], "inner",
+                          users.select(*USER_COLUMNS), ["user_id"], ["asset_id"], "inner",
                           base=granted)
     tags = empty_if_null(F.col("brand_tags"))
     consents = (holders.where((F.col("clearance_rank") >= F.col("sensitivity_rank")) & (

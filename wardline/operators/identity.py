@@ -128,6 +128,40 @@ def user_contexts(checked: DataFrame, group_brands: Mapping[str, Sequence[str]],
         .alias("metadata"))
 
 
+def user_contexts_from_tables(checked: DataFrame, group_brands: DataFrame, role_levels: DataFrame,
+                              override: Column | None = None) -> DataFrame:
+    """`user_contexts` with groups and roles as tables of any size, joined instead of looked up.
+
+    `group_brands` has group_name and brand, `role_levels` role and level, each a row per pair.
+    Names of all claims meet the tables at once; `claim_id` tells the claims apart.
+    """
+    rank = F.array_position(F.array(*[F.lit(v) for v in L.SENSITIVITY_LEVELS]), F.col("level"))
+    names = group_brands.select(F.concat(F.lit("g:"), "group_name").alias("name"), "brand",
+                                F.lit(None).cast("int").alias("rank")).unionByName(
+        role_levels.where(rank > 0).select(F.concat(F.lit("r:"), "role").alias("name"),
+                                           F.lit(None).cast("string").alias("brand"),
+                                           (rank - 1).cast("int").alias("rank")))
+    users = checked.where("reason_code = 'USER'")
+
+    def tagged(names: Column, tag: str) -> Column:
+        return F.transform(names, lambda n: F.concat(F.lit(tag), n))
+
+    # An incomplete list of groups gives no brands, so its names need not travel.
+    groups = F.when(F.col("overage"), F.array().cast("array<string>")).otherwise(F.col("groups"))
+    held = users.select("claim_id", F.explode(F.array_distinct(F.concat(
+        tagged(groups, "g:"), tagged(F.col("roles"), "r:")))).alias("name"))
+    found = salted_join(held, names, ["name"], ["claim_id"], "inner").groupBy("claim_id").agg(
+        F.array_sort(F.collect_set("brand")).alias("brand_scope"), F.max("rank").alias("_rank"))
+    none = F.array().cast("array<string>")
+    scope = F.coalesce("brand_scope", none)
+    if override is not None:
+        scope = F.when(override.isNull(), scope).otherwise(F.array_intersect(scope, override))
+    plain = user_contexts(checked, {}, {}).drop("brand_scope", "clearance_rank")
+    return plain.join(found, "claim_id", "left").select(
+        "claim_id", "user_id", "roles", scope.alias("brand_scope"),
+        F.greatest(F.lit(L.INTERNAL), F.col("_rank")).alias("clearance_rank"), "metadata")
+
+
 def agent_principals(checked: DataFrame) -> DataFrame:
     """Service principals from the claims that carry no user."""
     return checked.where("reason_code = 'APP_ONLY'").select(

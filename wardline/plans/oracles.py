@@ -824,3 +824,9 @@ FROM (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS bu
   FROM (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts)
     <= INTERVAL 2 HOURS THEN 0 ELSE 1 END AS new FROM decisions WHERE reason_code <> 'ALLOWED'))
 GROUP BY user_id, burst""", "decisions")
+
+# Other ways to the same rows.
+for _other, _same in (("laid_out_extract", "multi_user_extract"),
+                      ("access_decisions_refreshed", "access_decisions"),
+                      ("entitlements_from_tables", "entitlements")):
+    ORACLES[_other] = ORACLES[_same]

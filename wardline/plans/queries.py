@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from wardline.functions import text as X
 from wardline.functions.tokens import canonical_query, query_hash
 from wardline.operators import (
-    access, eligibility, identity, ledger, policy, results, screening, state, transfer, views)
+    access, deltas, eligibility, identity, ledger, policy, results, screening, state, transfer, views)
 from wardline.operators.skew import salted_join
 from wardline.plans import roles
 from wardline.session import shared_path, stored
@@ -79,9 +79,8 @@ def masked_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
                                masked=["c_name", "c_acctbal"])
 
 
-@query
-def multi_user_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Line items by brand for one auditor per nation, with prices masked by clearance."""
+def _items_and_auditors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Line items by brand, and one auditor per nation."""
     parts = roles.table(spark, sf_dir, "part").select(
         F.col("p_partkey").alias("l_partkey"),
         F.replace("p_brand", F.lit("#"), F.lit("_")).alias("brand"))
@@ -96,10 +95,26 @@ def multi_user_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array(F.concat(F.lit("Brand_"), (1 + key).cast("string")),
                 F.concat(F.lit("Brand_"), (1 + (key + 9) % 25).cast("string")))
         .alias("brand_scope"))
+    return rows, auditors
+
+
+@query
+def multi_user_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items by brand for one auditor per nation, with prices masked by clearance."""
+    rows, auditors = _items_and_auditors(spark, sf_dir)
     return views.multi_user_extract(rows, auditors, "brand", ["l_extendedprice"],
                                     ["l_orderkey", "l_linenumber"])
 
 
+@query
+def laid_out_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`multi_user_extract` from line items stored by brand, whose scan entitlements prune."""
+    rows, auditors = _items_and_auditors(spark, sf_dir)
+    stored_rows = views.lay_out(rows, "brand", shared_path(spark, "by-brand"),
+                                ["l_orderkey", "l_linenumber"])
+    return views.laid_out_extract(stored_rows, auditors, "brand", ["l_extendedprice"])
+
+
 # --- Policy tables ----------------------------------------------------------------------
 
 
@@ -206,6 +221,25 @@ def access_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
         "request_id", "user_id", "agent_id", "asset_id", "access_right", "reason_code", "allowed")
 
 
+@query
+def access_decisions_refreshed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`access_decisions` from those of an older policy: only what changes touch is decided again.
+
+    Of the older policy the later half of the consents and some clearances were different.
+    """
+    users, agents, assets, consent = _policy(spark, sf_dir)
+    events = roles.consent_events(spark, sf_dir)
+    middle = events.select(F.percentile_approx("ts", 0.5).alias("middle"))
+    before = events.join(F.broadcast(middle), F.col("ts") <= F.col("middle")).drop("middle")
+    lower = F.when(F.crc32("user_id") % 7 == 0, F.col("clearance_rank") - 1).otherwise(
+        F.col("clearance_rank"))
+    old = deltas.Policy(users.withColumn("clearance_rank", lower), agents, assets,
+                        policy.latest_consent(before))
+    decisions = stored(access.resolve_access(roles.access_requests(spark, sf_dir), *old))
+    return deltas.refresh(decisions, old, deltas.Policy(users, agents, assets, consent)).select(
+        "request_id", "user_id", "agent_id", "asset_id", "access_right", "reason_code", "allowed")
+
+
 @query
 def decision_matrix_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return access.decision_report(access.decision_counts(*_policy(spark, sf_dir)))
@@ -683,6 +717,19 @@ def entitlements(spark: SparkSession, sf_dir: str) -> DataFrame:
         _pairs("metadata").alias("metadata"))
 
 
+@query
+def entitlements_from_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`entitlements` with the groups and roles of the configuration as tables."""
+    groups = spark.createDataFrame(
+        [(g, b) for g, brands in roles.GROUP_BRANDS.items() for b in brands],
+        "group_name string, brand string")
+    levels = spark.createDataFrame(list(identity.ROLE_LEVELS.items()), "role string, level string")
+    return identity.user_contexts_from_tables(_claims(spark, sf_dir), groups, levels).select(
+        "claim_id", "user_id", _list("roles").alias("roles"),
+        _list("brand_scope").alias("brand_scope"), "clearance_rank",
+        _pairs("metadata").alias("metadata"))
+
+
 @query
 def entitlements_override(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Entitlements under an override, which narrows the scope and never widens it."""
