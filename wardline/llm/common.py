@@ -55,7 +55,22 @@ def stored(df: DataFrame) -> DataFrame:
     """The table written once to the shared folder and read back, which cuts its lineage."""
     path = shared_folder(df.sparkSession)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table.stored_at = path
+    return table
+
+
+def freed(spark: SparkSession, *tables: DataFrame) -> None:
+    """Delete stored tables that nothing reads any more, and files of shuffles that are over.
+
+    Spark drops the files of a shuffle once the driver's JVM has collected its plan, which an
+    idle heap puts off for up to half an hour.
+    """
+    jvm = spark.sparkContext._jvm
+    for table in tables:
+        path = jvm.org.apache.hadoop.fs.Path(table.stored_at)
+        path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+    jvm.System.gc()
 
 
 def words(text: Column) -> Column:

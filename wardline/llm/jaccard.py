@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wardline.llm.batches import distinct, hashes, slices, word_lists
-from wardline.llm.common import fits, read, ship, stored
+from wardline.llm.common import fits, freed, read, ship, stored
 from wardline.llm.graphs import components
 from wardline.llm.repeats import packed, unzipped
 
@@ -195,14 +195,20 @@ def candidates(keyed: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """Pairs a, b that join all classes with enough keys in common to link (`node`, `key`, `need`).
 
     Each round leaves out classes that share fewer keys than they need with all that are left.
+    The stored table `keyed` is deleted, as is what each round leaves behind.
     """
+    spark = keyed.sparkSession
     for _ in range(rounds):
-        both = stored(keyed.join(shared_keys(keyed), "key"))
+        both = stored(keyed.join(shared_keys(keyed).select("key"), "key"))
+        freed(spark, keyed)
         enough = both.groupBy("node", "need").agg(F.count(F.lit(1)).alias("n")).where("n >= need")
         keyed = stored(both.join(enough, ["node", "need"], "left_semi").select(
             "node", "key", "need"))
-    return keyed.join(shared_keys(keyed), "key").where("a <> node").select(
-        "a", F.col("node").alias("b")).distinct()
+        freed(spark, both)
+    near = stored(keyed.join(shared_keys(keyed), "key").where("a <> node").select(
+        "a", F.col("node").alias("b")).distinct())
+    freed(spark, keyed)
+    return near
 
 
 class Tree:
@@ -377,13 +383,16 @@ def join(docs: DataFrame, id: str = "doc_id", text: str = "text", size: int = SI
     signed = tabled(docs, id, text, size, share)
     table = stored(signed.drop("keys"))
     shared = shared_keys(signed.select("node", F.explode("keys.key").alias("key")))
-    again = stored(tabled(docs, id, text, size, share, key_filter(shared)).select(
+    words = key_filter(shared)
+    freed(docs.sparkSession)
+    again = stored(tabled(docs, id, text, size, share, words).select(
         "node", F.inline("keys")).distinct())
-    near = stored(candidates(again))
+    near = candidates(again)
     families = components(near).select("node", F.col("root").alias("family"))
     one = table.where("node IS NOT NULL").groupBy("node").agg(F.min("row").alias("row"))
-    links = family_links(docs, stored(families.join(one, "node")), id, text, size, share,
-                         block_bytes)
+    homes = stored(families.join(one, "node"))
+    freed(docs.sparkSession, near)
+    links = family_links(docs, homes, id, text, size, share, block_bytes)
     roots = components(links)
     classes = table.where("node IS NOT NULL").groupBy("node").agg(
         F.min("id").alias("least"), F.count(F.lit(1)).alias("rows"))
