@@ -9,7 +9,8 @@ from wardline.functions.tokens import query_hash
 from wardline.operators import ledger, screening, transfer
 from wardline.sources import schemas
 from wardline.streaming.calls import (
-    BUCKETS, append_in_order, check_stream, check_with, judge_batches, keep_first)
+    BUCKETS, append_in_order, check_stream, check_streams, check_with, close_log, judge_batches,
+    keep_first)
 from wardline.streaming.denials import (
     denial_session_stream, denial_sessions, denial_windows)
 from wardline.streaming.text import govern_and_screen
@@ -233,3 +234,34 @@ def test_bucketed_tables_meet_without_a_shuffle(spark, calls, tmp_path):
     assert "SortMergeJoin" in plan and "Exchange" not in plan
     got = {r["call_id"]: r["verdict"] for r in ledger.judge_calls(checked).collect()}
     assert got == verdicts
+
+
+@pytest.mark.parametrize("order", ["early", "late"])
+def test_revocations_as_a_third_stream(spark, calls, tmp_path, order):
+    """Revocations that come batches before or after the calls they hit give the same verdicts."""
+    rows, book, revoked, verdicts = calls
+    frames = {"calls": ("ts", spark.createDataFrame(rows, CALL), 4 if order == "early" else 1),
+              "ledger": ("issued_at", book, 2),
+              "revoked": ("ts", revoked, 1 if order == "early" else 2)}
+    streams = {}
+    for name, (ts, frame, files) in frames.items():
+        path = str(tmp_path / name)
+        append_in_order(frame, path, ts, files)
+        close_log(path, frame, ts, F.lit("2100-01-01").cast("timestamp"))
+        streams[name] = (spark.readStream.schema(frame.schema).option("maxFilesPerTrigger", 1)
+                         .parquet(path))
+    checked = check_streams(streams["calls"], streams["ledger"], streams["revoked"], 600,
+                            session_life="1 day", salts=2)
+    used, out, steps = (str(tmp_path / n) for n in ("used", "out", "steps"))
+    spark.createDataFrame([], "token_id string, batch long, expires_on date").write.parquet(used)
+    judge = judge_batches(used, out)
+
+    def once(batch, batch_id):
+        batch.write.parquet(f"{steps}/{batch_id}")
+        judge(spark.read.parquet(f"{steps}/{batch_id}"), batch_id)
+
+    query = (checked.writeStream.foreachBatch(once).trigger(availableNow=True)
+             .option("checkpointLocation", str(tmp_path / "cp")).start())
+    query.awaitTermination()
+    got = {r["call_id"]: r["verdict"] for r in spark.read.parquet(out).collect()}
+    assert got == verdicts

@@ -411,7 +411,7 @@ CALLS = ("calls", "ledger", "revoked_tokens", "revoked_sessions")
 cte("verdicts", verdicts("UNGOVERNED"), *CALLS)
 cte("lenient_verdicts", verdicts("ALLOWED_UNGOVERNED"), *CALLS)
 oracle("token_verdicts", "SELECT call_id, agent_id, token_id, verdict FROM verdicts", "verdicts")
-for _same in ("token_verdicts_bucketed", "live_verdicts"):
+for _same in ("token_verdicts_bucketed", "live_verdicts", "live_revocations"):
     oracle(_same, "SELECT call_id, agent_id, token_id, verdict FROM verdicts", "verdicts")
 oracle("governed_call_rows", """
 SELECT call_id, p_partkey, brand AS p_brand, p_size
@@ -530,6 +530,36 @@ FROM (SELECT conv_id, turn, text || ' ' || coalesce(['Brand_A', 'brand_c and BRA
 oracle("redact_text", f"SELECT doc_id, {redact('text')} AS redacted FROM docs", "docs")
 
 
+
+
+def claimed() -> str:
+    """Documents whose personal data is replaced by private characters of the same number."""
+    t = "SELECT doc_id, text AS t FROM docs"
+    for i, p in enumerate(P.PII_PATTERNS):
+        regex = text(("(?i)" if p.ignore_case else "") + p.regex)
+        first, more = text(chr(0xE000 + 2 * i)), text(chr(0xE001 + 2 * i))
+        t = f"""SELECT doc_id, array_to_string(list_transform(range(1, len(pieces) + 1),
+          lambda k: pieces[k] || CASE WHEN k <= len(found) THEN {first}
+            || repeat({more}, length(found[k]) - 1) ELSE '' END), '') AS t
+        FROM (SELECT doc_id, regexp_extract_all(t, {regex}) AS found,
+          string_split(regexp_replace(t, {regex}, chr(61440), 'g'), chr(61440)) AS pieces
+          FROM ({t}))"""
+    return t
+
+
+FIRSTS = "".join(chr(0xE000 + 2 * i) for i in range(len(P.PII_PATTERNS)))
+MORES = "".join(chr(0xE001 + 2 * i) for i in range(len(P.PII_PATTERNS)))
+oracle("pii_spans", f"""
+SELECT doc_id, {texts([p.name for p in P.PII_PATTERNS])}[(unicode(run) - 57344) // 2 + 1] AS kind,
+  CAST(ends_at - length(run) AS BIGINT) AS starts_at, CAST(ends_at AS BIGINT) AS ends_at
+FROM (SELECT doc_id, run, sum(length(run)) OVER (PARTITION BY doc_id ORDER BY pos) AS ends_at
+  FROM (SELECT doc_id, runs[pos] AS run, pos FROM (
+    SELECT doc_id, runs, unnest(range(1, len(runs) + 1)) AS pos FROM (
+      SELECT doc_id, regexp_extract_all(t, '[{FIRSTS}][{MORES}]*|[^{FIRSTS}{MORES}]+') AS runs
+      FROM ({claimed()})))))
+WHERE unicode(run) BETWEEN 57344 AND 57344 + {2 * len(P.PII_PATTERNS) - 1}""", "docs")
+
+
 def governed(source: str, keys: str, ceiling: str) -> str:
     """Chunks of a table, each with its class, its cleaned text and the class of that."""
     return f"""
@@ -637,6 +667,35 @@ cte("screened_cells", screened("(SELECT * FROM cells WHERE length(v) > 10)", "v"
 oracle("injection_scan_rows", """
 SELECT page_id, field, risk, array_to_string(hits, ',') AS triggered FROM screened_cells
 WHERE risk_rank > 0""", "screened_cells")
+cte("free_fields", """
+  SELECT conv_id, turn, CAST((conv_id + turn) % 4 AS INTEGER) AS ceiling, path, v FROM (
+    SELECT *, coalesce(role, '') || '_says' AS path, coalesce(text, '') AS v FROM turns
+      WHERE turn % 3 = 0 UNION ALL
+    SELECT *, 'role', coalesce(role, '') FROM turns WHERE turn % 3 = 0 UNION ALL
+    SELECT *, 'turn.no', turn::VARCHAR FROM turns WHERE turn % 3 = 1 UNION ALL
+    SELECT *, 'turn.parts[0]', coalesce(text, '') FROM turns WHERE turn % 3 = 1 UNION ALL
+    SELECT *, 'turn.parts[1]', coalesce(role, '') FROM turns WHERE turn % 3 = 1 UNION ALL
+    SELECT *, '[''a.b''].text', coalesce(text, '') FROM turns
+      WHERE coalesce(turn % 3, 2) = 2)""", "turns")
+oracle("free_row_fields", f"""
+SELECT conv_id, turn, path, reason, CASE reason WHEN 'MASKED' THEN '{P.MASKED}'
+  WHEN 'PII' THEN '{P.CELL_PII}' WHEN 'ABOVE_CLEARANCE' THEN '{P.CELL_ABOVE_CLEARANCE}'
+  ELSE v END AS value
+FROM (SELECT *, CASE WHEN path = 'turn.no' THEN 'MASKED'
+    WHEN coalesce({rank('v', 'found')} <= ceiling, FALSE) THEN NULL
+    WHEN len(found) > 0 THEN 'PII' ELSE 'ABOVE_CLEARANCE' END AS reason
+  FROM (SELECT *, {kinds('v')} AS found FROM free_fields WHERE path <> 'role'))""", "free_fields")
+cte("screened_fields", screened(
+    "(SELECT * FROM free_fields WHERE length(v) > 10 AND path <> 'turn.no')", "v"), "free_fields")
+oracle("free_row_scan", """
+SELECT conv_id, turn, path, risk, array_to_string(hits, ',') AS triggered FROM screened_fields
+WHERE risk_rank > 0""", "screened_fields")
+oracle("live_transfers", f"""
+SELECT conv_id, turn, redaction_count, max_rank_seen, safe_text, s.risk,
+  s.risk_rank >= 3 AS quarantine
+FROM (SELECT conv_id, turn, {TRANSFER} FROM turn_chunks GROUP BY conv_id, turn) t
+JOIN (SELECT conv_id, turn, risk, risk_rank FROM screened_turns) s USING (conv_id, turn)""",
+       "turn_chunks", "screened_turns")
 oracle("injection_report", """
 SELECT source, split_part(hit, ':', 1) AS layer, split_part(hit, ':', 2) AS pattern,
   count(*) AS n_texts
@@ -827,6 +886,7 @@ GROUP BY user_id, burst""", "decisions")
 
 # Other ways to the same rows.
 for _other, _same in (("laid_out_extract", "multi_user_extract"),
+                      ("live_denial_windows", "denial_windows"),
                       ("access_decisions_refreshed", "access_decisions"),
                       ("entitlements_from_tables", "entitlements")):
     ORACLES[_other] = ORACLES[_same]

@@ -7,16 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wardline.functions import spans
 from wardline.functions import text as X
 from wardline.functions.tokens import canonical_query, query_hash
 from wardline.operators import (
-    access, deltas, eligibility, identity, ledger, policy, results, screening, state, transfer, views)
+    access, deltas, eligibility, free_rows, identity, ledger, policy, results, screening, state,
+    transfer, views)
 from wardline.operators.skew import salted_join
 from wardline.plans import roles
 from wardline.session import shared_path, stored
 from wardline.sources.tables import spread_few_files
-from wardline.streaming.calls import append_in_order, check_with, judge_batches
+from wardline.streaming.calls import (
+    append_in_order, check_streams, check_with, close_log, judge_batches)
 from wardline.streaming.denials import denial_sessions, denial_windows
+from wardline.streaming.text import govern_and_screen
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -426,6 +430,47 @@ def live_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{path}/out").select("call_id", "agent_id", "token_id", "verdict")
 
 
+#: Later than anything in a log.
+END_OF_TIME = "2200-01-01 00:00:00"
+
+
+@query
+def live_revocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`token_verdicts` from streams of calls, tokens and revocations that stop and start again."""
+    path = shared_path(spark, "revoked")
+    book = _issued(spark, sf_dir)[0].select(
+        "token_id", "session_id", "agent_id", "query_hash",
+        F.col("issued_at").cast("timestamp"), F.col("expires_at").cast("timestamp"))
+    logs = {"calls": ("ts", roles.tool_calls(spark, sf_dir)), "tokens": ("issued_at", book),
+            "revocations": ("ts", roles.revocations(spark, sf_dir))}
+    logs = {name: (ts, stored(log.withColumn(ts, F.col(ts).cast("timestamp"))))
+            for name, (ts, log) in logs.items()}
+    spark.createDataFrame([], "token_id string, expires_on date, bucket int, batch long"
+                          ).write.parquet(f"{path}/used")
+    judge = judge_batches(f"{path}/used", f"{path}/out")
+
+    def judge_once(batch: DataFrame, batch_id: int) -> None:
+        # Written first: each reading of the batch would run the joins of the streams again.
+        batch.write.mode("overwrite").parquet(f"{path}/batches/{batch_id}")
+        judge(spark.read.parquet(f"{path}/batches/{batch_id}"), batch_id)
+
+    middle = logs["calls"][1].select(F.percentile_approx("ts", 0.5).alias("ts")).first()["ts"]
+    for later in (False, True):
+        streams = {}
+        for name, (ts, log) in logs.items():
+            early = F.coalesce(F.col(ts) <= F.lit(middle), F.lit(True))
+            append_in_order(log.where(~early if later else early), f"{path}/{name}", ts, 2)
+            if later:
+                close_log(f"{path}/{name}", log, ts, F.lit(END_OF_TIME).cast("timestamp"))
+            streams[name] = (spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1)
+                             .parquet(f"{path}/{name}"))
+        checked = check_streams(streams["calls"], streams["tokens"], streams["revocations"],
+                                roles.TTL_SECONDS)
+        (checked.writeStream.foreachBatch(judge_once).trigger(availableNow=True)
+         .option("checkpointLocation", f"{path}/checkpoint").start().awaitTermination())
+    return spark.read.parquet(f"{path}/out").select("call_id", "agent_id", "token_id", "verdict")
+
+
 @query
 def replay_first_use(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ledger.first_uses(_checked(spark, sf_dir))
@@ -491,6 +536,32 @@ def redact_text(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", X.redact_pii(F.col("text")).alias("redacted"))
 
 
+@query
+def pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Audit rows: each place that redaction replaces in a document."""
+    found = F.explode(spans.pii_spans(F.col("text"))).alias("s")
+    return roles.documents(spark, sf_dir).select("doc_id", found).select(
+        "doc_id", "s.kind", F.col("s.start").alias("starts_at"), F.col("s.end").alias("ends_at"))
+
+
+@query
+def free_row_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fields of rows with any keys as their receivers see them, by path."""
+    governed = free_rows.govern_free_rows(
+        roles.free_rows(spark, sf_dir), "content", "ceiling_rank", ["turn.no"], ["role"])
+    return governed.select("conv_id", "turn", F.inline("fields"))
+
+
+@query
+def free_row_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Injected instructions in fields of rows with any keys, by path."""
+    a = F.col("assessment")
+    return free_rows.screen_free_rows(
+        roles.free_rows(spark, sf_dir), "content", ["conv_id", "turn"]).select(
+        "conv_id", "turn", "path", a["risk"].alias("risk"),
+        _list(a["triggered"]).alias("triggered"))
+
+
 def _govern(spark: SparkSession, sf_dir: str, mode: str) -> DataFrame:
     return transfer.govern(roles.transfers(spark, sf_dir), "text", "ceiling_rank", mode)
 
@@ -802,3 +873,42 @@ def denial_sessions_(spark: SparkSession, sf_dir: str) -> DataFrame:
     return denial_sessions(_denials(spark, sf_dir), 7200).select(
         "user_id", _ntz("burst_start").alias("burst_start"),
         _ntz("burst_end").alias("burst_end"), "n_denials")
+
+
+def _in_two_runs(spark: SparkSession, path: str, log: DataFrame, ts: str,
+                 work: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """What a stream over a log writes that stops after half of it and starts again."""
+    middle = log.select(F.percentile_approx(ts, 0.5).alias("ts")).first()["ts"]
+    early = F.coalesce(F.col(ts) <= F.lit(middle), F.lit(True))
+    for later in (False, True):
+        append_in_order(log.where(~early if later else early), f"{path}/log", ts, 2)
+        if later:
+            close_log(f"{path}/log", log, ts, F.lit(END_OF_TIME).cast("timestamp"))
+        out = work(spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1)
+                   .parquet(f"{path}/log"))
+        (out.writeStream.format("parquet").option("path", f"{path}/out")
+         .option("checkpointLocation", f"{path}/checkpoint")
+         .trigger(availableNow=True).start().awaitTermination())
+    return spark.read.schema(out.schema).parquet(f"{path}/out")
+
+
+@query
+def live_denial_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`denial_windows` from a stream of files that stops and starts again."""
+    log = stored(_denials(spark, sf_dir).withColumn("ts", F.col("ts").cast("timestamp")))
+    return _in_two_runs(spark, shared_path(spark, "denials"), log, "ts", denial_windows).select(
+        "user_id", _ntz("window_start").alias("window_start"),
+        _ntz("window_end").alias("window_end"), "n_denials")
+
+
+@query
+def live_transfers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns governed and screened in a stream of files that stops and starts again."""
+    log = stored(roles.transfers(spark, sf_dir).withColumn("ts", F.timestamp_seconds("turn")))
+    rows = _in_two_runs(
+        spark, shared_path(spark, "transfers"), log, "ts",
+        lambda turns: govern_and_screen(
+            turns.where(F.coalesce(F.col("ts") < END_OF_TIME, F.lit(True))), "text",
+            "ceiling_rank"))
+    return rows.select("conv_id", "turn", "redaction_count", "max_rank_seen", "safe_text",
+                       F.col("assessment.risk").alias("risk"), "quarantine")

@@ -260,6 +260,20 @@ def transfers(spark: SparkSession, sf_dir: str) -> DataFrame:
         ((F.col("conv_id") + F.col("turn")) % 4).cast("int").alias("ceiling_rank"))
 
 
+def free_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every turn as JSON whose keys and nesting differ from turn to turn."""
+    turns = conversations(spark, sf_dir)
+    role, said = F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))
+    shape = F.col("turn") % 3
+    content = (F.when(shape == 0, F.to_json(F.create_map(
+                   F.lit("role"), role, F.concat(role, F.lit("_says")), said)))
+               .when(shape == 1, F.to_json(F.struct(F.struct(
+                   F.col("turn").alias("no"), F.array(said, role).alias("parts")).alias("turn"))))
+               .otherwise(F.to_json(F.struct(F.struct(said.alias("text")).alias("a.b")))))
+    return turns.select("conv_id", "turn", content.alias("content"),
+                        ((F.col("conv_id") + F.col("turn")) % 4).cast("int").alias("ceiling_rank"))
+
+
 def outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every turn is an output of its role."""
     turn = F.col("turn")

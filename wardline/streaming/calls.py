@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from wardline.functions.tokens import query_hash
 from wardline.operators.ledger import PASSED, check_code, first_uses, with_revocations
@@ -20,22 +21,11 @@ def check_stream(calls: DataFrame, ledger: DataFrame, revocations: DataFrame, tt
     Both sides are watermarked. A call meets the ledger row of its token from shortly before
     the token is valid until `remember` after it has expired, and is named by what matched;
     calls without a match, which come out once no match can follow, are unknown. `revocations`
-    is a static table; where it grows, use `judge_batches`. `salts` spreads the calls of a token
-    over groups, for tokens that are called very often; each ledger row is then kept once
-    per group.
+    is a static table; where it grows, use `check_streams` or `judge_batches`. `salts` spreads
+    the calls of a token over groups, for tokens that are called very often; each ledger row
+    is then kept once per group.
     """
-    left = (calls.withWatermark("ts", lateness)
-            .withColumn("call_hash", query_hash(F.col("query"))).withColumn("_salt", _salt(salts)))
-    right = ledger.withWatermark("issued_at", lateness).select(
-        F.col("token_id").alias("ledger_token"), F.col("agent_id").alias("token_agent_id"),
-        "query_hash", "session_id", "issued_at", "expires_at",
-        _every_salt(salts).alias("ledger_salt"))
-    lifetime = F.expr(f"INTERVAL {int(ttl_seconds)} SECONDS")
-    joined = left.join(right, (F.col("token_id") == F.col("ledger_token"))
-                       & (F.col("_salt") == F.col("ledger_salt"))
-                       & (F.col("ts") >= F.col("issued_at") - F.expr(f"INTERVAL {lateness}"))
-                       & (F.col("ts") <= F.col("issued_at") + lifetime
-                          + F.expr(f"INTERVAL {remember}")), "leftOuter")
+    joined = _with_ledger(calls, ledger, ttl_seconds, lateness, remember, salts)
     first = revocations.groupBy("kind", "id").agg(F.min("ts").alias("at"))
     tokens = first.where("kind = 'token'").select(
         F.col("id").alias("token_id"), F.col("at").alias("token_revoked_at"),
@@ -48,6 +38,67 @@ def check_stream(calls: DataFrame, ledger: DataFrame, revocations: DataFrame, tt
             .select(*calls.columns, "expires_at", check_code(require_token).alias("check")))
 
 
+def _with_ledger(calls: DataFrame, ledger: DataFrame, ttl_seconds: int, lateness: str,
+                 remember: str, salts: int) -> DataFrame:
+    """Calls of a stream with the ledger row of their token, if one comes in time."""
+    left = (calls.withWatermark("ts", lateness)
+            .withColumn("call_hash", query_hash(F.col("query"))).withColumn("_salt", _salt(salts)))
+    right = ledger.withWatermark("issued_at", lateness).select(
+        F.col("token_id").alias("ledger_token"), F.col("agent_id").alias("token_agent_id"),
+        "query_hash", "session_id", "issued_at", "expires_at",
+        _every_salt(salts).alias("ledger_salt"))
+    lifetime = F.expr(f"INTERVAL {int(ttl_seconds)} SECONDS")
+    return left.join(right, (F.col("token_id") == F.col("ledger_token"))
+                     & (F.col("_salt") == F.col("ledger_salt"))
+                     & (F.col("ts") >= F.col("issued_at") - F.expr(f"INTERVAL {lateness}"))
+                     & (F.col("ts") <= F.col("issued_at") + lifetime
+                        + F.expr(f"INTERVAL {remember}")), "leftOuter")
+
+
+def _untimed(ts: str) -> Column:
+    """A time that no operator further on takes for the time of its rows."""
+    return F.timestamp_micros(F.unix_micros(F.col(ts))).alias(ts)
+
+
+def check_streams(calls: DataFrame, ledger: DataFrame, revocations: DataFrame, ttl_seconds: int,
+                  lateness: str = "10 minutes", remember: str = "1 hour",
+                  session_life: str = "31 days", salts: int = 1,
+                  require_token: bool = True) -> DataFrame:
+    """`check_stream` against revocations that are a third stream.
+
+    All three are watermarked, and the watermark that counts is the slowest one, so calls wait
+    for the revocations before them however early or late these come, within the `lateness`
+    of their own stream. A revocation is remembered for `session_life`, which must be as long
+    as a session lives. Each call comes out once and, over batches, in the order of time, so that
+    `judge_batches` can label replays. Calls need a `ts`, and `call_id` must be unique.
+    """
+    known = _with_ledger(calls, ledger, ttl_seconds, lateness, remember, salts).select(
+        *calls.columns, "call_hash", "query_hash", "token_agent_id", _untimed("issued_at"),
+        _untimed("expires_at"), "_salt", F.explode(F.array(
+            F.struct(F.lit("token").alias("kind"), F.col("token_id").alias("id")),
+            F.struct(F.lit("session").alias("kind"), F.col("session_id").alias("id"))
+        )).alias("_by"))
+    revoked = revocations.withWatermark("ts", lateness).select(
+        F.col("kind").alias("r_kind"), F.col("id").alias("r_id"), F.col("ts").alias("revoked_at"),
+        _every_salt(salts).alias("r_salt"))
+    met = known.join(
+        revoked, (F.col("_by.kind") == F.col("r_kind")) & (F.col("_by.id") == F.col("r_id"))
+        & (F.col("_salt") == F.col("r_salt")) & (F.col("revoked_at") <= F.col("ts"))
+        & (F.col("revoked_at") >= F.col("ts") - F.expr(f"INTERVAL {session_life}")), "leftOuter")
+    carried = [c for c in met.columns if c not in (
+        "ts", "call_id", "_by", "_salt", "r_kind", "r_id", "r_salt", "revoked_at")]
+
+    def first_of(kind: str) -> Column:
+        return F.min(F.when(F.col("_by.kind") == kind, F.unix_micros("revoked_at")))
+
+    once = met.groupBy("ts", "call_id").agg(
+        F.first(F.struct(*carried)).alias("_row"),
+        F.timestamp_micros(first_of("token")).alias("token_revoked_at"),
+        F.timestamp_micros(first_of("session")).alias("session_revoked_at"))
+    return once.select("ts", "call_id", "_row.*", "token_revoked_at", "session_revoked_at").select(
+        *calls.columns, "expires_at", check_code(require_token).alias("check"))
+
+
 def keep_first(checked: DataFrame, salts: int = 8) -> DataFrame:
     """One passing call per token of a stream with a watermark on `ts`.
 
@@ -144,7 +195,7 @@ def check_with(ledger: Callable[[SparkSession], DataFrame],
 def append_in_order(table: DataFrame, path: str, ts: str, files: int) -> None:
     """Append a table to a folder as files that follow one another in time, unknown times first."""
     at = F.unix_micros(F.col(ts).cast("timestamp"))
-    cuts = table.select(at.alias("at")).approxQuantile(
+    cuts = [] if files == 1 else table.select(at.alias("at")).approxQuantile(
         "at", [n / files for n in range(1, files)], 0.01)
     low = None
     for high in [*sorted(set(cuts)), None]:
@@ -153,3 +204,17 @@ def append_in_order(table: DataFrame, path: str, ts: str, files: int) -> None:
         part = table.where(after & until)
         part.coalesce(1).sortWithinPartitions(ts).write.mode("append").parquet(path)
         low = high
+
+
+def close_log(path: str, table: DataFrame, ts: str, at: Column) -> None:
+    """Append a row without content from after all others, which lets the watermark pass them.
+
+    Its strings are empty and not null, since joins drop null keys before they see the time.
+    """
+    def filler(f: T.StructField) -> Column:
+        if f.name == ts:
+            return at
+        return F.lit("") if isinstance(f.dataType, T.StringType) else F.lit(None).cast(f.dataType)
+
+    last = [filler(f).alias(f.name) for f in table.schema.fields]
+    table.sparkSession.range(1).select(*last).coalesce(1).write.mode("append").parquet(path)
