@@ -430,8 +430,9 @@ def live_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{path}/out").select("call_id", "agent_id", "token_id", "verdict")
 
 
-#: Later than anything in a log.
+#: Later than anything in a log, and longer than a log.
 END_OF_TIME = "2200-01-01 00:00:00"
+LOG_SPAN = "400 days"
 
 
 @query
@@ -465,7 +466,7 @@ def live_revocations(spark: SparkSession, sf_dir: str) -> DataFrame:
             streams[name] = (spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1)
                              .parquet(f"{path}/{name}"))
         checked = check_streams(streams["calls"], streams["tokens"], streams["revocations"],
-                                roles.TTL_SECONDS)
+                                roles.TTL_SECONDS, remember=LOG_SPAN, session_life=LOG_SPAN)
         (checked.writeStream.foreachBatch(judge_once).trigger(availableNow=True)
          .option("checkpointLocation", f"{path}/checkpoint").start().awaitTermination())
     return spark.read.parquet(f"{path}/out").select("call_id", "agent_id", "token_id", "verdict")
