@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wardline.functions.tokens import cache_key, query_hash
-from wardline.operators import identity, ledger, policy, results, state
+from wardline.operators import identity, ledger, policy, results, state, views
 from wardline.sources import schemas
 
 T0 = datetime(2024, 1, 1, 12)
@@ -349,3 +349,19 @@ def test_a_step_reads_before_it_writes(spark, shared):
     seen, after = state.step(requests, outputs, produced)
     assert seen.count() == 2 and after.count() == outputs.count() + 1
     assert state.read_state(requests, after).count() == 3
+
+
+def test_rows_of_calls_are_spread_over_tasks(spark):
+    """One read with most of the result is not the work of one task."""
+    reads = spark.range(300).select(F.col("id").alias("call_id"), F.when(
+        F.col("id") < 290, "hot").otherwise(F.concat(F.lit("r"), "id")).alias("read_id"))
+    rows = spark.range(200).select(
+        F.when(F.col("id") < 190, "hot").otherwise(F.concat(F.lit("r"), F.col("id") + 100))
+        .alias("read_id"), F.col("id").alias("p_partkey"))
+    got = views.rows_of_calls(reads, rows, "p_partkey", side=20)
+    want = reads.join(rows, "read_id")
+    assert sorted(map(tuple, got.select("call_id", "p_partkey").collect())) == sorted(
+        map(tuple, want.select("call_id", "p_partkey").collect()))
+    sizes = got.groupBy(F.spark_partition_id()).count().collect()
+    assert max(r["count"] for r in sizes) < 0.1 * want.count()
+    assert views.rows_of_calls(reads.limit(0), rows, "p_partkey").count() == 0

@@ -83,6 +83,37 @@ def governed_reads(reads: DataFrame, table: DataFrame, brand_column: str) -> Dat
         F.when(~F.array_contains("masked", c), F.col(c)).alias(c) for c in table.columns])
 
 
+#: Calls, and rows of their read, that meet in one cell of `rows_of_calls`.
+CELL_SIDE = 1500
+
+
+def rows_of_calls(reads: DataFrame, rows: DataFrame, key: str,
+                  side: int = CELL_SIDE) -> DataFrame:
+    """The rows of `governed_reads` once for each call of `call_reads`; `key` tells rows apart.
+
+    The result is as large as calls times rows and few reads may hold most of it, so the calls and
+    the rows of a read are cut by hash into parts of about `side`, and each part of one meets each
+    part of the other in a cell of its own. Tasks grow in number with the result, not in
+    length. Both tables are read several times, so give stored ones.
+    """
+    parts = (reads.groupBy("read_id").agg(F.count(F.lit(1)).alias("n_calls"))
+             .join(rows.groupBy("read_id").agg(F.count(F.lit(1)).alias("n_rows")), "read_id")
+             .select("read_id", (F.col("n_calls") * F.col("n_rows")).alias("pairs"),
+                     F.ceil(F.col("n_calls") / side).cast("int").alias("_a"),
+                     F.ceil(F.col("n_rows") / side).cast("int").alias("_b")))
+    pairs = parts.agg(F.sum("pairs").alias("n")).first()["n"] or 0
+    tasks = max(reads.sparkSession.sparkContext.defaultParallelism, -(-int(pairs) // side ** 2))
+
+    def dealt(table: DataFrame, spread: str, own: str, other: str) -> DataFrame:
+        cells = salted_join(table, parts.drop("pairs"), ["read_id"], [spread], "inner")
+        return (cells.withColumn(own, F.pmod(F.xxhash64(spread), F.col(own)).cast("int"))
+                .withColumn(other, F.explode(F.sequence(F.lit(0), F.col(other) - 1)))
+                .repartition(tasks, "read_id", "_a", "_b"))
+
+    calls = dealt(reads.select("call_id", "read_id"), "call_id", "_a", "_b")
+    return calls.join(dealt(rows, key, "_b", "_a"), ["read_id", "_a", "_b"]).drop("_a", "_b")
+
+
 def run_governed_sql(spark: SparkSession, query: str,
                      views: Mapping[str, Callable[[SparkSession], DataFrame]]) -> DataFrame:
     """Run a user's query in a session of its own that reads the given views alone.

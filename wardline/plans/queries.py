@@ -388,11 +388,12 @@ def governed_call_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     Calls whose filters name brands alone; what calls without a filter read is all parts, and
     parts have neither owner nor scope. Rows are made once per different read.
     """
-    reads = _call_reads(spark, sf_dir).where(views.brands_of_filter("p_brand").isNotNull())
+    reads = stored(_call_reads(spark, sf_dir).where(
+        views.brands_of_filter("p_brand").isNotNull()))
     parts = roles.table(spark, sf_dir, "part").select(
         "p_partkey", F.replace("p_brand", F.lit("#"), F.lit("_")).alias("p_brand"), "p_size")
-    rows = views.governed_reads(reads, parts, "p_brand")
-    return reads.select("call_id", "read_id").join(rows, "read_id").drop("read_id")
+    rows = stored(views.governed_reads(reads, parts, "p_brand"))
+    return views.rows_of_calls(reads, rows, "p_partkey").drop("read_id")
 
 
 @query
