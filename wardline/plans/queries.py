@@ -19,7 +19,7 @@ from wardline.plans import roles
 from wardline.session import shared_path, stored
 from wardline.sources.tables import spread_few_files
 from wardline.streaming.calls import (
-    append_in_order, check_streams, check_with, close_log, judge_batches, name_late, run_in_slices)
+    check_streams, check_with, judge_batches, name_late, run_in_slices)
 from wardline.streaming.denials import denial_sessions, denial_windows
 from wardline.streaming.text import govern_and_screen
 
@@ -868,28 +868,21 @@ def denial_sessions_(spark: SparkSession, sf_dir: str) -> DataFrame:
         _ntz("burst_end").alias("burst_end"), "n_denials")
 
 
-def _in_two_runs(spark: SparkSession, path: str, log: DataFrame, ts: str,
-                 work: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """What a stream over a log writes that stops after half of it and starts again."""
-    middle = log.select(F.percentile_approx(ts, 0.5).alias("ts")).first()["ts"]
-    early = F.coalesce(F.col(ts) <= F.lit(middle), F.lit(True))
-    for later in (False, True):
-        append_in_order(log.where(~early if later else early), f"{path}/log", ts, 2)
-        if later:
-            close_log(f"{path}/log", log, ts, F.lit(END_OF_TIME).cast("timestamp"))
-        out = work(spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1)
-                   .parquet(f"{path}/log"))
-        (out.writeStream.format("parquet").option("path", f"{path}/out")
-         .option("checkpointLocation", f"{path}/checkpoint")
-         .trigger(availableNow=True).start().awaitTermination())
-    return spark.read.schema(out.schema).parquet(f"{path}/out")
+def _in_runs(spark: SparkSession, path: str, log: DataFrame, ts: str,
+             work: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """What a stream over a log writes that stops after each slice of it and starts again."""
+    run_in_slices(path, {"log": (ts, log)}, lambda streams: (
+        work(streams["log"]).writeStream.format("parquet").option("path", f"{path}/out")
+        .option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()),
+        "log", F.lit(END_OF_TIME).cast("timestamp"))
+    return spark.read.schema(work(log).schema).parquet(f"{path}/out")
 
 
 @query
 def live_denial_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """`denial_windows` from a stream of files that stops and starts again."""
     log = stored(_denials(spark, sf_dir).withColumn("ts", F.col("ts").cast("timestamp")))
-    return _in_two_runs(spark, shared_path(spark, "denials"), log, "ts", denial_windows).select(
+    return _in_runs(spark, shared_path(spark, "denials"), log, "ts", denial_windows).select(
         "user_id", _ntz("window_start").alias("window_start"),
         _ntz("window_end").alias("window_end"), "n_denials")
 
@@ -898,7 +891,7 @@ def live_denial_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 def live_transfers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns governed and screened in a stream of files that stops and starts again."""
     log = stored(roles.transfers(spark, sf_dir).withColumn("ts", F.timestamp_seconds("turn")))
-    rows = _in_two_runs(
+    rows = _in_runs(
         spark, shared_path(spark, "transfers"), log, "ts",
         lambda turns: govern_and_screen(
             turns.where(F.coalesce(F.col("ts") < END_OF_TIME, F.lit(True))), "text",
