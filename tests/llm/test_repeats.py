@@ -1,13 +1,14 @@
 """Repeated byte strings against counting every window."""
 
 import hashlib
+import os
 import random
 from collections import Counter
 
 import numpy as np
 import pytest
 
-from wardline.llm import repeats
+from wardline.llm import common, repeats
 
 
 def brute(texts, size):
@@ -89,6 +90,22 @@ def test_long_texts_are_read_in_stretches(spark):
     assert list(got[2]["spans"]) == [0, 1550]
 
 
+def test_crowded_marks_shuffle_no_text_again_and_steps_are_deleted(spark, monkeypatch):
+    packs, whole = [], repeats.packed
+    monkeypatch.setattr(repeats, "packed", lambda *a: packs.append(a[1:]) or whole(*a))
+    folder = os.path.dirname(common.shared_folder(spark)).removeprefix("file:")
+    before = set(os.listdir(folder))
+    texts = drawn(3)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = repeats.remove(docs, size=16, grams=(6, 12, 16), block=1)
+    left = [x for x in set(os.listdir(folder)) - before if x.startswith("llm-")]
+    assert sorted((r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in got.collect()) == sorted(
+        brute(texts, 16))
+    # Once on each of the three levels for the classes, and once for what is returned.
+    assert packs == [("a", "b")] * 3 + [("id", "a", "b")]
+    assert len(left) == 1
+
+
 def test_edges(spark, edges, nothing):
     got = repeats.remove(edges).collect()
     expected = brute([r["text"] for r in edges.collect()], 200)
