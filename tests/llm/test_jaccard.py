@@ -94,3 +94,50 @@ def test_edges(edges, nothing):
     # 2, 3, the second 1 and the null id are copies of 1, and 10 is one of 9; those without words stay.
     assert ids == sorted([1, 4, 5, 6, 7, 8, 9, 12, 13, 14, None], key=repr)
     assert jaccard.join(nothing).count() == 0 and jaccard.keep_one(nothing).count() == 0
+
+
+def test_bundles_keep_shared_keys():
+    """Of bundled keys those that two classes have come back, once each, with class and need."""
+    import numpy as np
+    rng = np.random.default_rng(5)
+    keys = rng.integers(0, 400, 3000, dtype=np.uint64) * np.uint64((1 << 48) // 400)
+    who = rng.integers(0, 40, 3000)
+    nodes = rng.integers(-(1 << 63), (1 << 63) - 1, 40)
+    nodes[20:] = nodes[:20]  # copies in one task more, with the same needs
+    needs = np.tile(rng.integers(1, 300, 20), 2)
+    entries = {(int(k), int(nodes[w]), int(needs[w])) for k, w in zip(keys, who)}
+    owners = {}
+    for k, node, _ in entries:
+        owners.setdefault(k, set()).add(node)
+    wanted = sorted(e for e in entries if len(owners[e[0]]) > 1)
+    width = -(-(1 << 48) // 7)
+    got = []
+    for low in (0, 1500):  # two tasks
+        got += jaccard.bundle(keys[low:low + 1500], who[low:low + 1500], nodes, needs, width)
+    back = []
+    for number in {x[0] for x in got}:
+        parts = [jaccard.unbundled(*x, width) for x in got if x[0] == number]
+        back += zip(*(x.tolist() for x in jaccard.met(*(np.concatenate(p) for p in zip(*parts)))))
+    assert sorted(back) == wanted and len(got) == 14
+    lone = jaccard.met(np.arange(3), np.arange(3), np.arange(3))
+    assert [len(x) for x in lone] == [0, 0, 0]
+
+
+def test_texts_outside_families_stay(spark):
+    """Only texts of rows that may link are packed and sent, not those of all documents."""
+    rows = [(i, " ".join(f"a{i}x{k}" for k in range(40))) for i in range(300)]
+    rows += [(300, "z " + rows[7][1]), (301, rows[7][1] + " z")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    sent = []
+    whole = jaccard.packed_rows
+
+    def watched(*args):
+        sent.append(whole(*args).count())
+        return whole(*args)
+
+    jaccard.packed_rows = watched
+    try:
+        assert found(jaccard.join(docs)) == plain(rows)
+    finally:
+        jaccard.packed_rows = whole
+    assert sent and sent[0] <= 10

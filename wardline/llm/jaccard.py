@@ -4,8 +4,9 @@ Texts with equal sets of shingles are one class. Classes that may link are broug
 an exact rule: the shingles of a class are hashed into more groups than two linked sets can
 have differences, so that linked classes agree on whole groups. How many they agree on at least
 is known from the groups that are empty, so a class that shares fewer with all others together
-leaves; those that stay and share a group's content form families. In a family each set is a point, the number of its shingles in
-each of 64 hash groups; an R-tree over the points bounds the overlap of two boxes by
+leaves; those that stay and share a group's content form families. Keys travel once, as sorted numbers
+in bundles, and only those that two classes share become rows; only texts of family rows are
+sent. In a family each set is a point, the number of its shingles in each of 64 hash groups; an R-tree over the points bounds the overlap of two boxes by
 the sum of the smaller coordinates, and pairs that survive are verified on the sets.
 
 A pair is left out only where both sides are in one component already. Families with much text are
@@ -30,7 +31,8 @@ from pyspark.sql import functions as F
 from wardline.llm.batches import distinct, hashes, slices, word_lists
 from wardline.llm.common import fits, freed, read, ship, stored
 from wardline.llm.graphs import components
-from wardline.llm.repeats import packed, unzipped
+from wardline.llm.packing import pack, unpack
+from wardline.llm.repeats import bytes_of, unzipped, zipped
 
 SIZE = 3
 SHARE = 90
@@ -38,12 +40,16 @@ LEVEL_RATIO = 1.5
 AXES = 64
 LEAF = 16
 BLOCK_BYTES = 4 << 20
-#: Bits of the filter of shared keys that all tasks get, whatever the number of keys: 4 MB.
+#: Bits of the filter of family rows that all tasks get, whatever the number of rows: 4 MB.
 FILTER_BITS = 1 << 25
+#: Bits of a signature that are compared before sets are; more in common only adds candidates.
+KEY_BITS = 48
+#: Signatures that a task holds at a time.
+HELD = 1 << 20
+BUNDLE = ["number", "steps", "own", "nodes", "needs"]
 #: Times that classes with too few shared keys leave before families are formed.
 ROUNDS = 2
 
-NO_KEYS = np.empty(0, np.int64)
 M1, M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -121,9 +127,9 @@ def class_of(shingles: np.ndarray) -> int | None:
     return xxhash.xxh3_64_intdigest(shingles.tobytes()) - (1 << 63)
 
 
-def key_filter(shared: DataFrame, bits: int = FILTER_BITS) -> np.ndarray:
+def key_filter(keys: DataFrame, bits: int = FILTER_BITS) -> np.ndarray:
     """A filter of fixed size with two bits for each key; it may let others pass."""
-    slots = shared.select(F.explode(F.array(
+    slots = keys.select(F.explode(F.array(
         F.col("key").bitwiseAND(bits - 1),
         F.shiftrightunsigned("key", 32).bitwiseAND(bits - 1))).alias("slot"))
     words = slots.groupBy(F.shiftright("slot", 6).alias("word")).agg(F.bit_or(
@@ -142,47 +148,130 @@ def passes(keys: np.ndarray, words: np.ndarray) -> np.ndarray:
     return hit
 
 
-def tabled(docs: DataFrame, id: str, text: str, size: int, share: int,
-           words: np.ndarray | None = None) -> DataFrame:
-    """Per row: id, a hash of the row, the size of its set, its class and signatures.
-
-    With the words of a filter only signatures that pass are given, and those of a level only
-    if as many pass as linked sets have in common.
-    """
+def tabled(docs: DataFrame, id: str, text: str, size: int) -> DataFrame:
+    """Per row: id, a hash of the row, the size of its set and its class."""
     slim = docs.select(F.col(id).alias("id"), F.xxhash64(id, text).alias("row"),
                        F.col(text).cast("string").alias("text"))
     ship(docs.sparkSession)
-    sent = None if words is None else docs.sparkSession.sparkContext.broadcast(words)
-
-    def speaks(shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        keys, needs = [NO_KEYS], [NO_KEYS]
-        for found, need in signatures(shingles, share) if len(shingles) else ():
-            if sent is not None:
-                found = found[passes(found, sent.value)]
-                if len(found) < need:
-                    continue
-            keys.append(found.view(np.int64))
-            needs.append(np.full(len(found), need))
-        return np.concatenate(keys), np.concatenate(needs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in slices(batches):
             sets = shingle_sets(texts, size)
-            spoken = [speaks(s) for s in sets]
-            ends = np.cumsum([0, *(len(k) for k, _ in spoken)])
-            pairs = pa.StructArray.from_arrays(
-                [pa.array(np.concatenate([NO_KEYS, *(k for k, _ in spoken)])),
-                 pa.array(np.concatenate([NO_KEYS, *(n for _, n in spoken)]))],
-                names=["key", "need"])
             yield pa.RecordBatch.from_arrays(
                 [part.column(0), part.column(1), pa.array([len(s) for s in sets], pa.int64()),
-                 pa.array([class_of(s) for s in sets], pa.int64()),
-                 pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pairs)],
-                names=["id", "row", "n", "node", "keys"])
+                 pa.array([class_of(s) for s in sets], pa.int64())],
+                names=["id", "row", "n", "node"])
 
     return slim.mapInArrow(
-        run, f"id {slim.schema['id'].dataType.simpleString()}, row long, n long, node long, "
-             "keys array<struct<key: long, need: long>>")
+        run, f"id {slim.schema['id'].dataType.simpleString()}, row long, n long, node long")
+
+
+def bundle(keys: np.ndarray, who: np.ndarray, nodes: np.ndarray, needs: np.ndarray,
+           width: int) -> Iterator[tuple[int, bytes, bytes, bytes, bytes]]:
+    """Keys of a task in bundles of close ones: steps between sorted keys, whose they are, their need.
+
+    `who` gives a key's place in `nodes` and `needs`; a bundle has the keys of `width` numbers.
+    """
+    order = np.argsort(keys)
+    keys, who = keys[order], who[order]
+    number = (keys // np.uint64(width)).astype(np.int64)
+    cuts = np.flatnonzero(np.diff(number)) + 1
+    for low, high in zip([0, *cuts.tolist()], [*cuts.tolist(), len(keys)]):
+        names, own = np.unique(who[low:high], return_inverse=True)
+        first = int(number[low])
+        steps = np.diff(keys[low:high], prepend=np.uint64(first * width))
+        yield first, pack(steps), pack(own), pack(nodes[names].view(np.uint64)), pack(needs[names])
+
+
+def unbundled(number: int, steps: bytes, own: bytes, nodes: bytes, needs: bytes,
+              width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The keys of a bundle, and the class and need of each."""
+    who = unpack(own)
+    keys = np.cumsum(unpack(steps), dtype=np.uint64) + np.uint64(number * width)
+    return (keys.view(np.int64), unpack(nodes).astype(np.uint64).view(np.int64)[who],
+            unpack(needs).astype(np.int64)[who])
+
+
+def met(keys: np.ndarray, nodes: np.ndarray,
+        needs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of all entries with some keys those, once each, whose key two classes have."""
+    order = np.argsort(keys)
+    alike = np.diff(keys[order]) == 0
+    order = order[np.append(alike, False) | np.append(False, alike)]
+    order = order[np.lexsort((needs[order], nodes[order], keys[order]))]
+    keys, nodes, needs = keys[order], nodes[order], needs[order]
+    fresh = np.ones(len(keys), bool)
+    fresh[1:] = (np.diff(keys) != 0) | (np.diff(nodes) != 0) | (np.diff(needs) != 0)
+    keys, nodes, needs = keys[fresh], nodes[fresh], needs[fresh]
+    starts = np.flatnonzero(np.append(True, np.diff(keys) != 0)[:len(keys)])
+    counts = np.diff(starts, append=len(keys))
+    # Nodes are sorted within a key.
+    both = np.repeat(nodes[starts] != nodes[starts + counts - 1], counts)
+    return keys[both], nodes[both], needs[both]
+
+
+def shared_entries(docs: DataFrame, text: str, size: int, share: int, bundles: int) -> DataFrame:
+    """`node`, `key` and `need` of all keys that two classes share.
+
+    Most keys have one class only, so they travel as sorted numbers in bundles, not as rows. A
+    task reads one bundle number at a time, that is one part in `bundles` of all keys.
+    """
+    width = -(-(1 << KEY_BITS) // bundles)
+    ship(docs.sparkSession)
+
+    def speak(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[int, None] = {}
+        keys, nodes, needs, total = [], [], [], 0
+
+        def close() -> Iterator[pa.RecordBatch]:
+            if keys:
+                who = np.repeat(np.arange(len(keys)), [len(k) for k in keys])
+                made = bundle(np.concatenate(keys), who, np.array(nodes, np.int64),
+                              np.array(needs, np.int64), width)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(column, kind) for column, kind in zip(
+                        zip(*made), [pa.int64(), *[pa.binary()] * 4])], names=BUNDLE)
+
+        for _, texts in slices(batches):
+            for shingles in shingle_sets(texts, size):
+                node = class_of(shingles)
+                if node is None or node in seen:
+                    continue
+                seen[node] = None
+                for found, need in signatures(shingles, share):
+                    keys.append(found >> np.uint64(64 - KEY_BITS))
+                    nodes.append(node)
+                    needs.append(need)
+                    total += len(found)
+                if total >= HELD:
+                    yield from close()
+                    keys, nodes, needs, total = [], [], [], 0
+                    seen.clear()
+        yield from close()
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, parts = None, []
+
+        def close() -> Iterator[pa.RecordBatch]:
+            if parts:
+                keys, nodes, needs = met(*(np.concatenate(x) for x in zip(*parts)))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(nodes), pa.array(keys), pa.array(needs)],
+                    names=["node", "key", "need"])
+
+        for batch in batches:
+            for own, *data in zip(*(batch.column(i).to_pylist() for i in range(len(BUNDLE)))):
+                if own != number:
+                    yield from close()
+                    number, parts = own, []
+                parts.append(unbundled(own, *data, width))
+        yield from close()
+
+    slim = docs.select(F.col(text).cast("string").alias("text"))
+    sent = slim.mapInArrow(speak, "number long, steps binary, own binary, nodes binary, "
+                                  "needs binary")
+    return sent.repartition("number").sortWithinPartitions("number").mapInArrow(
+        meet, "node long, key long, need long")
 
 
 def shared_keys(keyed: DataFrame) -> DataFrame:
@@ -192,19 +281,23 @@ def shared_keys(keyed: DataFrame) -> DataFrame:
 
 
 def candidates(keyed: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """Pairs a, b that join all classes with enough keys in common to link (`node`, `key`, `need`).
+    """Pairs a, b that join all classes with enough keys in common to link.
 
-    Each round leaves out classes that share fewer keys than they need with all that are left.
-    The stored table `keyed` is deleted, as is what each round leaves behind.
+    `keyed` has `node`, `key` and `need` of keys that two classes share. Each round leaves out
+    classes that share fewer keys than they need with all that are left. The stored table
+    `keyed` is deleted, as is what each round leaves behind.
     """
     spark = keyed.sparkSession
-    for _ in range(rounds):
-        both = stored(keyed.join(shared_keys(keyed).select("key"), "key"))
-        freed(spark, keyed)
-        enough = both.groupBy("node", "need").agg(F.count(F.lit(1)).alias("n")).where("n >= need")
-        keyed = stored(both.join(enough, ["node", "need"], "left_semi").select(
+    for turn in range(rounds):
+        if turn:
+            both = stored(keyed.join(shared_keys(keyed).select("key"), "key"))
+            freed(spark, keyed)
+            keyed = both
+        enough = keyed.groupBy("node", "need").agg(F.count(F.lit(1)).alias("n")).where("n >= need")
+        left = stored(keyed.join(enough, ["node", "need"], "left_semi").select(
             "node", "key", "need"))
-        freed(spark, both)
+        freed(spark, keyed)
+        keyed = left
     near = stored(keyed.join(shared_keys(keyed), "key").where("a <> node").select(
         "a", F.col("node").alias("b")).distinct())
     freed(spark, keyed)
@@ -328,14 +421,36 @@ def verify(members: DataFrame, group: list[str], size: int, share: int) -> DataF
     return dealt.sortWithinPartitions(*group, "node").mapInArrow(run, "a long, b long")
 
 
+def packed_rows(texts: DataFrame, words: np.ndarray) -> DataFrame:
+    """`row`, `bytes` and the compressed text `zip` of the rows that pass a filter."""
+    ship(texts.sparkSession)
+    sent = texts.sparkSession.sparkContext.broadcast(words)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hit = passes(batch.column(0).to_numpy().view(np.uint64), sent.value)
+            part = batch.filter(pa.array(hit))
+            data, places = bytes_of(part.column(2))
+            zips = [zipped(data[i:j]) for i, j in zip(places[:-1].tolist(), places[1:].tolist())]
+            yield pa.RecordBatch.from_arrays(
+                [part.column(0), part.column(1), pa.array(zips, pa.binary())],
+                names=["row", "bytes", "zip"])
+
+    return texts.select("row", "bytes", "text").mapInArrow(
+        run, "row long, bytes int, zip binary")
+
+
 def family_links(docs: DataFrame, families: DataFrame, id: str, text: str, size: int,
                  share: int, block_bytes: int) -> DataFrame:
     """All links needed within the families (`row`, `node`, `family`)."""
     texts = docs.select(F.xxhash64(id, text).alias("row"), F.octet_length(text).alias("bytes"),
                         F.col(text).cast("string").alias("text"))
-    # Each class has one row; copies of that row leave where it meets its family.
-    members = stored(packed(texts, "row", "bytes").join(families, "row").dropDuplicates(["row"])
+    # Each class has one row; copies of that row leave where it meets its family. Most rows are in
+    # no family, and their texts stay where they are.
+    chosen = packed_rows(texts, key_filter(families.select(F.col("row").alias("key"))))
+    members = stored(chosen.join(families, "row").dropDuplicates(["row"])
                      .select("node", "family", "bytes", "zip"))
+    freed(docs.sparkSession)
     weight = members.groupBy("family").agg(
         F.ceil(F.sum("bytes") / block_bytes).cast("int").alias("blocks"))
     # Only large families need a number of blocks; all others are one block.
@@ -378,20 +493,19 @@ def family_links(docs: DataFrame, families: DataFrame, id: str, text: str, size:
 def join(docs: DataFrame, id: str = "doc_id", text: str = "text", size: int = SIZE,
          share: int = SHARE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Per row of the documents: id, `row` (a hash), `n_shingles` and `component_id`."""
-    # Signatures are many numbers and quick to make, so they are made again rather than stored.
-    # The second time only those leave that pass a filter of keys that two classes share.
-    signed = tabled(docs, id, text, size, share)
-    table = stored(signed.drop("keys"))
-    shared = shared_keys(signed.select("node", F.explode("keys.key").alias("key")))
-    words = key_filter(shared)
-    freed(docs.sparkSession)
-    again = stored(tabled(docs, id, text, size, share, words).select(
-        "node", F.inline("keys")).distinct())
-    near = candidates(again)
+    spark = docs.sparkSession
+    table = stored(tabled(docs, id, text, size))
+    # At most so many signatures a shingle: groups at two levels, each up to LEVEL_RATIO too large.
+    shingles = table.agg(F.sum("n")).first()[0] or 0
+    entries = shingles * 4 * (100 - share) // share
+    bundles = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-entries // HELD))
+    keyed = stored(shared_entries(docs, text, size, share, bundles))
+    freed(spark)
+    near = candidates(keyed)
     families = components(near).select("node", F.col("root").alias("family"))
     one = table.where("node IS NOT NULL").groupBy("node").agg(F.min("row").alias("row"))
     homes = stored(families.join(one, "node"))
-    freed(docs.sparkSession, near)
+    freed(spark, near)
     links = family_links(docs, homes, id, text, size, share, block_bytes)
     roots = components(links)
     classes = table.where("node IS NOT NULL").groupBy("node").agg(
