@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardline.llm.batches import distinct, hashes, slices, word_lists
+from wardline.llm.batches import distinct, giving_back, hashes, slices, word_lists
 from wardline.llm.common import fits, freed, read, ship, stored
 from wardline.llm.graphs import components
 from wardline.llm.packing import pack, unpack
@@ -40,6 +40,7 @@ LEVEL_RATIO = 1.5
 AXES = 64
 LEAF = 16
 BLOCK_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 #: Bits of the filter of family rows that all tasks get, whatever the number of rows: 4 MB.
 FILTER_BITS = 1 << 25
 #: Bits of a signature that are compared before sets are; more in common only adds candidates.
@@ -154,8 +155,9 @@ def tabled(docs: DataFrame, id: str, text: str, size: int) -> DataFrame:
                        F.col(text).cast("string").alias("text"))
     ship(docs.sparkSession)
 
+    @giving_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, texts in slices(batches):
+        for part, texts in slices(batches, most=SLICE_BYTES):
             sets = shingle_sets(texts, size)
             yield pa.RecordBatch.from_arrays(
                 [part.column(0), part.column(1), pa.array([len(s) for s in sets], pa.int64()),
@@ -219,6 +221,7 @@ def shared_entries(docs: DataFrame, text: str, size: int, share: int, bundles: i
     width = -(-(1 << KEY_BITS) // bundles)
     ship(docs.sparkSession)
 
+    @giving_back
     def speak(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[int, None] = {}
         keys, nodes, needs, total = [], [], [], 0
@@ -232,7 +235,7 @@ def shared_entries(docs: DataFrame, text: str, size: int, share: int, bundles: i
                     [pa.array(column, kind) for column, kind in zip(
                         zip(*made), [pa.int64(), *[pa.binary()] * 4])], names=BUNDLE)
 
-        for _, texts in slices(batches):
+        for _, texts in slices(batches, most=SLICE_BYTES):
             for shingles in shingle_sets(texts, size):
                 node = class_of(shingles)
                 if node is None or node in seen:
@@ -249,6 +252,7 @@ def shared_entries(docs: DataFrame, text: str, size: int, share: int, bundles: i
                     seen.clear()
         yield from close()
 
+    @giving_back
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, parts = None, []
 
@@ -392,6 +396,7 @@ def forest(sets: list[np.ndarray], share: int = SHARE,
 
 def verify(members: DataFrame, group: list[str], size: int, share: int) -> DataFrame:
     """Links a, b between the members of each group (`node`, `zip`, `label` may be null)."""
+    @giving_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, nodes, texts, labels = None, [], [], []
 
@@ -426,6 +431,7 @@ def packed_rows(texts: DataFrame, words: np.ndarray) -> DataFrame:
     ship(texts.sparkSession)
     sent = texts.sparkSession.sparkContext.broadcast(words)
 
+    @giving_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             hit = passes(batch.column(0).to_numpy().view(np.uint64), sent.value)

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardline.llm.batches import distinct, slices
+from wardline.llm.batches import distinct, giving_back, slices
 from wardline.llm.common import read, ship
 from wardline.llm.token_counts import vocabulary
 
@@ -37,7 +37,7 @@ MARK = "▁"
 UNKNOWN_PENALTY = 10.0
 CELLS = 1 << 19
 LONG = 2048
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 UNIT = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 
 
@@ -285,6 +285,7 @@ def encode(docs: DataFrame, id: str = "doc_id", text: str = "text",
     path = path or vocabulary(MODEL)
     kind = docs.schema[id].dataType.simpleString()
 
+    @giving_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         auto = automaton(path)
         for part, texts in slices(batches, most=SLICE_BYTES):

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardline.llm.batches import distinct, hashes, slices, word_lists
+from wardline.llm.batches import distinct, giving_back, hashes, slices, word_lists
 from wardline.llm.common import read, ship
 
 MOST_TOXIC, MOST_CLEAN, LONGEST = 1000, 2000, 12_000
@@ -41,6 +41,7 @@ LEAST_STEPS = 30
 MOST_FALSE = 0.01
 GRAM_WORDS = 16_384
 SEED = 11
+SLICE_BYTES = 2 << 20
 
 Arrays = dict[str, np.ndarray]
 
@@ -371,6 +372,7 @@ def learn(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "t
     if texts is None:
         return train([], np.zeros(0, dtype=np.float32))
 
+    @giving_back
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = [x for b in batches for x in zip(*[c.to_pylist() for c in b.columns])]
         if rows:
@@ -383,8 +385,9 @@ def learn(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "t
 
 
 def scorer(net: Arrays) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    @giving_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, texts in slices(batches, "tox_text", 4 << 20):
+        for part, texts in slices(batches, "tox_text", SLICE_BYTES):
             at = part.schema.get_field_index("tox_text")
             names = [n for n in part.schema.names if n != "tox_text"]
             columns = [c for i, c in enumerate(part.columns) if i != at]
