@@ -1,9 +1,10 @@
 import random
+from pathlib import Path
 
 import pytest
 from cases import EDGES
 
-from wardline.llm import jaccard
+from wardline.llm import common, graphs, jaccard
 
 
 def plain(rows, size=3, share=90):
@@ -141,3 +142,60 @@ def test_texts_outside_families_stay(spark):
     finally:
         jaccard.packed_rows = whole
     assert sent and sent[0] <= 10
+
+
+def chained(spark, n=300):
+    """Links of a chain, which takes many rounds, and the roots of its nodes."""
+    rng = random.Random(11)
+    names = [rng.randrange(-(1 << 62), 1 << 62) for _ in range(n)]
+    links = spark.createDataFrame(list(zip(names, names[1:])), "a long, b long")
+    return links, sorted((x, min(names)) for x in names)
+
+
+def test_rounds_of_components_leave_nothing(spark, monkeypatch):
+    """Each round deletes its tables and lets the driver drop what it holds of them."""
+    links, wanted = chained(spark)
+    made, collected = [], []
+    path, free = common.shared_folder, graphs.freed
+
+    def watched(session, *tables):
+        collected.append(len(tables))
+        free(session, *tables)
+
+    monkeypatch.setattr(common, "shared_folder", lambda s: made.append(path(s)) or made[-1])
+    monkeypatch.setattr(graphs, "freed", watched)
+    monkeypatch.setattr(graphs, "FEW", 0)
+    roots = graphs.components(links)
+    assert sorted(map(tuple, roots.collect())) == wanted
+    left = [p for p in made if Path(p.removeprefix("file:")).exists()]
+    assert roots.stored_at in left and len(left) <= 2 and len(made) > 10
+    # Two tables to begin with and five of each round.
+    assert collected == [5] * ((len(made) - 2) // 5)
+
+
+def test_few_links_take_no_rounds(spark, monkeypatch):
+    """Three tables are stored for few links, not five more for every round."""
+    links, wanted = chained(spark)
+    made = []
+    path = common.shared_folder
+    monkeypatch.setattr(common, "shared_folder", lambda s: made.append(path(s)) or made[-1])
+    roots = graphs.components(links)
+    assert sorted(map(tuple, roots.collect())) == wanted and len(made) == 3
+    monkeypatch.setattr(graphs, "FEW", 400)  # a round or more, then one task
+    assert sorted(map(tuple, graphs.components(links).collect())) == wanted and len(made) > 8
+    none = graphs.components(links.limit(0))
+    assert none.collect() == [] and none.columns == ["node", "root"]
+
+
+def test_least_of_links():
+    import numpy as np
+    rng = np.random.default_rng(2)
+    for links in (1, 30, 200):
+        a, b = rng.integers(-150, 150, (2, links))
+        near = {x: {x} for x in {*a.tolist(), *b.tolist()}}
+        for x, y in zip(a.tolist(), b.tolist()):
+            both = near[x] | near[y]
+            for z in both:
+                near[z] = both
+        names, least = graphs.least_of(a, b)
+        assert dict(zip(names.tolist(), least.tolist())) == {x: min(s) for x, s in near.items()}

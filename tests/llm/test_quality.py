@@ -98,3 +98,18 @@ def test_edges(edges, nothing):
     left = quality.filter_quality(edges)
     assert left.columns == edges.columns and left.where("n_words NOT LIKE 'n_words-%'").count() == 0
     assert quality.filter_quality(nothing).count() == 0
+
+
+def test_many_rejections_are_judged_again(spark, documents, edges, monkeypatch):
+    """Rejections too many for a broadcast of 20 MB neither pass the driver nor shuffle texts."""
+    assert quality.MOST_GONE <= 100_000
+    names = ["doc_id", "text", "lang", "source"]
+    odd = documents.select(names).union(edges.select(names))
+    few = sorted(quality.filter_quality(odd).collect(), key=repr)
+    monkeypatch.setattr(quality, "MOST_GONE", 0)
+    again = quality.filter_quality(odd)
+    plan = again._jdf.queryExecution().executedPlan().toString()
+    assert sorted(again.collect(), key=repr) == few and 0 < len(few) < odd.count()
+    assert "SortMergeJoin" not in plan and "LeftAnti" not in plan
+    # The plain rules are not moved below the join, where counts would be taken twice.
+    assert plan.count("Filter (") == 1 and plan.index("Filter (") < plan.index("Join")

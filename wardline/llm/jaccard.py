@@ -493,7 +493,9 @@ def family_links(docs: DataFrame, families: DataFrame, id: str, text: str, size:
         "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where("block <> own")
         .select("node", "family", "label", "block", "turn"))
     met = stay.union(visit).join(members.select("node", "zip"), "node")
-    return links.union(stored(verify(met, ["family", "block", "turn"], size, share)))
+    more = stored(verify(met, ["family", "block", "turn"], size, share))
+    freed(docs.sparkSession, members, large, placed)
+    return links.union(more)
 
 
 def join(docs: DataFrame, id: str = "doc_id", text: str = "text", size: int = SIZE,
@@ -508,19 +510,22 @@ def join(docs: DataFrame, id: str = "doc_id", text: str = "text", size: int = SI
     keyed = stored(shared_entries(docs, text, size, share, bundles))
     freed(spark)
     near = candidates(keyed)
-    families = components(near).select("node", F.col("root").alias("family"))
+    families = components(near)
     one = table.where("node IS NOT NULL").groupBy("node").agg(F.min("row").alias("row"))
-    homes = stored(families.join(one, "node"))
-    freed(spark, near)
+    homes = stored(families.select("node", F.col("root").alias("family")).join(one, "node"))
+    freed(spark, near, families)
     links = family_links(docs, homes, id, text, size, share, block_bytes)
+    freed(spark, homes)
     roots = components(links)
     classes = table.where("node IS NOT NULL").groupBy("node").agg(
         F.min("id").alias("least"), F.count(F.lit(1)).alias("rows"))
     rooted = classes.join(roots, "node", "left")
     known = stored(rooted.where("rows > 1 OR root IS NOT NULL").select(
         "node", F.coalesce("root", "node").alias("root"), "least"))
+    freed(spark, roots)
     least = known.groupBy("root").agg(F.min("least").alias("component"))
     names = stored(known.join(least, "root").select("node", "component"))
+    freed(spark, known)
     side = F.broadcast(names) if fits(names, 100_000) else names
     return table.join(side, "node", "left").select(
         F.col("id").alias(id), "row", F.col("n").alias("n_shingles"),
@@ -533,6 +538,7 @@ def keep_one(docs: DataFrame, id: str = "doc_id", text: str = "text", **options)
     Documents without words stay. Of rows that are equal in id and text one stays.
     """
     found = stored(join(docs, id, text, **options).where("n_shingles > 0"))
+    freed(docs.sparkSession)
     kept = F.col(id).eqNullSafe(F.col("component_id"))
     gone = stored(found.where(~kept).select("row").distinct())
     # Equal rows among those kept, and different texts that carry the group's smallest id.
